@@ -1 +1,186 @@
-"""Placeholder until its queries are written."""
+"""Queries on telescoping keys, masks and release."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sumveil.catalog.registry import query
+from sumveil.catalog.sqlviews import DAY, with_views
+from sumveil.catalog.window_queries import committed as committed_std
+from sumveil.functions import encodings as enc
+from sumveil.functions.prf import prf_lanes
+from sumveil.functions.vectors import lanes_to_columns, vector_sum
+from sumveil.operators import aggregate as ag, chain, commits as cm, masks as mk, membership as mb, release as rl, telescoping as tl
+from sumveil.sources import fixtures as fx
+
+W = fx.W
+L = 3
+LANES = ["s", "q", "n"]
+WINDOW = ["universe_id", "producer_id", "ws"]
+K = 2
+ROUNDS = (128 // K) * (1 << K)
+
+
+def _vector():
+    return F.array(*enc.var_lanes(F.col("value")))
+
+
+def _committed_sums(events):
+    """Vector sums and the committed (producer, window) pairs of a universe's events."""
+    spans = chain.window_spans(events, W)
+    in_time = cm.in_time(fx.commits(events), W, 6000)
+    present = cm.committed(chain.complete_windows(spans, W), in_time)
+    sums = ag.producer_sums(events, W, dict(zip(LANES, enc.var_lanes(F.col("value")))))
+    joined = cm.commit_join(sums, present).select(*WINDOW, F.array(*LANES).alias("x"))
+    return joined, present
+
+
+def _ciphers(events, keys):
+    sums, present = _committed_sums(events)
+    return tl.mask_window_sums(sums, keys, "x", L, W), present
+
+
+def _released(df):
+    return lanes_to_columns(df.select("universe_id", "ws", "v", "producers"), "v", LANES)
+
+
+@query("K1")
+def prf_column(spark, sf):
+    """Lane keys of every producer at every window start."""
+    df = committed_std(spark, sf).join(fx.stream_keys(fx.std(spark, sf)), "producer_id")
+    return lanes_to_columns(df.select("producer_id", "ws", prf_lanes(F.col("key"), F.col("ws"), L).alias("f")), "f", ["f0", "f1", "f2"])
+
+
+@query("K2 K3 S2", with_views(["stdw"], "SELECT producer_id, ts_ms, value AS s, value * value AS q, 1::BIGINT AS n FROM stdw"))
+def enc_then_dec_rows(spark, sf):
+    """Encrypt every event, decrypt it again with its own key interval."""
+    events, keys = fx.std(spark, sf), fx.stream_keys(fx.std(spark, sf))
+    c = tl.encrypt_stream(events.select("universe_id", "producer_id", "ts_ms", "value"), keys, _vector(), L, W)
+    v = tl.decrypt(c, keys, "c", F.col("prev_ts"), F.col("ts_ms"), L)
+    return lanes_to_columns(v.select("producer_id", "ts_ms", "v"), "v", LANES)
+
+
+@query("K2 K3 A1 F3 T1", with_views(["psums", "complete"], """
+    SELECT universe_id, producer_id, ws, s, q, n FROM psums SEMI JOIN complete USING (universe_id, producer_id, ws)"""))
+def heac_window_sum(spark, sf):
+    """Window sums of encrypted events, decrypted with the two outer keys where the chain is whole."""
+    keys = fx.stream_keys(fx.std(spark, sf))
+    sums = tl.cipher_window_sums(fx.std(spark, sf), keys, _vector(), L, W)
+    whole = sums.filter(chain.complete(F.col("start"), F.col("end"), F.col("ws"), W))
+    v = tl.decrypt(whole, keys, "c", F.col("ws") - 1, F.col("ws") + W - 1, L)
+    return lanes_to_columns(v.select(*WINDOW, "v"), "v", LANES)
+
+
+_MISSING = f"NOT (ws = 1704844800000)"
+
+
+@query("A4 A5 K6", with_views(["csum"], f"SELECT universe_id, ws, s, q, n, producers FROM csum WHERE {_MISSING}"))
+def release(spark, sf):
+    """All-or-nothing: one window lacks a token and stays shut, one producer sends twice."""
+    events = fx.std(spark, sf)
+    keys = fx.stream_keys(events)
+    ciphers, present = _ciphers(events, keys)
+    tokens = rl.plain_tokens(present, keys, L, W)
+    first = present.filter(F.col("ws") == 1704844800000).agg(F.min("producer_id")).scalar()
+    sent = tokens.filter(~((F.col("ws") == 1704844800000) & (F.col("producer_id") == first)))
+    sent = sent.unionByName(sent.filter(F.col("producer_id") % 50 == 4))
+    return _released(rl.release(ciphers, sent, L))
+
+
+_CSUM_ALL = """
+    SELECT universe_id, ws, sum(value)::BIGINT AS s, sum(value * value)::BIGINT AS q, count(*) AS n, count(DISTINCT producer_id) AS producers
+    FROM {view} SEMI JOIN committed USING (producer_id, ws) GROUP BY ALL"""
+
+
+def _csum_sql(view: str) -> str:
+    body = _CSUM_ALL.format(view=f"(SELECT *, ts_ms - ts_ms % {DAY} AS ws FROM {view})")
+    return with_views([view, "committed"], body)
+
+
+@query("K4 K6 J6 A4", _csum_sql("clique"))
+def release_clique(spark, sf):
+    """Release with masks between all pairs of a cohort; equals the plain committed sums."""
+    events = fx.cohort_std(spark, sf, fx.CLIQUE_SIZE)
+    keys = fx.stream_keys(events)
+    ciphers, present = _ciphers(events, keys)
+    masks = mk.clique_masks(present, fx.pair_keys(events, fx.CLIQUE_SIZE), L)
+    return _released(rl.release(ciphers, rl.masked_tokens(masks, keys, L, W), L))
+
+
+def _graph(events, present):
+    epochs = mk.with_round(present.select("universe_id", "ws"), W, ROUNDS).select("universe_id", "epoch")
+    return mk.epoch_graph(fx.pair_keys(events, fx.GRAPH_SIZE), epochs, K)
+
+
+@query("K5 K6 K7 T10", _csum_sql("graphed"))
+def release_graph(spark, sf):
+    """Release with masks over the random graph of each window's round."""
+    events = fx.cohort_std(spark, sf, fx.GRAPH_SIZE)
+    keys = fx.stream_keys(events)
+    ciphers, present = _ciphers(events, keys)
+    masks = mk.graph_masks(present, _graph(events, present), L, W, ROUNDS)
+    return _released(rl.release(ciphers, rl.masked_tokens(masks, keys, L, W), L))
+
+
+def _zero_sql(view: str) -> str:
+    body = f"SELECT universe_id, ws, 0::BIGINT AS m0, 0::BIGINT AS m1, 0::BIGINT AS m2, count(*) AS members FROM (SELECT DISTINCT v.universe_id, c.ws, c.producer_id FROM committed c JOIN {view} v USING (producer_id)) GROUP BY universe_id, ws"
+    return with_views([view, "committed"], body)
+
+
+def _mask_total(masks):
+    total = vector_sum(masks, ["universe_id", "ws"], "mask", L, extra=[F.count("*").alias("members")], out="m")
+    return lanes_to_columns(total, "m", ["m0", "m1", "m2"])
+
+
+@query("K4 J6", _zero_sql("clique"))
+def mask_clique_zero(spark, sf):
+    """All-pairs masks of a window add up to zero."""
+    events = fx.cohort_std(spark, sf, fx.CLIQUE_SIZE)
+    _, present = _committed_sums(events)
+    return _mask_total(mk.clique_masks(present, fx.pair_keys(events, fx.CLIQUE_SIZE), L))
+
+
+@query("K5 J7", _zero_sql("graphed"))
+def mask_graph_zero(spark, sf):
+    """Graph masks add up to zero after the dropped producers' edges are taken out."""
+    events = fx.cohort_std(spark, sf, fx.GRAPH_SIZE)
+    _, present = _committed_sums(events)
+    seen = mb.first_seen(present, W, ROUNDS)
+    edges = mk.round_edges(_graph(events, present), present, W, ROUNDS)
+    for end in ("a", "b"):
+        known = seen.select("universe_id", F.col("producer_id").alias(end), "first_ws")
+        edges = edges.join(known, ["universe_id", end]).filter(F.col("first_ws") <= F.col("ws")).drop("first_ws")
+    edges = mk.exclude_dropped(edges, mb.dropped_rows(present, W, ROUNDS))
+    masks = mk._for_all(present, mk.signed_sums(edges, L), L)
+    return _mask_total(masks)
+
+
+@query("K9", _zero_sql("clique"))
+def mask_sampled_zero(spark, sf):
+    """Masks over pairs drawn afresh each window add up to zero."""
+    events = fx.cohort_std(spark, sf, fx.CLIQUE_SIZE)
+    _, present = _committed_sums(events)
+    return _mask_total(mk.sampled_masks(present, fx.pair_keys(events, fx.CLIQUE_SIZE), L, 1))
+
+
+@query("K10", with_views(["psums", "committed"], """
+    SELECT universe_id, producer_id, ws, s, q, n FROM psums SEMI JOIN committed USING (universe_id, producer_id, ws)"""))
+def release_single(spark, sf):
+    """Single-producer release without masks."""
+    events = fx.std(spark, sf)
+    keys = fx.stream_keys(events)
+    ciphers, _ = _ciphers(events, keys)
+    return lanes_to_columns(rl.release_single(ciphers, keys, L, W), "v", LANES)
+
+
+@query("K7", with_views(["graphed"], f"""
+    SELECT universe_id, t // {1 << K} AS segment, sum(pairs)::BIGINT AS edges FROM (
+        SELECT universe_id, count(*) * (count(*) - 1) // 2 AS pairs FROM (SELECT DISTINCT universe_id, producer_id FROM graphed) GROUP BY universe_id),
+        (SELECT unnest(range(0, {ROUNDS}, {1 << K})) AS t)
+    WHERE pairs > 0 GROUP BY ALL"""))
+def graph_degree(spark, sf):
+    """Each pair of a universe is an edge exactly once per segment of an epoch."""
+    events = fx.cohort_std(spark, sf, fx.GRAPH_SIZE)
+    epochs = events.select("universe_id").distinct().withColumn("epoch", F.lit(1701993600000))
+    g = mk.epoch_graph(fx.pair_keys(events, fx.GRAPH_SIZE), epochs, K)
+    return g.groupBy("universe_id", F.expr(f"t div {1 << K}").alias("segment")).agg(F.count("*").alias("edges"))

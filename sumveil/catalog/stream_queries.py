@@ -1 +1,71 @@
-"""Placeholder until its queries are written."""
+"""Queries that run as streams over the tables' files and read their output back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sumveil.catalog.registry import query
+from sumveil.catalog.sqlviews import DAY, with_views
+from sumveil.catalog.window_queries import GRACE, STATUS_SQL, arrived_tokens, committed
+from sumveil.functions import encodings as enc
+from sumveil.session import scratch_dir
+from sumveil.sources import fixtures as fx
+from sumveil.streaming import lifecycle as lc, windows as st
+
+W = fx.W
+NAMES = ["s", "q", "n"]
+_CLOSED = f"ws + {DAY} <= (SELECT max(ts_ms) FROM std) - {GRACE}"
+
+
+def events_stream(spark, sf):
+    raw = st.read_stream(spark, f"{sf}/events.parquet")
+    return st.timed(fx.event_columns(raw), GRACE)
+
+
+def _sums(df):
+    return st.producer_sums(df, W, dict(zip(NAMES, enc.var_lanes(F.col("value")))))
+
+
+@query("T1 T2 T6 S1", with_views(["psums"], f"SELECT * FROM psums WHERE {_CLOSED}"))
+def stream_producer_sum(spark, sf):
+    return st.run_to_table(st.with_start(_sums(events_stream(spark, sf))), "producer-sum")
+
+
+@query("T7 T2", with_views(["psums"], f"""
+    SELECT universe_id, ws, sum(s)::BIGINT AS s, sum(q)::BIGINT AS q, sum(n)::BIGINT AS n, count(*) AS producers
+    FROM psums WHERE {_CLOSED} GROUP BY universe_id, ws"""))
+def stream_universe_sum(spark, sf):
+    return st.run_to_table(st.with_start(st.population_sums(_sums(events_stream(spark, sf)), W, NAMES)), "universe-sum")
+
+
+@query("J1 T1", with_views(["psums", "commits"], f"""
+    SELECT universe_id, producer_id, ws, s, q, n FROM psums SEMI JOIN commits USING (universe_id, producer_id, ws) WHERE {_CLOSED}"""))
+def stream_commit_join(spark, sf):
+    """Producer sums joined with a stream of commits."""
+    folder = scratch_dir(spark, "commits")
+    fx.commits(fx.std(spark, sf)).write.parquet(folder)
+    joined = st.commit_join(_sums(events_stream(spark, sf)), st.read_stream(spark, folder), W, GRACE)
+    return st.run_to_table(st.with_start(joined), "commit-join")
+
+
+def _status_stream(spark, sf):
+    events = fx.event_columns(st.read_stream(spark, f"{sf}/events.parquet"))
+    present = scratch_dir(spark, "committed")
+    committed(spark, sf).write.parquet(present)
+    tokens = scratch_dir(spark, "tokens")
+    arrived_tokens(spark, sf).select("universe_id", "producer_id", "ws").join(
+        spark.read.parquet(present), ["universe_id", "producer_id", "ws"], "left_semi"
+    ).write.parquet(tokens)
+    at = lambda path: st.read_stream(spark, path).withColumn("ts_ms", F.col("ws"))
+    rows = lc.facts(events, "value", W, GRACE)
+    rows = rows.unionByName(lc.facts(at(present), "commit", W, GRACE)).unionByName(lc.facts(at(tokens), "token", W, GRACE))
+    return lc.lifecycle(lc.clock(events, W), rows, W, GRACE)
+
+
+@query("T4 T5 T6 T9 T10", with_views(["stdw", "committed", "commits"], f"""
+    SELECT universe_id, ws, status, commits, tokens FROM ({STATUS_SQL})"""))
+def stream_window_status(spark, sf):
+    """The state each window has reached after the stream's last record."""
+    rows = st.run_to_table(_status_stream(spark, sf), "window-status", provider=st.ROCKSDB)
+    last = rows.groupBy("universe_id", "ws").agg(F.max(F.struct("status", "commits", "tokens")).alias("m"))
+    return last.select("universe_id", "ws", "m.status", "m.commits", "m.tokens")

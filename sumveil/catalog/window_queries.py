@@ -237,7 +237,7 @@ def commit_join(spark, sf):
     return cm.commit_join(_producer_sums(spark, sf), fx.commits(fx.std(spark, sf)))
 
 
-def _tokens(spark, sf):
+def arrived_tokens(spark, sf):
     """One token per commit; producer 3 misses the tenth window, producer 4 sends twice."""
     tenth = 1704844800000
     t = fx.commits(fx.std(spark, sf)).filter(~((F.col("producer_id") == 3) & (F.col("ws") == tenth)))
@@ -251,7 +251,7 @@ _TOKENS = "SELECT universe_id, producer_id, ws, producer_id * 7 + ws % 1000 AS v
 @query("J2 S3 S9", with_views(["commits", "committed"], f"""
     SELECT * FROM ({_TOKENS}) SEMI JOIN committed USING (universe_id, producer_id, ws)"""))
 def token_semi(spark, sf):
-    return cm.token_semi(_tokens(spark, sf), committed(spark, sf))
+    return cm.token_semi(arrived_tokens(spark, sf), committed(spark, sf))
 
 
 @query("F2", with_views(["commits"], """
@@ -406,7 +406,7 @@ def result_band(spark, sf):
     return _stats(spark, sf).select("universe_id", "ws", F.round(low, 4).alias("low"), F.round(high, 4).alias("high"))
 
 
-_STATUS = f"""
+STATUS_SQL = f"""
     SELECT t.universe_id, t.ws,
            (CASE WHEN st < t.ws + {DAY} THEN 1
                  WHEN st < t.ws + {DAY + GRACE} AND NOT (coalesce(c, 0) > 0 AND coalesce(c, 0) = coalesce(e, 0)) THEN 2
@@ -423,20 +423,20 @@ def _status(spark, sf):
     events = chain.with_window(fx.std(spark, sf), W)
     totals = ag.fill_windows(events.groupBy(*UW).agg(F.count("*").alias("n")), W, ["n"])
     c = committed(spark, sf)
-    tokens = cm.token_semi(_tokens(spark, sf), c)
+    tokens = cm.token_semi(arrived_tokens(spark, sf), c)
     expected = events.select("universe_id", "producer_id", "ws").distinct()
     time = events.groupBy("universe_id").agg(F.max("ts_ms").alias("stream_time"))
     return hs.window_status(totals, c, tokens, expected, time, W, GRACE)
 
 
-@query("T4 T5", with_views(["stdw", "committed", "commits"], _STATUS))
+@query("T4 T5", with_views(["stdw", "committed", "commits"], STATUS_SQL))
 def window_status(spark, sf):
     return _status(spark, sf)
 
 
 @query("W9", with_views(["stdw", "committed", "commits"], f"""
-    SELECT universe_id, ws, status FROM ({_STATUS})
-    UNION ALL SELECT universe_id, ws, 0 FROM ({_STATUS}) QUALIFY row_number() OVER (PARTITION BY universe_id ORDER BY ws) > 1"""))
+    SELECT universe_id, ws, status FROM ({STATUS_SQL})
+    UNION ALL SELECT universe_id, ws, 0 FROM ({STATUS_SQL}) QUALIFY row_number() OVER (PARTITION BY universe_id ORDER BY ws) > 1"""))
 def status_timeline(spark, sf):
     return hs.status_timeline(_status(spark, sf))
 
