@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["encoding_queries", "window_queries", "private_queries", "io_queries", "report_queries", "stream_queries"]
+_MODULES = ["encoding_queries", "application_queries", "window_queries", "private_queries", "io_queries", "report_queries", "stream_queries"]
 
 
 def all_entries():

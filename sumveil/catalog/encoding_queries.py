@@ -158,7 +158,7 @@ def _polar_lane_sql(value: str = "v") -> str:
     return " UNION ALL ".join(parts)
 
 
-_OFFSET_SQL = "CASE field " + " ".join(f"WHEN '{f}' THEN {o}" for f, o in pf.POLAR.offsets().items()) + " END"
+_OFFSET_SQL = "CASE field " + " ".join(f"WHEN '{f}' THEN {o}" for f, o in pf.offsets(pf.POLAR.fields).items()) + " END"
 _YEAR = 360 * DAY_MS
 
 
@@ -169,8 +169,8 @@ _YEAR = 360 * DAY_MS
 def digest_flatten(spark, sf):
     """Polar sums as a dense flat vector and back to lanes."""
     lanes = pf.lane_totals(with_window(fx.polar(spark, sf), _YEAR), UW, pf.POLAR)
-    back = pf.rebuild_lanes(pf.dense_vectors(lanes, UW, pf.POLAR), UW, pf.POLAR)
-    return pf.flatten_lanes(back, pf.POLAR)
+    back = pf.rebuild_lanes(pf.dense_vectors(lanes, UW, pf.POLAR.fields), UW, pf.POLAR.fields)
+    return pf.flatten_lanes(back, pf.POLAR.fields)
 
 
 def _half(spark, sf, odd: int):

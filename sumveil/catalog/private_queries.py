@@ -35,9 +35,11 @@ def _committed_sums(events):
     return joined, present
 
 
-def _ciphers(events, keys):
+def _ciphers(events):
+    """Encrypted vectors, window keys and the committed (producer, window) pairs."""
     sums, present = _committed_sums(events)
-    return tl.mask_window_sums(sums, keys, "x", L, W), present
+    wkeys = tl.window_keys(present, fx.stream_keys(events), L, W)
+    return tl.mask_window_sums(sums, wkeys, "x", L), wkeys, present
 
 
 def _released(df):
@@ -78,9 +80,8 @@ _MISSING = f"NOT (ws = 1704844800000)"
 def release(spark, sf):
     """All-or-nothing: one window lacks a token and stays shut, one producer sends twice."""
     events = fx.std(spark, sf)
-    keys = fx.stream_keys(events)
-    ciphers, present = _ciphers(events, keys)
-    tokens = rl.plain_tokens(present, keys, L, W)
+    ciphers, wkeys, present = _ciphers(events)
+    tokens = rl.plain_tokens(wkeys, L)
     first = present.filter(F.col("ws") == 1704844800000).agg(F.min("producer_id")).scalar()
     sent = tokens.filter(~((F.col("ws") == 1704844800000) & (F.col("producer_id") == first)))
     sent = sent.unionByName(sent.filter(F.col("producer_id") % 50 == 4))
@@ -101,10 +102,9 @@ def _csum_sql(view: str) -> str:
 def release_clique(spark, sf):
     """Release with masks between all pairs of a cohort; equals the plain committed sums."""
     events = fx.cohort_std(spark, sf, fx.CLIQUE_SIZE)
-    keys = fx.stream_keys(events)
-    ciphers, present = _ciphers(events, keys)
+    ciphers, wkeys, present = _ciphers(events)
     masks = mk.clique_masks(present, fx.pair_keys(events, fx.CLIQUE_SIZE), L)
-    return _released(rl.release(ciphers, rl.masked_tokens(masks, keys, L, W), L))
+    return _released(rl.release(ciphers, rl.masked_tokens(masks, wkeys, L), L))
 
 
 def _graph(events, present):
@@ -116,10 +116,9 @@ def _graph(events, present):
 def release_graph(spark, sf):
     """Release with masks over the random graph of each window's round."""
     events = fx.cohort_std(spark, sf, fx.GRAPH_SIZE)
-    keys = fx.stream_keys(events)
-    ciphers, present = _ciphers(events, keys)
+    ciphers, wkeys, present = _ciphers(events)
     masks = mk.graph_masks(present, _graph(events, present), L, W, ROUNDS)
-    return _released(rl.release(ciphers, rl.masked_tokens(masks, keys, L, W), L))
+    return _released(rl.release(ciphers, rl.masked_tokens(masks, wkeys, L), L))
 
 
 def _zero_sql(view: str) -> str:
@@ -168,9 +167,8 @@ def mask_sampled_zero(spark, sf):
 def release_single(spark, sf):
     """Single-producer release without masks."""
     events = fx.std(spark, sf)
-    keys = fx.stream_keys(events)
-    ciphers, _ = _ciphers(events, keys)
-    return lanes_to_columns(rl.release_single(ciphers, keys, L, W), "v", LANES)
+    ciphers, wkeys, _ = _ciphers(events)
+    return lanes_to_columns(rl.release_single(ciphers, wkeys, L), "v", LANES)
 
 
 @query("K7", with_views(["graphed"], f"""

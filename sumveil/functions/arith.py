@@ -18,6 +18,15 @@ LIMB_BITS = 22
 _LIMB = (1 << LIMB_BITS) - 1
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it.
+
+    Inside a higher-order function a plain column would be evaluated again for every
+    element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def _total(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 

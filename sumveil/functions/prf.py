@@ -3,7 +3,8 @@
 One block per lane holds 8 bytes of time and 8 bytes of lane, both big endian and
 0-based; the lane's key is the XOR of the two halves of the encrypted block.  All
 lanes (and both ends of a window) go into ONE ``aes_encrypt`` call, because setting
-up the cipher costs far more than a block.
+up the cipher costs far more than a block.  Blocks are cut out of the binary result,
+which is a constant-time slice (cutting a string would scan it from its start).
 """
 
 from __future__ import annotations
@@ -11,67 +12,76 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sumveil.functions.arith import let, wrap_sum
+
 # Lanes outside 0..n that keep other uses of the same key apart.
 GRAPH_LANE = -1
 SAMPLE_LANE = -2
 
-_UNROLL = 16
-
-
-def _hex64(value: Column) -> Column:
-    return F.lpad(F.hex(value.cast("bigint")), 16, "0")
+UNROLL = 16
 
 
 def _lane_hex(lane: int) -> str:
     return format(lane & ((1 << 64) - 1), "016X")
 
 
-def _long(hex_col: Column, start) -> Column:
-    return F.conv(F.substr(hex_col, F.lit(start) if isinstance(start, int) else start, F.lit(16)), 16, -10).cast("bigint")
+def _blocks(time: Column, lanes: list[int] | range) -> Column:
+    """Hex of one block per lane: the time is filled into a constant template."""
+    template = "".join("t" + _lane_hex(lane) for lane in lanes)
+    return F.replace(F.lit(template), F.lit("t"), F.lpad(F.hex(time.cast("bigint")), 16, "0"))
+
 
+def _encrypt(blocks_hex: Column, key: Column) -> Column:
+    return F.aes_encrypt(F.unhex(blocks_hex), key, F.lit("ECB"), F.lit("PKCS"))
 
-def _encrypt_hex(blocks_hex: Column, key: Column) -> Column:
-    return F.hex(F.aes_encrypt(F.unhex(blocks_hex), key, F.lit("ECB"), F.lit("PKCS")))
 
+def _long(data: Column, start) -> Column:
+    """Eight bytes from a 1-based position as a signed bigint."""
+    at = F.lit(start) if isinstance(start, int) else start
+    return F.conv(F.hex(F.substr(data, at, F.lit(8))), 16, -10).cast("bigint")
 
-def block_hex(key: Column, time: Column, lane: int) -> Column:
-    """The 128 bits of one encrypted block, as 32 hex digits."""
-    return F.substr(_encrypt_hex(F.concat(_hex64(time), F.lit(_lane_hex(lane))), key), F.lit(1), F.lit(32))
+
+def block(key: Column, time: Column, lane: int) -> Column:
+    """One encrypted block, 16 bytes."""
+    return F.substr(_encrypt(_blocks(time, [lane]), key), F.lit(1), F.lit(16))
 
 
 def block_bits(key: Column, time: Column, lane: int) -> Column:
     """The same 128 bits as a string of 0 and 1."""
-    h = block_hex(key, time, lane)
-    half = lambda start: F.lpad(F.bin(_long(h, start)), 64, "0")
-    return F.concat(half(1), half(17))
-
-
-def lanes_hex(key: Column, times: list[Column], n_lanes: int) -> Column:
-    """Encrypted blocks of every (time, lane), times outermost, as one hex string."""
-    parts = []
-    for time in times:
-        t = _hex64(time)
-        if n_lanes <= _UNROLL:
-            parts += [p for lane in range(n_lanes) for p in (t, F.lit(_lane_hex(lane)))]
-        else:
-            lanes = F.sequence(F.lit(0), F.lit(n_lanes - 1))
-            parts.append(F.array_join(F.transform(lanes, lambda i: F.concat(t, _hex64(i))), ""))
-    return _encrypt_hex(F.concat(*parts), key)
-
-
-def parse_lanes(hex_col: Column, n_lanes: int, time_index: int = 0) -> Column:
-    """``array<bigint>`` of lane keys out of :func:`lanes_hex`."""
-    base = 32 * n_lanes * time_index
-    if n_lanes <= _UNROLL:
-        return F.array(*[
-            _long(hex_col, base + 32 * i + 1).bitwiseXOR(_long(hex_col, base + 32 * i + 17)) for i in range(n_lanes)
-        ])
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n_lanes - 1)),
-        lambda i: _long(hex_col, i * 32 + F.lit(base + 1)).bitwiseXOR(_long(hex_col, i * 32 + F.lit(base + 17))),
-    )
+    b = block(key, time, lane)
+    half = lambda start: F.lpad(F.bin(_long(b, start)), 64, "0")
+    return F.concat(half(1), half(9))
+
+
+def lane_blocks(key: Column, times: list[Column], n_lanes: int) -> Column:
+    """Encrypted blocks of every (time, lane), times outermost, as one binary."""
+    return _encrypt(F.concat(*[_blocks(t, range(n_lanes)) for t in times]), key)
+
+
+def _lane_key(data: Column, at) -> Column:
+    """Key of the block that starts after ``at`` bytes."""
+    return _long(data, at + 1).bitwiseXOR(_long(data, at + 9))
+
+
+def parse_lanes(data: Column, n_lanes: int, time_index: int = 0) -> Column:
+    """``array<bigint>`` of lane keys out of :func:`lane_blocks`."""
+    base = 16 * n_lanes * time_index
+    if n_lanes <= UNROLL:
+        return F.array(*[_lane_key(data, base + 16 * i) for i in range(n_lanes)])
+    at = F.sequence(F.lit(base), F.lit(base + 16 * (n_lanes - 1)), F.lit(16))
+    return let(data, lambda d: F.transform(at, lambda i: _lane_key(d, i)))
 
 
 def prf_lanes(key: Column, time: Column, n_lanes: int) -> Column:
     """Lane keys of one time as ``array<bigint>``."""
-    return parse_lanes(lanes_hex(key, [time], n_lanes), n_lanes)
+    return parse_lanes(lane_blocks(key, [time], n_lanes), n_lanes)
+
+
+def key_difference(key: Column, end: Column, start: Column, n_lanes: int) -> Column:
+    """F(end) - F(start) as ``array<bigint>``, from one cipher call."""
+    data = lane_blocks(key, [end, start], n_lanes)
+    if n_lanes <= UNROLL:
+        lane = lambda d, i: wrap_sum([_lane_key(d, 16 * i)], [_lane_key(d, 16 * (n_lanes + i))])
+        return let(data, lambda d: F.array(*[lane(d, i) for i in range(n_lanes)]))
+    at = F.sequence(F.lit(0), F.lit(16 * (n_lanes - 1)), F.lit(16))
+    return let(data, lambda d: F.transform(at, lambda i: wrap_sum([_lane_key(d, i)], [_lane_key(d, i + 16 * n_lanes)])))

@@ -14,10 +14,12 @@ def combine(n_lanes: int, plus: list[Column], minus: list[Column] = ()) -> Colum
     """Lane by lane sum of some vectors minus others, modulo 2^64."""
     if n_lanes <= WIDE_LANES:
         return F.array(*[wrap_sum([p[i] for p in plus], [m[i] for m in minus]) for i in range(n_lanes)])
-    return F.transform(
-        plus[0],
-        lambda x, i: wrap_sum([x] + [F.get(p, i) for p in plus[1:]], [F.get(m, i) for m in minus]),
-    )
+    out = plus[0]
+    for p in plus[1:]:
+        out = add(out, p)
+    for m in minus:
+        out = subtract(out, m)
+    return out
 
 
 def add(a: Column, b: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sumveil.functions.timewin import floor_mod, idiv, window_start
 from sumveil.operators.scan import running_before
+from sumveil.session import spread
 
 KEYS = ["universe_id", "producer_id"]
 SEQ_BLOCK = 1 << 16
@@ -52,7 +53,7 @@ def with_previous(
     (such as its key) on the slice summaries, where one row stands for many events.
     """
     rows = with_window(df, size_ms, ts).withColumn("_slice", idiv(floor_mod(F.col(ts), size_ms), slice_ms))
-    rows = rows.repartition(*keys, "ws", "_slice")
+    rows = spread(rows, *keys, "ws", "_slice")
     summary = rows.groupBy(*keys, "ws", "_slice").agg(F.max(ts).alias("_last"))
     by_slice = Window.partitionBy(*keys, "ws").orderBy("_slice")
     summary = summary.select(

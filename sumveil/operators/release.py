@@ -5,29 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumveil.functions.vectors import combine, vector_sum
+from sumveil.functions.vectors import combine, vector_sum, zeros
 from sumveil.operators.commits import token_semi
-from sumveil.operators.telescoping import window_key
 
 WINDOW = ["universe_id", "producer_id", "ws"]
 
 
-def plain_tokens(expected: DataFrame, keys: DataFrame, n_lanes: int, size_ms: int) -> DataFrame:
+def plain_tokens(wkeys: DataFrame, n_lanes: int) -> DataFrame:
     """Token without masks: the negated window key."""
-    k = window_key(expected.select(*WINDOW), keys, n_lanes, size_ms, "k")
-    return k.select(*WINDOW, combine(n_lanes, _zero(n_lanes), [F.col("k")]).alias("token"))
+    return wkeys.select(*WINDOW, combine(n_lanes, [zeros(n_lanes)], [F.col("k")]).alias("token"))
 
 
-def masked_tokens(masks: DataFrame, keys: DataFrame, n_lanes: int, size_ms: int) -> DataFrame:
+def masked_tokens(masks: DataFrame, wkeys: DataFrame, n_lanes: int) -> DataFrame:
     """Token = mask - F(we - 1) + F(ws - 1)."""
-    k = window_key(masks.select(*WINDOW, "mask"), keys, n_lanes, size_ms, "k")
-    return k.select(*WINDOW, combine(n_lanes, [F.col("mask")], [F.col("k")]).alias("token"))
-
-
-def _zero(n_lanes: int):
-    from sumveil.functions.vectors import zeros
-
-    return [zeros(n_lanes)]
+    both = masks.select(*WINDOW, "mask").join(wkeys, WINDOW)
+    return both.select(*WINDOW, combine(n_lanes, [F.col("mask")], [F.col("k")]).alias("token"))
 
 
 def release(ciphers: DataFrame, tokens: DataFrame, n_lanes: int, cipher: str = "c") -> DataFrame:
@@ -48,7 +40,6 @@ def release(ciphers: DataFrame, tokens: DataFrame, n_lanes: int, cipher: str = "
     return total.filter(F.col("tokens") == F.col("producers")).drop("tokens")
 
 
-def release_single(ciphers: DataFrame, keys: DataFrame, n_lanes: int, size_ms: int, cipher: str = "c") -> DataFrame:
+def release_single(ciphers: DataFrame, wkeys: DataFrame, n_lanes: int, cipher: str = "c") -> DataFrame:
     """Single-producer release: the receiver subtracts the window key."""
-    k = window_key(ciphers, keys, n_lanes, size_ms, "k")
-    return k.select(*WINDOW, combine(n_lanes, [F.col(cipher)], [F.col("k")]).alias("v"))
+    return ciphers.join(wkeys, WINDOW).select(*WINDOW, combine(n_lanes, [F.col(cipher)], [F.col("k")]).alias("v"))

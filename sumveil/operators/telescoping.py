@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sumveil.functions.prf import lanes_hex, parse_lanes, prf_lanes
+from sumveil.functions.prf import key_difference, prf_lanes
 from sumveil.functions.vectors import combine, vector_sum
+from sumveil.session import spread
 from sumveil.operators.chain import KEYS, SLICE_MS, boundary_rows, window_spans, with_previous
 
 WINDOW = ["universe_id", "producer_id", "ws"]
@@ -40,20 +41,15 @@ def encrypt_stream(
 def decrypt(df: DataFrame, keys: DataFrame, cipher: str, start: Column, end: Column, n_lanes: int, out: str = "v") -> DataFrame:
     """Subtract F(end) - F(start) from a vector; for one event or a whole window."""
     keyed = df.withColumn("_start", start).withColumn("_end", end).join(keys, "producer_id")
-    keyed = keyed.withColumn("_h", lanes_hex(F.col("key"), [F.col("_end"), F.col("_start")], n_lanes))
-    keyed = keyed.withColumn("_fe", parse_lanes(F.col("_h"), n_lanes, 0)).withColumn("_fs", parse_lanes(F.col("_h"), n_lanes, 1))
-    return keyed.withColumn(out, combine(n_lanes, [F.col(cipher), F.col("_fs")], [F.col("_fe")])).drop(
-        "_start", "_end", "_h", "_fe", "_fs", "key"
-    )
+    keyed = keyed.withColumn("_k", key_difference(F.col("key"), F.col("_end"), F.col("_start"), n_lanes))
+    return keyed.withColumn(out, combine(n_lanes, [F.col(cipher)], [F.col("_k")])).drop("_start", "_end", "_k", "key")
 
 
-def window_key(df: DataFrame, keys: DataFrame, n_lanes: int, size_ms: int, out: str = "k") -> DataFrame:
-    """F(we - 1) - F(ws - 1) per (producer, window), from one cipher call per row."""
-    keyed = df.join(keys, "producer_id").withColumn(
-        "_h", lanes_hex(F.col("key"), [F.col("ws") + size_ms - 1, F.col("ws") - 1], n_lanes)
-    )
-    keyed = keyed.withColumn("_fe", parse_lanes(F.col("_h"), n_lanes, 0)).withColumn("_fs", parse_lanes(F.col("_h"), n_lanes, 1))
-    return keyed.withColumn(out, combine(n_lanes, [F.col("_fe")], [F.col("_fs")])).drop("_h", "_fe", "_fs", "key")
+def window_keys(present: DataFrame, keys: DataFrame, n_lanes: int, size_ms: int) -> DataFrame:
+    """``k`` = F(we - 1) - F(ws - 1) per (producer, window), from one cipher call per row."""
+    keyed = spread(present.select(*WINDOW).join(keys, "producer_id"), *WINDOW)
+    difference = key_difference(F.col("key"), F.col("ws") + size_ms - 1, F.col("ws") - 1, n_lanes)
+    return keyed.select(*WINDOW, difference.alias("k"))
 
 
 def cipher_window_sums(
@@ -66,9 +62,8 @@ def cipher_window_sums(
     events = events.select("universe_id", "producer_id", "ts_ms", vector.alias("x"))
     enc = encrypt_stream(events, keys, F.col("x"), n_lanes, size_ms, slice_ms).select(*WINDOW, "ts_ms", "prev_ts", "c")
     edge = boundary_rows(window_spans(events, size_ms), size_ms)
-    edge = edge.join(keys, "producer_id").withColumn("_h", lanes_hex(F.col("key"), [F.col("ts_ms"), F.col("prev_ts")], n_lanes))
-    edge = edge.withColumn("_a", parse_lanes(F.col("_h"), n_lanes, 0)).withColumn("_b", parse_lanes(F.col("_h"), n_lanes, 1))
-    edge = edge.select(*WINDOW, "ts_ms", "prev_ts", combine(n_lanes, [F.col("_a")], [F.col("_b")]).alias("c"))
+    gap = key_difference(F.col("key"), F.col("ts_ms"), F.col("prev_ts"), n_lanes)
+    edge = edge.join(keys, "producer_id").select(*WINDOW, "ts_ms", "prev_ts", gap.alias("c"))
     both = enc.unionByName(edge)
     return vector_sum(
         both, WINDOW, "c", n_lanes,
@@ -76,12 +71,10 @@ def cipher_window_sums(
     )
 
 
-def mask_window_sums(sums: DataFrame, keys: DataFrame, vector: str, n_lanes: int, size_ms: int, out: str = "c") -> DataFrame:
+def mask_window_sums(sums: DataFrame, wkeys: DataFrame, vector: str, n_lanes: int, out: str = "c") -> DataFrame:
     """Telescoped path: encrypt summed vectors of complete windows with the outer keys only.
 
     Equal to the per-event path on complete windows, with two key vectors per
     (producer, window) in place of two per event.
     """
-    return window_key(sums, keys, n_lanes, size_ms, "_k").withColumn(
-        out, combine(n_lanes, [F.col(vector), F.col("_k")])
-    ).drop("_k", *([vector] if vector != out else []))
+    return sums.join(wkeys, WINDOW).select(*WINDOW, combine(n_lanes, [F.col(vector), F.col("k")]).alias(out))

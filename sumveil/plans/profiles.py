@@ -11,7 +11,9 @@ from dataclasses import dataclass, field as dc_field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sumveil.functions.arith import let
 from sumveil.functions.timewin import idiv
+from sumveil.session import spread
 
 
 @dataclass(frozen=True)
@@ -50,17 +52,10 @@ class Profile:
                 return b.n
         return 2
 
-    def offsets(self) -> dict[str, int]:
-        """Position of each field's first lane in the flat vector."""
-        out, at = {}, 0
-        for f in self.order:
-            out[f] = at
-            at += self.lanes_of(f)
-        return out
-
     @property
-    def n_lanes(self) -> int:
-        return sum(self.lanes_of(f) for f in self.order)
+    def fields(self) -> dict[str, int]:
+        """Fields in vector order with their number of lanes."""
+        return {f: self.lanes_of(f) for f in self.order}
 
 
 def packed_longs(n_bins: int, bits: int) -> int:
@@ -181,35 +176,49 @@ def lane_totals(df: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
     return base.unionByName(binned)
 
 
-def flat_position(profile: Profile, field: Column, lane: Column) -> Column:
-    """Position of a lane in the flat vector."""
-    offsets = F.create_map(*[x for f, o in profile.offsets().items() for x in (F.lit(f), F.lit(o).cast("bigint"))])
-    return F.try_element_at(offsets, field) + lane
+# A layout is the ordered fields of a vector with their numbers of lanes.
 
 
-def flatten_lanes(lanes: DataFrame, profile: Profile) -> DataFrame:
-    return lanes.withColumn("pos", flat_position(profile, F.col("field"), F.col("lane")))
+def n_lanes(fields: dict[str, int]) -> int:
+    return sum(fields.values())
 
 
-def dense_vectors(lanes: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
-    """Long lanes to one ``array<bigint>`` of ``n_lanes`` per key, zeros filled in."""
-    entries = (
-        flatten_lanes(lanes, profile)
-        .select(*keys, F.struct(F.col("pos").alias("k"), F.col("v").alias("v")).alias("_e"))
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list("_e")).alias("_m"))
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(profile.n_lanes - 1).cast("bigint")),
-        lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("bigint")),
+def offsets(fields: dict[str, int]) -> dict[str, int]:
+    """Position of each field's first lane in the flat vector."""
+    out, at = {}, 0
+    for f, n in fields.items():
+        out[f] = at
+        at += n
+    return out
+
+
+def flatten_lanes(lanes: DataFrame, fields: dict[str, int]) -> DataFrame:
+    """Add ``pos``, the position of a lane in the flat vector."""
+    starts = F.create_map(*[x for f, o in offsets(fields).items() for x in (F.lit(f), F.lit(o).cast("bigint"))])
+    return lanes.withColumn("pos", F.try_element_at(starts, F.col("field")) + F.col("lane"))
+
+
+def dense_vectors(lanes: DataFrame, keys: list[str], fields: dict[str, int]) -> DataFrame:
+    """Long lanes to one ``array<bigint>`` per key, zeros filled in.
+
+    A key has each lane at most once, so what is gathered is bounded by the layout.
+    """
+    entry = F.struct(F.col("pos").alias("k"), F.col("v").alias("v"))
+    entries = spread(flatten_lanes(lanes, fields), *keys).groupBy(*keys).agg(F.collect_list(entry).alias("_m"))
+    none = lambda n: F.array_repeat(F.lit(0).cast("bigint"), n.cast("int"))
+    before = lambda es, i: F.coalesce(F.when(i > 0, F.get(es, i - 1)["k"]), F.lit(-1).cast("bigint"))
+    filled = lambda es: F.concat(
+        F.flatten(F.transform(es, lambda e, i: F.concat(none(e["k"] - before(es, i) - 1), F.array(e["v"])))),
+        none(F.lit(n_lanes(fields) - 1) - F.element_at(es, -1)["k"]),
     )
-    return entries.select(*keys, dense.alias("v"))
+    return entries.select(*keys, let(F.array_sort("_m"), filled).alias("v"))
 
 
-def rebuild_lanes(vectors: DataFrame, keys: list[str], profile: Profile, vector: str = "v") -> DataFrame:
+def rebuild_lanes(vectors: DataFrame, keys: list[str], fields: dict[str, int], vector: str = "v") -> DataFrame:
     """Dense vectors back to the long lane table, without zeros."""
-    offsets = profile.offsets()
-    starts = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(o).cast("bigint").alias("o")) for f, o in offsets.items()])
+    starts = F.array(*[
+        F.struct(F.lit(f).alias("field"), F.lit(o).cast("bigint").alias("o")) for f, o in offsets(fields).items()
+    ])
     rows = vectors.select(*keys, F.posexplode(vector).alias("pos", "v")).filter("v != 0")
     owner = F.element_at(F.filter(starts, lambda e: e["o"] <= F.col("pos")), -1)
     return rows.withColumn("_f", owner).select(
@@ -225,6 +234,18 @@ GRID_X, GRID_Y, PAGES, MAIN_PAGES = 20, 11, 100, 3
 WEB_TIMINGS = ("pageNetworkTime", "pageTransferTime", "pageLoadTime", "pageServerTime")
 
 
+def _web_fields() -> dict[str, int]:
+    out = {"pageExit": PAGES, "pageView": PAGES}
+    for t in WEB_TIMINGS:
+        out |= {f"{t}Sum": PAGES, f"{t}SumOfSquares": PAGES, f"{t}Count": PAGES}
+    for kind, n in (("Userflow", PAGES), ("ClickGrid", GRID_X * GRID_Y), ("HoverGrid", GRID_X * GRID_Y)):
+        out |= {f"page{m}{kind}": n for m in range(MAIN_PAGES)}
+    return out | {"count": 1}
+
+
+WEB_FIELDS = _web_fields()
+
+
 def _entries(df: DataFrame, keys: list[str], maps: dict[str, str]) -> DataFrame:
     """Rows (keys, field, key, n) of several map columns; empty maps give none."""
     each = F.array(*[
@@ -267,6 +288,34 @@ def web_grid(df: DataFrame, keys: list[str]) -> DataFrame:
     return e.groupBy(*keys, "field", "page", cell.alias("cell")).agg(F.sum("n").alias("v"))
 
 
+def web_lane_totals(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Long lane table (keys, field, lane, v) of all sums of web events, in one pass.
+
+    Every map becomes lane contributions of its event, and all go through one
+    partially aggregated sum.
+    """
+    entry = lambda field, lane, v: F.struct(field.alias("field"), lane.cast("bigint").alias("lane"), v.cast("bigint").alias("v"))
+    part = lambda e, i: F.split(e["key"], "_")[i]
+    page = lambda e, kind: F.concat(F.lit("page"), part(e, 0), F.lit(kind))
+    each = lambda m, fn: F.transform(F.map_entries(m), fn)
+    cell = lambda e: part(e, 1).cast("bigint") * GRID_Y + part(e, 2).cast("bigint")
+    amount = {
+        "Sum": lambda e: e["value"],
+        "SumOfSquares": lambda e: e["value"].cast("bigint") * e["value"].cast("bigint"),
+        "Count": lambda e: F.lit(1),
+    }
+    by_page = lambda field, v: (lambda e: entry(F.lit(field), e["key"], v(e)))
+    by_cell = lambda kind: (lambda e: entry(page(e, kind), cell(e), e["value"]))
+    lists = [each(m, by_page(m, amount["Sum"])) for m in ("pageExit", "pageView")]
+    lists += [each(t, by_page(t + suffix, v)) for t in WEB_TIMINGS for suffix, v in amount.items()]
+    lists.append(each("pageUserFlow", lambda e: entry(page(e, "Userflow"), part(e, 1), e["value"])))
+    lists += [each("clickGrid", by_cell("ClickGrid")), each("hoverGrid", by_cell("HoverGrid"))]
+    lists.append(F.array(entry(F.lit("count"), F.lit(0), F.lit(1))))
+    rows = df.select(*keys, F.explode(F.concat(*lists)).alias("_l"))
+    totals = rows.groupBy(*keys, "_l.field", "_l.lane").agg(F.sum("_l.v").alias("v"))
+    return totals.filter("v <> 0")
+
+
 def web_in_range() -> Column:
     """Every map key lies on its axis: pages, main pages and grid cells."""
     page = lambda k: (k.try_cast("bigint") >= 0) & (k.try_cast("bigint") < PAGES)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "sumveil", cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -26,6 +26,17 @@ def build_session(app: str = "sumveil", cores: str = "8", shuffle_partitions: in
     return spark
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition by columns into the session's full number of shuffle partitions.
+
+    Adaptive execution merges small partitions by bytes, which would leave stages
+    whose cost is in computing (ciphers) to a few tasks; an explicit number is kept.
+    Joins and groupings on the same columns need no further exchange.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared checkpoint folder the session names.
 
