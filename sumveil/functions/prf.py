@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sumveil.functions import wide
 from sumveil.functions.arith import let, wrap_sum
 
 # Lanes outside 0..n that keep other uses of the same key apart.
@@ -68,8 +69,7 @@ def parse_lanes(data: Column, n_lanes: int, time_index: int = 0) -> Column:
     base = 16 * n_lanes * time_index
     if n_lanes <= UNROLL:
         return F.array(*[_lane_key(data, base + 16 * i) for i in range(n_lanes)])
-    at = F.sequence(F.lit(base), F.lit(base + 16 * (n_lanes - 1)), F.lit(16))
-    return let(data, lambda d: F.transform(at, lambda i: _lane_key(d, i)))
+    return F.slice(wide.decode(data), n_lanes * time_index + 1, n_lanes)
 
 
 def prf_lanes(key: Column, time: Column, n_lanes: int) -> Column:
@@ -83,5 +83,4 @@ def key_difference(key: Column, end: Column, start: Column, n_lanes: int) -> Col
     if n_lanes <= UNROLL:
         lane = lambda d, i: wrap_sum([_lane_key(d, 16 * i)], [_lane_key(d, 16 * (n_lanes + i))])
         return let(data, lambda d: F.array(*[lane(d, i) for i in range(n_lanes)]))
-    at = F.sequence(F.lit(0), F.lit(16 * (n_lanes - 1)), F.lit(16))
-    return let(data, lambda d: F.transform(at, lambda i: wrap_sum([_lane_key(d, i)], [_lane_key(d, i + 16 * n_lanes)])))
+    return wide.decode_difference(data)

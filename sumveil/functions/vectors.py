@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sumveil.functions import wide
 from sumveil.functions.arith import limb_sums, limb_total, wrap_sum
 
 WIDE_LANES = 16
@@ -14,12 +15,7 @@ def combine(n_lanes: int, plus: list[Column], minus: list[Column] = ()) -> Colum
     """Lane by lane sum of some vectors minus others, modulo 2^64."""
     if n_lanes <= WIDE_LANES:
         return F.array(*[wrap_sum([p[i] for p in plus], [m[i] for m in minus]) for i in range(n_lanes)])
-    out = plus[0]
-    for p in plus[1:]:
-        out = add(out, p)
-    for m in minus:
-        out = subtract(out, m)
-    return out
+    return wide.combine(plus, minus)
 
 
 def add(a: Column, b: Column) -> Column:
@@ -46,8 +42,8 @@ def vector_sum(
     """Sum a vector column per group modulo 2^64, keeping it a vector.
 
     Short vectors become one wide aggregate (no row is multiplied).  Long ones are
-    summed lane by lane and put back together; that array has ``n_lanes`` elements,
-    a constant of the profile.
+    first summed per Arrow batch, then lane by lane, and put back together; that array
+    has ``n_lanes`` elements, a constant of the profile.  Keys of long ones are bigint.
     """
     s = F.col(sign) if sign else None
     if n_lanes <= WIDE_LANES:
@@ -55,8 +51,9 @@ def vector_sum(
         summed = df.groupBy(*keys).agg(*aggs, *extra)
         drop = [f"_s{i}_{j}" for i in range(n_lanes) for j in range(3)]
         return summed.withColumn(out, F.array(*[limb_total(f"_s{i}") for i in range(n_lanes)])).drop(*drop)
-    lanes = df.select(*keys, *([sign] if sign else []), F.posexplode(vector).alias("_lane", "_x"))
-    summed = lanes.groupBy(*keys, "_lane").agg(*limb_sums(F.col("_x"), "_s", s))
+    partial = wide.batch_sums(df, keys, vector, sign)
+    lanes = partial.select(*keys, F.posexplode(vector).alias("_lane", "_x"))
+    summed = lanes.groupBy(*keys, "_lane").agg(*limb_sums(F.col("_x"), "_s"))
     rebuilt = (
         summed.select(*keys, F.struct("_lane", limb_total("_s").alias("_v")).alias("_e"))
         .groupBy(*keys)

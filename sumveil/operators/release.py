@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumveil.functions.vectors import combine, vector_sum, zeros
+from sumveil.functions.vectors import WIDE_LANES, combine, vector_sum, zeros
 from sumveil.operators.commits import token_semi
 
 WINDOW = ["universe_id", "producer_id", "ws"]
@@ -33,6 +33,12 @@ def release(ciphers: DataFrame, tokens: DataFrame, n_lanes: int, cipher: str = "
     parts = ciphers.select("universe_id", "ws", F.col(cipher).alias("_x"), F.lit(1).alias("_c"), F.lit(0).alias("_t")).unionByName(
         got.select("universe_id", "ws", F.col("token").alias("_x"), F.lit(0).alias("_c"), F.lit(1).alias("_t"))
     )
+    if n_lanes > WIDE_LANES:
+        # Both counts ride along as two more lanes of the same sum.
+        counted = parts.withColumn("_x", F.concat("_x", F.array(F.col("_c").cast("bigint"), F.col("_t").cast("bigint"))))
+        total = vector_sum(counted, ["universe_id", "ws"], "_x", n_lanes + 2, out="_v")
+        full = total.filter(F.col("_v")[n_lanes] == F.col("_v")[n_lanes + 1])
+        return full.select("universe_id", "ws", F.col("_v")[n_lanes].alias("producers"), F.slice("_v", 1, n_lanes).alias("v"))
     total = vector_sum(
         parts, ["universe_id", "ws"], "_x", n_lanes,
         extra=[F.sum("_c").alias("producers"), F.sum("_t").alias("tokens")], out="v",
