@@ -46,7 +46,7 @@ def decode_var(s: Column, q: Column, n: Column) -> Column:
 
 def decode_stddev(s: Column, q: Column, n: Column) -> Column:
     # Rounding can leave a constant population a hair below zero.
-    return F.sqrt(F.greatest(decode_var(s, q, n), F.lit(0.0)))
+    return F.when(n > 0, F.sqrt(F.greatest(decode_var(s, q, n), F.lit(0.0))))
 
 
 def decode_regression(sx: Column, sxx: Column, sy: Column, sxy: Column, n: Column) -> tuple[Column, Column]:

@@ -70,8 +70,8 @@ _POLAR_BINS = (
     Bins("heartrate", 0, 220, hist="heartrateHist"),
     Bins("altitude", -10, 310, 10, "altitudeHist", "heartrateXaltitude"),
     Bins("speed", 0, 44, 1, "speedHist", "heartrateXspeed"),
-    Bins("ascent", 0, 50, 1, "ascentHist", "heartrateXascent"),
-    Bins("descent", 0, 50, 1, "descentHist", "heartrateXdescent"),
+    Bins("ascent", 0, 51, 1, "ascentHist", "heartrateXascent"),
+    Bins("descent", 0, 51, 1, "descentHist", "heartrateXdescent"),
     Bins("temperature", -10, 51, 1, "temperatureHist", "heartrateXtemperature"),
 )
 

@@ -96,7 +96,6 @@ def state_store(spark: SparkSession, provider: str | None):
 
 def run_to_table(
     df: DataFrame, purpose: str, mode: str = "append", folder: str | None = None, provider: str | None = None,
-    timeout: int | None = None,
 ) -> DataFrame:
     """Drain the stream's available input into a parquet table and read it back.
 
@@ -104,14 +103,22 @@ def run_to_table(
     """
     spark = df.sparkSession
     folder = folder or scratch_dir(spark, purpose)
-    with state_store(spark, provider):
-        q = (
+    start(df, folder, mode, provider, availableNow=True).awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
+def start(df: DataFrame, folder: str, mode: str = "append", provider: str | None = None, **trigger):
+    """Start a query into ``folder/rows`` with its checkpoint in ``folder/state``.
+
+    A query with processing-time timers never runs out of work: give it a
+    ``processingTime`` trigger and stop it from outside.
+    """
+    with state_store(df.sparkSession, provider):
+        return (
             df.writeStream.format("parquet").outputMode(mode)
             .option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
-            .trigger(availableNow=True).start()
+            .trigger(**trigger).start()
         )
-    q.awaitTermination(timeout) if timeout else q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
 def with_start(df: DataFrame) -> DataFrame:
