@@ -8,6 +8,7 @@ from sumveil.catalog.registry import query
 from sumveil.catalog.sqlviews import DAY, with_views, ws
 from sumveil.operators import chain, release as rl, telescoping as tl
 from sumveil.plans import profiles as pf
+from sumveil.session import materialize
 from sumveil.sources import fixtures as fx
 
 UW = ["universe_id", "ws"]
@@ -65,8 +66,9 @@ def _private(events, lanes, fields: dict[str, int], size: int):
     (producer, window), never per event.
     """
     n = pf.n_lanes(fields)
-    keys = fx.stream_keys(events)
-    present = chain.complete_windows(chain.window_spans(events, size), size)
+    spans = materialize(chain.window_spans(events, size), "producer-windows")
+    keys = fx.stream_keys(spans)
+    present = chain.complete_windows(spans, size)
     wkeys = tl.window_keys(present, keys, n, size)
     ciphers = tl.mask_window_sums(pf.dense_vectors(lanes, WINDOW, fields), wkeys, "v", n)
     tokens = rl.plain_tokens(wkeys, n)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sumveil.catalog.registry import query
 from sumveil.catalog.sqlviews import DAY, with_views
-from sumveil.catalog.window_queries import committed as committed_std
+from sumveil.catalog.window_queries import committed as committed_std, committed_windows
 from sumveil.functions import encodings as enc
 from sumveil.functions.prf import prf_lanes
 from sumveil.functions.vectors import lanes_to_columns, vector_sum
@@ -26,20 +26,17 @@ def _vector():
 
 
 def _committed_sums(events):
-    """Vector sums and the committed (producer, window) pairs of a universe's events."""
-    spans = chain.window_spans(events, W)
-    in_time = cm.in_time(fx.commits(events), W, 6000)
-    present = cm.committed(chain.complete_windows(spans, W), in_time)
-    sums = ag.producer_sums(events, W, dict(zip(LANES, enc.var_lanes(F.col("value")))))
-    joined = cm.commit_join(sums, present).select(*WINDOW, F.array(*LANES).alias("x"))
-    return joined, present
+    """Vector sums of the committed (producer, window) pairs, the pairs, and all producers."""
+    windows, present = committed_windows(events)
+    sums = cm.commit_join(windows, present).select(*WINDOW, F.array(*LANES).alias("x"))
+    return sums, present, windows
 
 
 def _ciphers(events):
-    """Encrypted vectors, window keys and the committed (producer, window) pairs."""
-    sums, present = _committed_sums(events)
-    wkeys = tl.window_keys(present, fx.stream_keys(events), L, W)
-    return tl.mask_window_sums(sums, wkeys, "x", L), wkeys, present
+    """Encrypted vectors, window keys, the committed (producer, window) pairs, all producers."""
+    sums, present, windows = _committed_sums(events)
+    wkeys = tl.window_keys(present, fx.stream_keys(windows), L, W)
+    return tl.mask_window_sums(sums, wkeys, "x", L), wkeys, present, windows
 
 
 def _released(df):
@@ -80,7 +77,7 @@ _MISSING = f"NOT (ws = 1704844800000)"
 def release(spark, sf):
     """All-or-nothing: one window lacks a token and stays shut, one producer sends twice."""
     events = fx.std(spark, sf)
-    ciphers, wkeys, present = _ciphers(events)
+    ciphers, wkeys, present, windows = _ciphers(events)
     tokens = rl.plain_tokens(wkeys, L)
     first = present.filter(F.col("ws") == 1704844800000).agg(F.min("producer_id")).scalar()
     sent = tokens.filter(~((F.col("ws") == 1704844800000) & (F.col("producer_id") == first)))
@@ -102,22 +99,22 @@ def _csum_sql(view: str) -> str:
 def release_clique(spark, sf):
     """Release with masks between all pairs of a cohort; equals the plain committed sums."""
     events = fx.cohort_std(spark, sf, fx.CLIQUE_SIZE)
-    ciphers, wkeys, present = _ciphers(events)
-    masks = mk.clique_masks(present, fx.pair_keys(events, fx.CLIQUE_SIZE), L)
+    ciphers, wkeys, present, windows = _ciphers(events)
+    masks = mk.clique_masks(present, fx.pair_keys(windows, fx.CLIQUE_SIZE), L)
     return _released(rl.release(ciphers, rl.masked_tokens(masks, wkeys, L), L))
 
 
-def _graph(events, present):
+def _graph(producers, present):
     epochs = mk.with_round(present.select("universe_id", "ws"), W, ROUNDS).select("universe_id", "epoch")
-    return mk.epoch_graph(fx.pair_keys(events, fx.GRAPH_SIZE), epochs, K)
+    return mk.epoch_graph(fx.pair_keys(producers, fx.GRAPH_SIZE), epochs, K)
 
 
 @query("K5 K6 K7 T10", _csum_sql("graphed"))
 def release_graph(spark, sf):
     """Release with masks over the random graph of each window's round."""
     events = fx.cohort_std(spark, sf, fx.GRAPH_SIZE)
-    ciphers, wkeys, present = _ciphers(events)
-    masks = mk.graph_masks(present, _graph(events, present), L, W, ROUNDS)
+    ciphers, wkeys, present, windows = _ciphers(events)
+    masks = mk.graph_masks(present, _graph(windows, present), L, W, ROUNDS)
     return _released(rl.release(ciphers, rl.masked_tokens(masks, wkeys, L), L))
 
 
@@ -135,17 +132,17 @@ def _mask_total(masks):
 def mask_clique_zero(spark, sf):
     """All-pairs masks of a window add up to zero."""
     events = fx.cohort_std(spark, sf, fx.CLIQUE_SIZE)
-    _, present = _committed_sums(events)
-    return _mask_total(mk.clique_masks(present, fx.pair_keys(events, fx.CLIQUE_SIZE), L))
+    _, present, windows = _committed_sums(events)
+    return _mask_total(mk.clique_masks(present, fx.pair_keys(windows, fx.CLIQUE_SIZE), L))
 
 
 @query("K5 J7", _zero_sql("graphed"))
 def mask_graph_zero(spark, sf):
     """Graph masks add up to zero after the dropped producers' edges are taken out."""
     events = fx.cohort_std(spark, sf, fx.GRAPH_SIZE)
-    _, present = _committed_sums(events)
+    _, present, windows = _committed_sums(events)
     seen = mb.first_seen(present, W, ROUNDS)
-    edges = mk.round_edges(_graph(events, present), present, W, ROUNDS)
+    edges = mk.round_edges(_graph(windows, present), present, W, ROUNDS)
     for end in ("a", "b"):
         known = seen.select("universe_id", F.col("producer_id").alias(end), "first_ws")
         edges = edges.join(known, ["universe_id", end]).filter(F.col("first_ws") <= F.col("ws")).drop("first_ws")
@@ -158,8 +155,8 @@ def mask_graph_zero(spark, sf):
 def mask_sampled_zero(spark, sf):
     """Masks over pairs drawn afresh each window add up to zero."""
     events = fx.cohort_std(spark, sf, fx.CLIQUE_SIZE)
-    _, present = _committed_sums(events)
-    return _mask_total(mk.sampled_masks(present, fx.pair_keys(events, fx.CLIQUE_SIZE), L, 1))
+    _, present, windows = _committed_sums(events)
+    return _mask_total(mk.sampled_masks(present, fx.pair_keys(windows, fx.CLIQUE_SIZE), L, 1))
 
 
 @query("K10", with_views(["psums", "committed"], """
@@ -167,7 +164,7 @@ def mask_sampled_zero(spark, sf):
 def release_single(spark, sf):
     """Single-producer release without masks."""
     events = fx.std(spark, sf)
-    ciphers, wkeys, _ = _ciphers(events)
+    ciphers, wkeys, _, _ = _ciphers(events)
     return lanes_to_columns(rl.release_single(ciphers, wkeys, L), "v", LANES)
 
 

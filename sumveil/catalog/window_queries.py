@@ -10,6 +10,7 @@ from sumveil.functions import encodings as enc
 from sumveil.functions import timewin as tw
 from sumveil.operators import aggregate as ag
 from sumveil.operators import chain, commits as cm, history as hs, membership as mb
+from sumveil.session import materialize
 from sumveil.sources import fixtures as fx
 
 W = fx.W
@@ -40,8 +41,15 @@ def timely(spark, sf):
     return cm.in_time(fx.commits(fx.std(spark, sf)), W, DEADLINE)
 
 
+def committed_windows(events):
+    """Written tables of one pass over the events: producer windows with sums, and the committed ones."""
+    windows = materialize(chain.window_spans(events, W, measures=_measures()), "producer-windows")
+    in_time = cm.in_time(fx.commits(windows), W, DEADLINE)
+    return windows, materialize(cm.committed(chain.complete_windows(windows, W), in_time), "committed")
+
+
 def committed(spark, sf):
-    return cm.committed(complete(spark, sf), timely(spark, sf))
+    return committed_windows(fx.std(spark, sf))[1]
 
 
 def diffs(spark, sf):
@@ -74,8 +82,8 @@ def plain_universe_full(spark, sf):
 
 @query("A3 J1", with_views(["csum"], "SELECT universe_id, ws, s, q, n, producers FROM csum"))
 def committed_sum(spark, sf):
-    joined = cm.commit_join(_producer_sums(spark, sf), committed(spark, sf))
-    return ag.population_sums(joined, ["s", "q", "n"])
+    windows, present = committed_windows(fx.std(spark, sf))
+    return ag.population_sums(cm.commit_join(windows, present), ["s", "q", "n"])
 
 
 @query("A7 W1", with_views(["timely"], """

@@ -3,8 +3,9 @@
 One block per lane holds 8 bytes of time and 8 bytes of lane, both big endian and
 0-based; the lane's key is the XOR of the two halves of the encrypted block.  All
 lanes (and both ends of a window) go into ONE ``aes_encrypt`` call, because setting
-up the cipher costs far more than a block.  Blocks are cut out of the binary result,
-which is a constant-time slice (cutting a string would scan it from its start).
+up the cipher costs far more than a block.  The encrypted blocks are decoded to
+bigint lanes by an Arrow kernel; the string functions SQL offers for it cost more than
+the cipher.
 """
 
 from __future__ import annotations
@@ -13,14 +14,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sumveil.functions import wide
-from sumveil.functions.arith import let, wrap_sum
 
 # Lanes outside 0..n that keep other uses of the same key apart.
 GRAPH_LANE = -1
 SAMPLE_LANE = -2
 
-UNROLL = 16
-
 
 def _lane_hex(lane: int) -> str:
     return format(lane & ((1 << 64) - 1), "016X")
@@ -59,28 +57,16 @@ def lane_blocks(key: Column, times: list[Column], n_lanes: int) -> Column:
     return _encrypt(F.concat(*[_blocks(t, range(n_lanes)) for t in times]), key)
 
 
-def _lane_key(data: Column, at) -> Column:
-    """Key of the block that starts after ``at`` bytes."""
-    return _long(data, at + 1).bitwiseXOR(_long(data, at + 9))
-
-
 def parse_lanes(data: Column, n_lanes: int, time_index: int = 0) -> Column:
     """``array<bigint>`` of lane keys out of :func:`lane_blocks`."""
-    base = 16 * n_lanes * time_index
-    if n_lanes <= UNROLL:
-        return F.array(*[_lane_key(data, base + 16 * i) for i in range(n_lanes)])
     return F.slice(wide.decode(data), n_lanes * time_index + 1, n_lanes)
 
 
 def prf_lanes(key: Column, time: Column, n_lanes: int) -> Column:
     """Lane keys of one time as ``array<bigint>``."""
-    return parse_lanes(lane_blocks(key, [time], n_lanes), n_lanes)
+    return wide.decode(lane_blocks(key, [time], n_lanes))
 
 
 def key_difference(key: Column, end: Column, start: Column, n_lanes: int) -> Column:
     """F(end) - F(start) as ``array<bigint>``, from one cipher call."""
-    data = lane_blocks(key, [end, start], n_lanes)
-    if n_lanes <= UNROLL:
-        lane = lambda d, i: wrap_sum([_lane_key(d, 16 * i)], [_lane_key(d, 16 * (n_lanes + i))])
-        return let(data, lambda d: F.array(*[lane(d, i) for i in range(n_lanes)]))
-    return wide.decode_difference(data)
+    return wide.decode_difference(lane_blocks(key, [end, start], n_lanes))

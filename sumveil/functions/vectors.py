@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sumveil.functions import wide
 from sumveil.functions.arith import limb_sums, limb_total, wrap_sum
 
-WIDE_LANES = 16
+WIDE_LANES = 8
 
 
 def combine(n_lanes: int, plus: list[Column], minus: list[Column] = ()) -> Column:

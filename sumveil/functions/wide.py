@@ -1,8 +1,9 @@
-"""Arrow kernels for vectors of hundreds of lanes.
+"""Arrow kernels that decode and add vectors.
 
 Turning 16 encrypted bytes into a bigint takes several string steps per lane in SQL
-(about 2 microseconds measured), so long vectors are decoded and added by numpy on
-whole Arrow batches; integer arithmetic there wraps modulo 2^64 by itself.  Ciphers,
+(about 2 microseconds measured) and generated methods too long to be compiled, so
+blocks are decoded, and long vectors added, by numpy on whole Arrow batches; integer
+arithmetic there wraps modulo 2^64 by itself.  Ciphers,
 shuffles and groupings stay with Spark, and batches are bounded by
 ``spark.sql.execution.arrow.maxBytesPerBatch``.
 """

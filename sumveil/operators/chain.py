@@ -43,7 +43,6 @@ def with_previous(
     ts: str = "ts_ms",
     slice_ms: int = SLICE_MS,
     carried: DataFrame | None = None,
-    keep_slice: bool = False,
 ) -> DataFrame:
     """Add ``ws`` and ``prev_ts``, the producer's previous time in the window (``ws - 1`` first).
 
@@ -53,7 +52,6 @@ def with_previous(
     (such as its key) on the slice summaries, where one row stands for many events.
     """
     rows = with_window(df, size_ms, ts).withColumn("_slice", idiv(floor_mod(F.col(ts), size_ms), slice_ms))
-    rows = spread(rows, *keys, "ws", "_slice")
     summary = rows.groupBy(*keys, "ws", "_slice").agg(F.max(ts).alias("_last"))
     by_slice = Window.partitionBy(*keys, "ws").orderBy("_slice")
     summary = summary.select(
@@ -62,28 +60,31 @@ def with_previous(
     if carried is not None:
         summary = summary.join(carried, "producer_id")
     in_slice = Window.partitionBy(*keys, "ws", "_slice").orderBy(ts)
-    rows = rows.withColumn("_lag", F.lag(ts).over(in_slice))
-    linked = (
+    rows = spread(rows, *keys, "ws", "_slice").withColumn("_lag", F.lag(ts).over(in_slice))
+    return (
         rows.join(summary, [*keys, "ws", "_slice"])
         .withColumn("prev_ts", F.coalesce("_lag", "_from"))
-        .withColumn("starts_slice", F.col("_lag").isNull())
-        .drop("_lag", "_from")
+        .drop("_slice", "_lag", "_from")
     )
-    return linked if keep_slice else linked.drop("_slice", "starts_slice")
 
 
-def window_spans(df: DataFrame, size_ms: int, keys: list[str] = KEYS, ts: str = "ts_ms", value: str | None = None) -> DataFrame:
-    """Per (producer, window): number of values, last value time, whether the producer moved on.
+def window_spans(
+    df: DataFrame, size_ms: int, keys: list[str] = KEYS, ts: str = "ts_ms", value: str | None = None,
+    measures: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Per (producer, window): number of values, last value time, sums of measures, whether the producer moved on.
 
-    Rows whose ``value`` is null are heartbeats: they only show that time has advanced.
+    One pass over the records.  Rows whose ``value`` is null are heartbeats: they only
+    show that time has advanced.  What follows works on one row per window, so a
+    producer's rows are as many as the timeline has windows.
     """
     has_value = F.lit(True) if value is None else F.col(value).isNotNull()
     w = with_window(df, size_ms, ts).groupBy(*keys, "ws").agg(
         F.count(F.when(has_value, 1)).alias("n_values"),
         F.max(F.when(has_value, F.col(ts))).alias("max_ts"),
+        *[F.sum(c).alias(name) for name, c in (measures or {}).items()],
     )
-    last = w.groupBy(*keys).agg(F.max("ws").alias("_last_ws"))
-    return w.join(last, keys).withColumn("moved_on", F.col("ws") < F.col("_last_ws")).drop("_last_ws")
+    return w.withColumn("moved_on", F.col("ws") < F.max("ws").over(Window.partitionBy(*keys)))
 
 
 def boundary_rows(spans: DataFrame, size_ms: int, keys: list[str] = KEYS) -> DataFrame:

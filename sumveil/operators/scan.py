@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sumveil.functions.timewin import idiv, floor_mod
+from sumveil.session import materialize
 
 _AGGS = {"max": (F.max, lambda a, b: F.greatest(a, b)), "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))}
 
@@ -30,7 +31,7 @@ def running_before(
     ``order`` must be unique within a key for rows with different values to be ordered.
     """
     fn, merge = _AGGS[agg]
-    blocked = df.withColumn("_block", _block(order, width)).repartition(*keys, "_block")
+    blocked = df.withColumn("_block", _block(order, width))
     earlier_blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         blocked.groupBy(*keys, "_block")
@@ -52,7 +53,19 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, width:
     Values are first reduced to (value, frequency); ranks come from a blocked running
     sum, so neither rows nor distinct values of a key meet in one task.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counts = frequencies(df, keys, value)
+    return quantile_of_frequencies(counts, keys, value, q, width, out)
+
+
+def frequencies(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, _n) as a written table, for the several passes statistics make."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    return materialize(counted, "frequencies")
+
+
+def quantile_of_frequencies(
+    counts: DataFrame, keys: list[str], value: str, q: float, width: int = 4096, out: str = "quantile"
+) -> DataFrame:
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     ranked = running_before(counts, keys, value, "_n", width, "sum", "_before").join(totals, keys)
     position = F.lit(float(q)) * (F.col("_all") - 1)

@@ -7,13 +7,12 @@ key vectors, whatever the number of events.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sumveil.functions.prf import key_difference, prf_lanes
+from sumveil.functions.prf import key_difference
 from sumveil.functions.vectors import combine, vector_sum
 from sumveil.session import spread
-from sumveil.operators.chain import KEYS, SLICE_MS, boundary_rows, window_spans, with_previous
+from sumveil.operators.chain import SLICE_MS, boundary_rows, window_spans, with_previous
 
 WINDOW = ["universe_id", "producer_id", "ws"]
 
@@ -23,19 +22,11 @@ def encrypt_stream(
 ) -> DataFrame:
     """Encrypt each event's vector; the output has ``ts_ms``, ``prev_ts`` and ``c``.
 
-    The key vector of an event's own time is computed once; its predecessor's comes
-    from ``lag`` inside the time slice, and only a slice's first row computes it anew.
+    Both keys of an event come from one cipher call.
     """
-    rows = with_previous(events.withColumn("_x", vector), size_ms, slice_ms=slice_ms, carried=keys, keep_slice=True)
-    rows = rows.withColumn("_f", prf_lanes(F.col("key"), F.col("ts_ms"), n_lanes))
-    in_slice = Window.partitionBy(*KEYS, "ws", "_slice").orderBy("ts_ms")
-    before = F.when(F.col("starts_slice"), prf_lanes(F.col("key"), F.col("prev_ts"), n_lanes)).otherwise(
-        F.lag("_f").over(in_slice)
-    )
-    rows = rows.withColumn("_g", before)
-    return rows.withColumn("c", combine(n_lanes, [F.col("_x"), F.col("_f")], [F.col("_g")])).drop(
-        "_x", "_f", "_g", "_slice", "starts_slice", "key"
-    )
+    rows = with_previous(events.withColumn("_x", vector), size_ms, slice_ms=slice_ms, carried=keys)
+    gap = key_difference(F.col("key"), F.col("ts_ms"), F.col("prev_ts"), n_lanes)
+    return rows.withColumn("c", combine(n_lanes, [F.col("_x"), gap])).drop("_x", "key")
 
 
 def decrypt(df: DataFrame, keys: DataFrame, cipher: str, start: Column, end: Column, n_lanes: int, out: str = "v") -> DataFrame:

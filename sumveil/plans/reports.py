@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumveil.operators.history import trim_runs
-from sumveil.operators.scan import exact_quantile
+from sumveil.operators.scan import frequencies, quantile_of_frequencies
+from sumveil.session import materialize
 
 # Fields of each encoding with ten buckets, 8-byte words, 16-byte header.
 ENCODING_FIELDS = {"sum": 1, "count": 1, "avg": 2, "var": 3, "hist": 10, "max": 10, "min": 10, "reg": 5}
@@ -15,15 +16,16 @@ WORD, HEADER = 8, 16
 
 def latency_stats(df: DataFrame, keys: list[str], value: str = "latency_ms") -> DataFrame:
     """Count, mean, exact median, extremes and sample deviation of an integer latency."""
-    x = F.col(value)
-    basic = df.groupBy(*keys).agg(
-        F.count(x).alias("n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_q"),
+    counts = frequencies(df, keys, value)
+    x, c = F.col(value), F.col("_n")
+    basic = counts.groupBy(*keys).agg(
+        F.sum(c).alias("n"), F.sum(x * c).alias("_s"), F.sum(x * x * c).alias("_q"),
         F.min(x).alias("min_ms"), F.max(x).alias("max_ms"),
     )
     n, s, q = (F.col(c).cast("double") for c in ("n", "_s", "_q"))
     # Integer sums make the deviation independent of the order of rows.
     deviation = F.when(F.col("n") > 1, F.sqrt((F.col("n") * F.col("_q") - F.col("_s") * F.col("_s")).cast("double") / (n * (n - 1))))
-    median = exact_quantile(df, keys, value, 0.5, out="median_ms")
+    median = quantile_of_frequencies(counts, keys, value, 0.5, out="median_ms")
     return basic.select(
         *keys, "n", (s / n).alias("mean_ms"), "min_ms", "max_ms", deviation.alias("stdev_ms")
     ).join(median, keys)
@@ -31,7 +33,7 @@ def latency_stats(df: DataFrame, keys: list[str], value: str = "latency_ms") ->
 
 def latency_comparison(runs: DataFrame, grace_ms: int) -> DataFrame:
     """Private against plain latency per run: trimmed, less grace, with difference and factor."""
-    trimmed = trim_runs(runs, ["run", "kind"]).withColumn("latency_ms", F.col("latency_ms") - grace_ms)
+    trimmed = trim_runs(materialize(runs, "runs"), ["run", "kind"]).withColumn("latency_ms", F.col("latency_ms") - grace_ms)
     stats = latency_stats(trimmed, ["run", "kind"])
     side = lambda kind: stats.filter(F.col("kind") == kind).select(
         "run", F.col("mean_ms").alias(f"mean_{kind}"), F.col("median_ms").alias(f"median_{kind}")

@@ -133,7 +133,8 @@ def web(spark: SparkSession, sf: str) -> DataFrame:
 
 def commits(events: DataFrame) -> DataFrame:
     """One commit per (producer, window) with an arrival time; some producers skip even days."""
-    seen = events.select("universe_id", "producer_id", window_start(F.col("ts_ms"), W).alias("ws")).distinct()
+    ws = F.col("ws") if "ws" in events.columns else window_start(F.col("ts_ms"), W)
+    seen = events.select("universe_id", "producer_id", ws.alias("ws")).distinct()
     skips = (F.col("producer_id") % 10 == 7) & (idiv(F.col("ws"), W) % 2 == 0)
     return seen.filter(~skips).withColumn("commit_ts", F.col("ws") + W + 1000 * (F.col("producer_id") % 8))
 
