@@ -11,6 +11,7 @@ from sumveil.functions import encodings as enc
 from sumveil.functions.prf import prf_lanes
 from sumveil.functions.vectors import lanes_to_columns, vector_sum
 from sumveil.operators import aggregate as ag, chain, commits as cm, masks as mk, membership as mb, release as rl, telescoping as tl
+from sumveil.session import scratch_dir
 from sumveil.sources import fixtures as fx
 
 W = fx.W
@@ -176,6 +177,30 @@ def release_single(spark, sf):
 def graph_degree(spark, sf):
     """Each pair of a universe is an edge exactly once per segment of an epoch."""
     events = fx.cohort_std(spark, sf, fx.GRAPH_SIZE)
-    epochs = events.select("universe_id").distinct().withColumn("epoch", F.lit(1701993600000))
+    epochs = events.select("universe_id").distinct().withColumn("epoch", F.lit(1703116800000))
     g = mk.epoch_graph(fx.pair_keys(events, fx.GRAPH_SIZE), epochs, K)
     return g.groupBy("universe_id", F.expr(f"t div {1 << K}").alias("segment")).agg(F.count("*").alias("edges"))
+
+
+@query("K7 K8", with_views(["graphed", "committed"], f"""
+    SELECT universe_id, t // {1 << K} AS segment, sum(pairs)::BIGINT AS edges FROM (
+        SELECT universe_id, count(*) * (count(*) - 1) // 2 AS pairs
+        FROM (SELECT DISTINCT g.universe_id, producer_id FROM graphed g SEMI JOIN committed USING (producer_id)) GROUP BY universe_id),
+        (SELECT unnest(range(0, {ROUNDS}, {1 << K})) AS t)
+    WHERE pairs > 0 GROUP BY ALL"""))
+def graph_incremental(spark, sf):
+    """Members that join within the epoch add only their own pairs; a stored, finished epoch is not read."""
+    _, present, windows = _committed_sums(fx.cohort_std(spark, sf, fx.GRAPH_SIZE))
+    seen = mb.first_seen(present, W, ROUNDS)
+    start = present.groupBy("universe_id").agg(F.min("ws").alias("start_ws"))
+    seen = seen.join(start, "universe_id")
+    base, new = seen.filter("first_ws = start_ws"), seen.filter("first_ws > start_ws")
+    epochs = seen.select("universe_id", "epoch").distinct()
+    over = epochs.withColumn("epoch", F.col("epoch") - W * ROUNDS)
+    pairs = fx.pair_keys(windows, fx.GRAPH_SIZE)
+    nobody = base.filter("false")
+    path = scratch_dir(spark, "graph")
+    mk.write_graph(mk.epoch_graph(mk.new_pairs(pairs, nobody, base), epochs.unionByName(over), K), path)
+    mk.write_graph(mk.epoch_graph(mk.new_pairs(pairs, base, new), epochs, K), path)
+    g = mk.retained_graph(spark, path, 1703116800000)
+    return g.groupBy("universe_id", F.expr(f"t div {1 << K}").alias("segment")).agg(F.count("*").alias("edges"))

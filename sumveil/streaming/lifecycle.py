@@ -8,7 +8,10 @@ per task and trigger, however many records its universe has.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -16,6 +19,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from sumveil.functions.timewin import window_start
 
+# The functions below travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FACTS = "universe_id bigint, kind string, ws bigint, n bigint, max_ts bigint"
 OUTPUT = StructType([StructField(c, LongType()) for c in ("universe_id", "ws", "status", "commits", "tokens")])
 WINDOW_STATE = "status bigint, expected bigint, commits bigint, tokens bigint, due bigint"
