@@ -97,13 +97,13 @@ def plain_web(spark, sf):
 @query("P2 K3 K6 A4", _sql("polar", _lane_rows(pf.POLAR), YEAR, True))
 def private_polar(spark, sf):
     events = fx.polar(spark, sf)
-    return _private(events, pf.lane_totals(_windowed(events, YEAR), WINDOW, pf.POLAR), pf.POLAR.fields, YEAR)
+    return _private(events, pf.fine_lane_totals(_windowed(events, YEAR), WINDOW, pf.POLAR), pf.POLAR.fields, YEAR)
 
 
 @query("P3 K3 K6 A4", _sql("car", _lane_rows(pf.CAR), YEAR, True))
 def private_car(spark, sf):
     events = fx.car(spark, sf)
-    return _private(events, pf.lane_totals(_windowed(events, YEAR), WINDOW, pf.CAR), pf.CAR.fields, YEAR)
+    return _private(events, pf.fine_lane_totals(_windowed(events, YEAR), WINDOW, pf.CAR), pf.CAR.fields, YEAR)
 
 
 @query("P4 K3 K6 A4", _sql("web", _web_rows(), 5 * DAY, True))

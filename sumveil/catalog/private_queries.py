@@ -148,7 +148,7 @@ def mask_graph_zero(spark, sf):
         known = seen.select("universe_id", F.col("producer_id").alias(end), "first_ws")
         edges = edges.join(known, ["universe_id", end]).filter(F.col("first_ws") <= F.col("ws")).drop("first_ws")
     edges = mk.exclude_dropped(edges, mb.dropped_rows(present, W, ROUNDS))
-    masks = mk._for_all(present, mk.signed_sums(edges, L), L)
+    masks = mk.for_all_present(present, mk.signed_sums(edges, L), L)
     return _mask_total(masks)
 
 

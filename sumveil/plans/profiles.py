@@ -146,34 +146,62 @@ def base_totals(df: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
     return wide.select(*keys, "n", attrs.alias("_b")).select(*keys, "_b.attr", "n", "_b.s", "_b.q")
 
 
-def _field_of(profile: Profile, kind: str) -> Column:
-    """Field name of an axis, null where the axis has no such field."""
-    name = F.lit(None).cast("string")
-    for b in profile.bins:
-        name = F.when(F.col("axis") == b.attr, F.lit(getattr(b, kind))).otherwise(name)
-    return name
-
-
 def lane_totals(df: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
-    """Long lane table (keys, field, lane, v) of all sums of a profile; empty lanes are absent."""
-    wide = [F.count("*").alias("_n")]
-    for a in profile.attrs:
-        wide += [F.sum(a).alias(f"_s_{a}"), F.sum(F.col(a) * F.col(a)).alias(f"_q_{a}")]
-    entry = lambda f, lane, v: F.struct(F.lit(f).alias("field"), F.lit(lane).cast("bigint").alias("lane"), v.alias("v"))
-    lanes = [entry("count", 0, F.col("_n"))]
-    for a in profile.attrs:
-        lanes += [entry(f"{a}Base", 0, F.col(f"_s_{a}")), entry(f"{a}Base", 1, F.col(f"_q_{a}"))]
-    base = df.groupBy(*keys).agg(*wide).select(*keys, F.explode(F.array(*lanes)).alias("_l"))
-    base = base.select(*keys, "_l.field", "_l.lane", "_l.v")
+    """Long lane table (keys, field, lane, v) of all sums of a profile; empty lanes are absent.
+
+    One pass over the events: per (keys, axis, bin) it sums the count, the main
+    attribute, the axis' own attribute and its square.  All fields follow from that
+    reduced table; base fields by adding up the bins of their axis.
+    """
+    entry = lambda f, lane, v: F.struct(
+        F.lit(f).alias("field"), (F.lit(lane) if isinstance(lane, int) else lane).cast("bigint").alias("lane"), v.alias("v")
+    )
+    n, s, x, q = (F.col(c) for c in ("_n", "_s", "_x", "_q"))
     if not profile.bins:
-        return base
-    pair = F.explode(F.array(
-        F.struct(_field_of(profile, "hist").alias("field"), F.col("n").alias("v")),
-        F.struct(_field_of(profile, "grouped").alias("field"), F.col("s").alias("v")),
-    ))
-    binned = bin_totals(df, keys, profile).select(*keys, F.col("bin").alias("lane"), pair.alias("_l"))
-    binned = binned.select(*keys, "_l.field", "lane", "_l.v").filter(F.col("field").isNotNull() & (F.col("v") != 0))
-    return base.unionByName(binned)
+        (a,) = profile.attrs
+        sums = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(a).alias("_x"), F.sum(F.col(a) * F.col(a)).alias("_q"))
+        lanes = F.array(entry("count", 0, n), entry(f"{a}Base", 0, x), entry(f"{a}Base", 1, q))
+        return sums.select(*keys, F.explode(lanes).alias("_l")).select(*keys, "_l.field", "_l.lane", "_l.v").filter("v <> 0")
+    axes = F.array(*[
+        F.struct(F.lit(i).alias("axis"), b.index().alias("bin"), F.col(b.attr).alias("x")) for i, b in enumerate(profile.bins)
+    ])
+    rows = df.select(*keys, F.col(profile.main).alias("_m"), F.explode(axes).alias("_a"))
+    binned = rows.groupBy(*keys, F.col("_a.axis").alias("_axis"), F.col("_a.bin").alias("_bin")).agg(
+        F.count("*").alias("_n"), F.sum("_m").alias("_s"), F.sum("_a.x").alias("_x"),
+        F.sum(F.col("_a.x") * F.col("_a.x")).alias("_q"),
+    )
+    lanes = F.lit(None)
+    for i, b in enumerate(profile.bins):
+        out = [entry(f"{b.attr}Base", 0, x), entry(f"{b.attr}Base", 1, q)]
+        out += [entry(b.hist, F.col("_bin"), n)] if b.hist else []
+        out += [entry(b.grouped, F.col("_bin"), s)] if b.grouped else []
+        out += [entry("count", 0, n)] if i == 0 else []  # every event has one bin on the first axis
+        lanes = F.when(F.col("_axis") == i, F.array(*out)).otherwise(lanes)
+    each = binned.select(*keys, F.explode(lanes).alias("_l"))
+    return each.groupBy(*keys, "_l.field", "_l.lane").agg(F.sum("_l.v").alias("v")).filter("v <> 0")
+
+
+def fine_lane_totals(df: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
+    """The lanes of :func:`lane_totals` for fine keys, such as (producer, window).
+
+    There a bin rarely holds more than one event, so adding up bins would shuffle
+    about as much as the events; base fields come from a second, unexploded pass.
+    """
+    entry = lambda f, lane, v: F.struct(F.lit(f).alias("field"), lane.cast("bigint").alias("lane"), v.alias("v"))
+    base = base_totals(df, keys, profile)
+    wide = base.select(*keys, F.explode(F.array(
+        F.struct(F.concat("attr", F.lit("Base")).alias("field"), F.lit(0).cast("bigint").alias("lane"), F.col("s").alias("v")),
+        F.struct(F.concat("attr", F.lit("Base")).alias("field"), F.lit(1).cast("bigint").alias("lane"), F.col("q").alias("v")),
+        F.struct(F.when(F.col("attr") == profile.attrs[0], "count").alias("field"), F.lit(0).cast("bigint").alias("lane"), F.col("n").alias("v")),
+    )).alias("_l"))
+    lanes = F.lit(None)
+    for b in profile.bins:
+        out = [entry(b.hist, F.col("bin"), F.col("n"))] if b.hist else []
+        out += [entry(b.grouped, F.col("bin"), F.col("s"))] if b.grouped else []
+        lanes = F.when(F.col("axis") == b.attr, F.array(*out)).otherwise(lanes)
+    binned = bin_totals(df, keys, profile).select(*keys, F.explode(lanes).alias("_l"))
+    both = wide.unionByName(binned).select(*keys, "_l.field", "_l.lane", "_l.v")
+    return both.filter(F.col("field").isNotNull() & (F.col("v") != 0))
 
 
 # A layout is the ordered fields of a vector with their numbers of lanes.
