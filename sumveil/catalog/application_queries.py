@@ -79,34 +79,49 @@ def _windowed(df, size):
     return chain.with_window(df, size)
 
 
+# Events with a value off its axis are kept out of the vectors (they go to quarantine).
+
+
+def _polar(spark, sf):
+    return pf.split_invalid(fx.polar(spark, sf), pf.POLAR)[0]
+
+
+def _car(spark, sf):
+    return pf.split_invalid(fx.car(spark, sf), pf.CAR)[0]
+
+
+def _web(spark, sf):
+    return fx.web(spark, sf).filter(pf.web_in_range())
+
+
 @query("P2 A2 E15", _sql("polar", _lane_rows(pf.POLAR), YEAR, False))
 def plain_polar(spark, sf):
-    return pf.lane_totals(_windowed(fx.polar(spark, sf), YEAR), UW, pf.POLAR)
+    return pf.lane_totals(_windowed(_polar(spark, sf), YEAR), UW, pf.POLAR)
 
 
 @query("P3 A2 E15", _sql("car", _lane_rows(pf.CAR), YEAR, False))
 def plain_car(spark, sf):
-    return pf.lane_totals(_windowed(fx.car(spark, sf), YEAR), UW, pf.CAR).filter("v <> 0")
+    return pf.lane_totals(_windowed(_car(spark, sf), YEAR), UW, pf.CAR).filter("v <> 0")
 
 
 @query("P4 A2 E15", _sql("web", _web_rows(), DAY, False))
 def plain_web(spark, sf):
-    return pf.web_lane_totals(_windowed(fx.web(spark, sf), DAY), UW)
+    return pf.web_lane_totals(_windowed(_web(spark, sf), DAY), UW)
 
 
 @query("P2 K3 K6 A4", _sql("polar", _lane_rows(pf.POLAR), YEAR, True))
 def private_polar(spark, sf):
-    events = fx.polar(spark, sf)
+    events = _polar(spark, sf)
     return _private(events, pf.fine_lane_totals(_windowed(events, YEAR), WINDOW, pf.POLAR), pf.POLAR.fields, YEAR)
 
 
 @query("P3 K3 K6 A4", _sql("car", _lane_rows(pf.CAR), YEAR, True))
 def private_car(spark, sf):
-    events = fx.car(spark, sf)
+    events = _car(spark, sf)
     return _private(events, pf.fine_lane_totals(_windowed(events, YEAR), WINDOW, pf.CAR), pf.CAR.fields, YEAR)
 
 
 @query("P4 K3 K6 A4", _sql("web", _web_rows(), 5 * DAY, True))
 def private_web(spark, sf):
-    events = fx.web(spark, sf)
-    return _private(events, pf.web_lane_totals(_windowed(events, 5 * DAY), WINDOW), pf.WEB_FIELDS, 5 * DAY)
+    events = _web(spark, sf)
+    return _private(events, pf.web_position_totals(_windowed(events, 5 * DAY), WINDOW), pf.WEB_FIELDS, 5 * DAY)

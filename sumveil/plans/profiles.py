@@ -122,15 +122,28 @@ def split_invalid(df: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame
     return df.filter(in_range(profile)), df.filter(~in_range(profile))
 
 
-def bin_totals(df: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
-    """Per (keys, axis, bin): event count ``n`` and sum ``s`` of the main attribute.
+def _bin_sums(df: DataFrame, keys: list[str], profile: Profile, own: bool) -> DataFrame:
+    """Per (keys, _axis, _bin): count ``_n``, main sum ``_s``; with ``own`` also ``_x`` and ``_q`` of the axis' attribute.
 
-    One row per axis and event is exploded; counts and grouped sums share it.
+    One row per axis and event is exploded; the axis is a number, which keeps the
+    shuffled keys short.
     """
-    axes = F.array(*[F.struct(F.lit(b.attr).alias("axis"), b.index().alias("bin")) for b in profile.bins])
-    rows = df.select(*keys, F.col(profile.main).alias("_main"), F.explode(axes).alias("_a"))
-    return rows.groupBy(*keys, F.col("_a.axis").alias("axis"), F.col("_a.bin").alias("bin")).agg(
-        F.count("*").alias("n"), F.sum("_main").alias("s")
+    axes = F.array(*[
+        F.struct(F.lit(i).alias("axis"), b.index().alias("bin"), F.col(b.attr).alias("x")) for i, b in enumerate(profile.bins)
+    ])
+    rows = df.select(*keys, F.col(profile.main).alias("_m"), F.explode(axes).alias("_a"))
+    x = F.col("_a.x")
+    extra = [F.sum(x).alias("_x"), F.sum(x * x).alias("_q")] if own else []
+    return rows.groupBy(*keys, F.col("_a.axis").alias("_axis"), F.col("_a.bin").alias("_bin")).agg(
+        F.count("*").alias("_n"), F.sum("_m").alias("_s"), *extra
+    )
+
+
+def bin_totals(df: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
+    """Per (keys, axis, bin): event count ``n`` and sum ``s`` of the main attribute."""
+    names = F.array(*[F.lit(b.attr) for b in profile.bins])
+    return _bin_sums(df, keys, profile, False).select(
+        *keys, F.get(names, F.col("_axis")).alias("axis"), F.col("_bin").alias("bin"), F.col("_n").alias("n"), F.col("_s").alias("s")
     )
 
 
@@ -146,6 +159,26 @@ def base_totals(df: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
     return wide.select(*keys, "n", attrs.alias("_b")).select(*keys, "_b.attr", "n", "_b.s", "_b.q")
 
 
+def _slot(offset: int, lane, v: Column) -> Column:
+    lane = F.lit(lane) if isinstance(lane, int) else lane
+    return F.struct((lane + offset).cast("bigint").alias("pos"), v.alias("v"))
+
+
+def _bin_slots(profile: Profile, own: bool) -> Column:
+    """What a row of :func:`_bin_sums` adds to the flat vector."""
+    at = offsets(profile.fields)
+    slots = F.lit(None)
+    for i, b in enumerate(profile.bins):
+        out = [_slot(at[f], F.col("_bin"), F.col(v)) for f, v in ((b.hist, "_n"), (b.grouped, "_s")) if f]
+        if own:
+            base = at[f"{b.attr}Base"]
+            out += [_slot(base, 0, F.col("_x")), _slot(base, 1, F.col("_q"))]
+            # Every event has one bin on the first axis.
+            out += [_slot(at["count"], 0, F.col("_n"))] if i == 0 else []
+        slots = F.when(F.col("_axis") == i, F.array(*out)).otherwise(slots)
+    return F.explode(slots)
+
+
 def lane_totals(df: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
     """Long lane table (keys, field, lane, v) of all sums of a profile; empty lanes are absent.
 
@@ -153,55 +186,29 @@ def lane_totals(df: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
     attribute, the axis' own attribute and its square.  All fields follow from that
     reduced table; base fields by adding up the bins of their axis.
     """
-    entry = lambda f, lane, v: F.struct(
-        F.lit(f).alias("field"), (F.lit(lane) if isinstance(lane, int) else lane).cast("bigint").alias("lane"), v.alias("v")
-    )
-    n, s, x, q = (F.col(c) for c in ("_n", "_s", "_x", "_q"))
     if not profile.bins:
-        (a,) = profile.attrs
-        sums = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(a).alias("_x"), F.sum(F.col(a) * F.col(a)).alias("_q"))
-        lanes = F.array(entry("count", 0, n), entry(f"{a}Base", 0, x), entry(f"{a}Base", 1, q))
-        return sums.select(*keys, F.explode(lanes).alias("_l")).select(*keys, "_l.field", "_l.lane", "_l.v").filter("v <> 0")
-    axes = F.array(*[
-        F.struct(F.lit(i).alias("axis"), b.index().alias("bin"), F.col(b.attr).alias("x")) for i, b in enumerate(profile.bins)
-    ])
-    rows = df.select(*keys, F.col(profile.main).alias("_m"), F.explode(axes).alias("_a"))
-    binned = rows.groupBy(*keys, F.col("_a.axis").alias("_axis"), F.col("_a.bin").alias("_bin")).agg(
-        F.count("*").alias("_n"), F.sum("_m").alias("_s"), F.sum("_a.x").alias("_x"),
-        F.sum(F.col("_a.x") * F.col("_a.x")).alias("_q"),
-    )
-    lanes = F.lit(None)
-    for i, b in enumerate(profile.bins):
-        out = [entry(f"{b.attr}Base", 0, x), entry(f"{b.attr}Base", 1, q)]
-        out += [entry(b.hist, F.col("_bin"), n)] if b.hist else []
-        out += [entry(b.grouped, F.col("_bin"), s)] if b.grouped else []
-        out += [entry("count", 0, n)] if i == 0 else []  # every event has one bin on the first axis
-        lanes = F.when(F.col("_axis") == i, F.array(*out)).otherwise(lanes)
-    each = binned.select(*keys, F.explode(lanes).alias("_l"))
-    return each.groupBy(*keys, "_l.field", "_l.lane").agg(F.sum("_l.v").alias("v")).filter("v <> 0")
+        return name_lanes(fine_lane_totals(df, keys, profile), profile.fields)
+    slots = _bin_sums(df, keys, profile, True).select(*keys, _bin_slots(profile, True).alias("_l"))
+    sums = slots.groupBy(*keys, "_l.pos").agg(F.sum("_l.v").alias("v")).filter("v <> 0")
+    return name_lanes(sums, profile.fields)
 
 
 def fine_lane_totals(df: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
-    """The lanes of :func:`lane_totals` for fine keys, such as (producer, window).
+    """The same sums as (keys, pos, v) for fine keys, such as (producer, window).
 
     There a bin rarely holds more than one event, so adding up bins would shuffle
     about as much as the events; base fields come from a second, unexploded pass.
     """
-    entry = lambda f, lane, v: F.struct(F.lit(f).alias("field"), lane.cast("bigint").alias("lane"), v.alias("v"))
-    base = base_totals(df, keys, profile)
-    wide = base.select(*keys, F.explode(F.array(
-        F.struct(F.concat("attr", F.lit("Base")).alias("field"), F.lit(0).cast("bigint").alias("lane"), F.col("s").alias("v")),
-        F.struct(F.concat("attr", F.lit("Base")).alias("field"), F.lit(1).cast("bigint").alias("lane"), F.col("q").alias("v")),
-        F.struct(F.when(F.col("attr") == profile.attrs[0], "count").alias("field"), F.lit(0).cast("bigint").alias("lane"), F.col("n").alias("v")),
-    )).alias("_l"))
-    lanes = F.lit(None)
-    for b in profile.bins:
-        out = [entry(b.hist, F.col("bin"), F.col("n"))] if b.hist else []
-        out += [entry(b.grouped, F.col("bin"), F.col("s"))] if b.grouped else []
-        lanes = F.when(F.col("axis") == b.attr, F.array(*out)).otherwise(lanes)
-    binned = bin_totals(df, keys, profile).select(*keys, F.explode(lanes).alias("_l"))
-    both = wide.unionByName(binned).select(*keys, "_l.field", "_l.lane", "_l.v")
-    return both.filter(F.col("field").isNotNull() & (F.col("v") != 0))
+    at = offsets(profile.fields)
+    wide = [F.count("*").alias("_n")]
+    slots = [_slot(at["count"], 0, F.col("_n"))]
+    for a in profile.attrs:
+        wide += [F.sum(a).alias(f"_s_{a}"), F.sum(F.col(a) * F.col(a)).alias(f"_q_{a}")]
+        slots += [_slot(at[f"{a}Base"], 0, F.col(f"_s_{a}")), _slot(at[f"{a}Base"], 1, F.col(f"_q_{a}"))]
+    both = df.groupBy(*keys).agg(*wide).select(*keys, F.explode(F.array(*slots)).alias("_l"))
+    if profile.bins:
+        both = both.unionByName(_bin_sums(df, keys, profile, False).select(*keys, _bin_slots(profile, False).alias("_l")))
+    return both.select(*keys, "_l.pos", "_l.v").filter("v <> 0")
 
 
 # A layout is the ordered fields of a vector with their numbers of lanes.
@@ -226,13 +233,25 @@ def flatten_lanes(lanes: DataFrame, fields: dict[str, int]) -> DataFrame:
     return lanes.withColumn("pos", F.try_element_at(starts, F.col("field")) + F.col("lane"))
 
 
-def dense_vectors(lanes: DataFrame, keys: list[str], fields: dict[str, int]) -> DataFrame:
-    """Long lanes to one ``array<bigint>`` per key, zeros filled in.
+def name_lanes(rows: DataFrame, fields: dict[str, int]) -> DataFrame:
+    """Replace ``pos`` by field name and lane."""
+    starts = F.array(*[
+        F.struct(F.lit(f).alias("field"), F.lit(o).cast("bigint").alias("o")) for f, o in offsets(fields).items()
+    ])
+    owner = F.element_at(F.filter(starts, lambda e: e["o"] <= F.col("pos")), -1)
+    rest = [c for c in rows.columns if c not in ("pos", "v")]
+    return rows.withColumn("_f", owner).select(
+        *rest, F.col("_f.field").alias("field"), (F.col("pos") - F.col("_f.o")).alias("lane"), "v"
+    )
+
+
+def dense_vectors(rows: DataFrame, keys: list[str], fields: dict[str, int]) -> DataFrame:
+    """Rows (keys, pos, v) to one ``array<bigint>`` per key, zeros filled in.
 
-    A key has each lane at most once, so what is gathered is bounded by the layout.
+    A key has each position at most once, so what is gathered is bounded by the layout.
     """
     entry = F.struct(F.col("pos").alias("k"), F.col("v").alias("v"))
-    entries = spread(flatten_lanes(lanes, fields), *keys).groupBy(*keys).agg(F.collect_list(entry).alias("_m"))
+    entries = spread(rows, *keys).groupBy(*keys).agg(F.collect_list(entry).alias("_m"))
     none = lambda n: F.array_repeat(F.lit(0).cast("bigint"), n.cast("int"))
     before = lambda es, i: F.coalesce(F.when(i > 0, F.get(es, i - 1)["k"]), F.lit(-1).cast("bigint"))
     filled = lambda es: F.concat(
@@ -244,14 +263,7 @@ def dense_vectors(lanes: DataFrame, keys: list[str], fields: dict[str, int]) ->
 
 def rebuild_lanes(vectors: DataFrame, keys: list[str], fields: dict[str, int], vector: str = "v") -> DataFrame:
     """Dense vectors back to the long lane table, without zeros."""
-    starts = F.array(*[
-        F.struct(F.lit(f).alias("field"), F.lit(o).cast("bigint").alias("o")) for f, o in offsets(fields).items()
-    ])
-    rows = vectors.select(*keys, F.posexplode(vector).alias("pos", "v")).filter("v != 0")
-    owner = F.element_at(F.filter(starts, lambda e: e["o"] <= F.col("pos")), -1)
-    return rows.withColumn("_f", owner).select(
-        *keys, F.col("_f.field").alias("field"), (F.col("pos") - F.col("_f.o")).alias("lane"), "v"
-    )
+    return name_lanes(vectors.select(*keys, F.posexplode(vector).alias("pos", "v")).filter("v <> 0"), fields)
 
 
 # ---------------------------------------------------------------- web telemetry
@@ -316,32 +328,38 @@ def web_grid(df: DataFrame, keys: list[str]) -> DataFrame:
     return e.groupBy(*keys, "field", "page", cell.alias("cell")).agg(F.sum("n").alias("v"))
 
 
-def web_lane_totals(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Long lane table (keys, field, lane, v) of all sums of web events, in one pass.
+def web_position_totals(df: DataFrame, keys: list[str]) -> DataFrame:
+    """All sums of web events as (keys, pos, v), in one pass.
 
-    Every map becomes lane contributions of its event, and all go through one
-    partially aggregated sum.
+    Every map entry of an event adds to positions of the flat vector, and all go
+    through one partially aggregated sum with a number as its key.
     """
-    entry = lambda field, lane, v: F.struct(field.alias("field"), lane.cast("bigint").alias("lane"), v.cast("bigint").alias("v"))
-    part = lambda e, i: F.split(e["key"], "_")[i]
-    page = lambda e, kind: F.concat(F.lit("page"), part(e, 0), F.lit(kind))
+    at = offsets(WEB_FIELDS)
+    slot = lambda pos, v: F.struct(pos.cast("bigint").alias("pos"), v.cast("bigint").alias("v"))
+    part = lambda e, i: F.split(e["key"], "_")[i].cast("bigint")
     each = lambda m, fn: F.transform(F.map_entries(m), fn)
-    cell = lambda e: part(e, 1).cast("bigint") * GRID_Y + part(e, 2).cast("bigint")
     amount = {
         "Sum": lambda e: e["value"],
         "SumOfSquares": lambda e: e["value"].cast("bigint") * e["value"].cast("bigint"),
         "Count": lambda e: F.lit(1),
     }
-    by_page = lambda field, v: (lambda e: entry(F.lit(field), e["key"], v(e)))
-    by_cell = lambda kind: (lambda e: entry(page(e, kind), cell(e), e["value"]))
+    by_page = lambda field, v: (lambda e: slot(e["key"].cast("bigint") + at[field], v(e)))
+    # The fields of the main pages follow each other, so the page moves the position.
+    by_cell = lambda kind: (lambda e: slot(
+        part(e, 0) * (GRID_X * GRID_Y) + part(e, 1) * GRID_Y + part(e, 2) + at[f"page0{kind}"], e["value"]
+    ))
+    flow = lambda e: slot(part(e, 0) * PAGES + part(e, 1) + at["page0Userflow"], e["value"])
     lists = [each(m, by_page(m, amount["Sum"])) for m in ("pageExit", "pageView")]
     lists += [each(t, by_page(t + suffix, v)) for t in WEB_TIMINGS for suffix, v in amount.items()]
-    lists.append(each("pageUserFlow", lambda e: entry(page(e, "Userflow"), part(e, 1), e["value"])))
-    lists += [each("clickGrid", by_cell("ClickGrid")), each("hoverGrid", by_cell("HoverGrid"))]
-    lists.append(F.array(entry(F.lit("count"), F.lit(0), F.lit(1))))
+    lists += [each("pageUserFlow", flow), each("clickGrid", by_cell("ClickGrid")), each("hoverGrid", by_cell("HoverGrid"))]
+    lists.append(F.array(slot(F.lit(at["count"]), F.lit(1))))
     rows = df.select(*keys, F.explode(F.concat(*lists)).alias("_l"))
-    totals = rows.groupBy(*keys, "_l.field", "_l.lane").agg(F.sum("_l.v").alias("v"))
-    return totals.filter("v <> 0")
+    return rows.groupBy(*keys, "_l.pos").agg(F.sum("_l.v").alias("v")).filter("v <> 0")
+
+
+def web_lane_totals(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Long lane table (keys, field, lane, v) of all sums of web events."""
+    return name_lanes(web_position_totals(df, keys), WEB_FIELDS)
 
 
 def web_in_range() -> Column:

@@ -130,7 +130,7 @@ def test_dense_vectors_round_trip(spark, layout):
     first, last = list(layout)[0], list(layout)[-1]
     rows = [(u, f, i, rnd.randrange(1, 99)) for u, f, i in lanes] + [(2, last, layout[last] - 1, 7), (3, first, 0, 8)]
     df = spark.createDataFrame(rows, "u bigint, field string, lane bigint, v bigint")
-    dense = pf.dense_vectors(df, ["u"], layout)
+    dense = pf.dense_vectors(pf.flatten_lanes(df, layout), ["u"], layout)
     assert all(len(r.v) == pf.n_lanes(layout) for r in dense.collect())
     assert sorted(tuple(r) for r in pf.rebuild_lanes(dense, ["u"], layout).collect()) == sorted(rows)
 
