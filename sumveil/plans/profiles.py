@@ -111,15 +111,19 @@ CAR = Profile(
 
 def in_range(profile: Profile) -> Column:
     """Every binned attribute lies on its axis (a missing attribute does not)."""
-    ok = F.lit(True)
-    for b in profile.bins:
-        ok = ok & F.coalesce((b.index() >= 0) & (b.index() < b.n), F.lit(False))
-    return ok
+    index = [b.index() for b in profile.bins]
+    total = index[0]
+    for i in index[1:]:
+        total = total + i
+    # Few, flat conditions: long ones make generated methods too big to be compiled.
+    lowest, over = F.least(*index), F.greatest(*[i - b.n for i, b in zip(index, profile.bins)])
+    return total.isNotNull() & (lowest >= 0) & (over < 0)
 
 
 def split_invalid(df: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
     """Encodable rows and quarantined rows."""
-    return df.filter(in_range(profile)), df.filter(~in_range(profile))
+    fits = F.coalesce(in_range(profile), F.lit(False))
+    return df.filter(in_range(profile)), df.filter(~fits)
 
 
 def _bin_sums(df: DataFrame, keys: list[str], profile: Profile, own: bool) -> DataFrame:
@@ -159,6 +163,12 @@ def base_totals(df: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
     return wide.select(*keys, "n", attrs.alias("_b")).select(*keys, "_b.attr", "n", "_b.s", "_b.q")
 
 
+def _lane(lane: Column, n: int) -> Column:
+    """The lane, or an error where a value is off its axis: quarantine such events first."""
+    off = F.raise_error(F.lit("value off its axis; see split_invalid and web_in_range")).cast("bigint")
+    return F.when((lane >= 0) & (lane < n), lane).otherwise(off)
+
+
 def _slot(offset: int, lane, v: Column) -> Column:
     lane = F.lit(lane) if isinstance(lane, int) else lane
     return F.struct((lane + offset).cast("bigint").alias("pos"), v.alias("v"))
@@ -169,7 +179,7 @@ def _bin_slots(profile: Profile, own: bool) -> Column:
     at = offsets(profile.fields)
     slots = F.lit(None)
     for i, b in enumerate(profile.bins):
-        out = [_slot(at[f], F.col("_bin"), F.col(v)) for f, v in ((b.hist, "_n"), (b.grouped, "_s")) if f]
+        out = [_slot(at[f], _lane(F.col("_bin"), b.n), F.col(v)) for f, v in ((b.hist, "_n"), (b.grouped, "_s")) if f]
         if own:
             base = at[f"{b.attr}Base"]
             out += [_slot(base, 0, F.col("_x")), _slot(base, 1, F.col("_q"))]
@@ -343,12 +353,15 @@ def web_position_totals(df: DataFrame, keys: list[str]) -> DataFrame:
         "SumOfSquares": lambda e: e["value"].cast("bigint") * e["value"].cast("bigint"),
         "Count": lambda e: F.lit(1),
     }
-    by_page = lambda field, v: (lambda e: slot(e["key"].cast("bigint") + at[field], v(e)))
+    by_page = lambda field, v: (lambda e: slot(_lane(e["key"].cast("bigint"), PAGES) + at[field], v(e)))
     # The fields of the main pages follow each other, so the page moves the position.
     by_cell = lambda kind: (lambda e: slot(
-        part(e, 0) * (GRID_X * GRID_Y) + part(e, 1) * GRID_Y + part(e, 2) + at[f"page0{kind}"], e["value"]
+        _lane(part(e, 0), MAIN_PAGES) * (GRID_X * GRID_Y) + _lane(part(e, 1), GRID_X) * GRID_Y
+        + _lane(part(e, 2), GRID_Y) + at[f"page0{kind}"], e["value"],
     ))
-    flow = lambda e: slot(part(e, 0) * PAGES + part(e, 1) + at["page0Userflow"], e["value"])
+    flow = lambda e: slot(
+        _lane(part(e, 0), MAIN_PAGES) * PAGES + _lane(part(e, 1), PAGES) + at["page0Userflow"], e["value"]
+    )
     lists = [each(m, by_page(m, amount["Sum"])) for m in ("pageExit", "pageView")]
     lists += [each(t, by_page(t + suffix, v)) for t in WEB_TIMINGS for suffix, v in amount.items()]
     lists += [each("pageUserFlow", flow), each("clickGrid", by_cell("ClickGrid")), each("hoverGrid", by_cell("HoverGrid"))]

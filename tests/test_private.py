@@ -163,3 +163,10 @@ def test_quarantine(spark):
     df = spark.createDataFrame([ok, (220, *ok[1:]), (100, -101, *ok[2:]), (100, -109, *ok[2:]), (100, -110, *ok[2:]), (100, None, *ok[2:])], cols)
     good, bad = pf.split_invalid(df, pf.POLAR)
     assert good.count() == 3 and bad.count() == 3
+
+
+def test_value_off_its_axis_is_not_encoded(spark):
+    cols = "u bigint, " + ", ".join(f"{a} bigint" for a in pf.POLAR.attrs)
+    df = spark.createDataFrame([(1, 220, 50, 10, 0, 5, 20)], cols)
+    with pytest.raises(Exception, match="off its axis"):
+        pf.lane_totals(df, ["u"], pf.POLAR).collect()
