@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sumveil.catalog.registry import query
-from sumveil.catalog.sqlviews import DAY, pmod, with_views, ws
+from sumveil.catalog.sqlviews import with_views, ws
 from sumveil.functions import encodings as enc
 from sumveil.functions import vectors
-from sumveil.functions.timewin import DAY_MS, idiv, window_start
+from sumveil.functions.timewin import DAY_MS, idiv
 from sumveil.operators.aggregate import add_inputs, merge_maps
 from sumveil.operators.chain import with_previous, with_window
 from sumveil.plans import profiles as pf
@@ -228,7 +228,6 @@ def map_merge_sum(spark, sf):
     return merge_maps(with_window(fx.web(spark, sf), DAY_MS), UW, "pageLoadTime")
 
 
-_SPEEDS = 50
 
 
 @query("E20", _sql("""

@@ -10,7 +10,7 @@ from sumveil.catalog.window_queries import committed as committed_std, committed
 from sumveil.functions import encodings as enc
 from sumveil.functions.prf import prf_lanes
 from sumveil.functions.vectors import lanes_to_columns, vector_sum
-from sumveil.operators import aggregate as ag, chain, commits as cm, masks as mk, membership as mb, release as rl, telescoping as tl
+from sumveil.operators import chain, commits as cm, masks as mk, membership as mb, release as rl, telescoping as tl
 from sumveil.session import scratch_dir
 from sumveil.sources import fixtures as fx
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from sumveil.catalog.registry import query
 from sumveil.catalog.sqlviews import DAY, with_views
 from sumveil.catalog.window_queries import committed, committed_sum, diffs
-from sumveil.functions import timewin as tw
-from sumveil.operators import aggregate as ag, chain, membership as mb
+from sumveil.operators import chain, membership as mb
 from sumveil.plans import parameters as pm, reports as rp
 from sumveil.sources import fixtures as fx
 

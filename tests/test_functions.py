@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sumveil.functions import encodings as enc, timewin as tw, vectors, wide
+from sumveil.functions import encodings as enc, timewin as tw, vectors
 from sumveil.functions.arith import limb_sums, limb_total, wrap_sum
 from sumveil.functions.prf import block, block_bits, lane_blocks, parse_lanes, prf_lanes
 

@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from sumveil.operators import chain, commits as cm, history as hs, membership as mb, aggregate as ag
 from sumveil.operators.scan import exact_quantile, running_before
