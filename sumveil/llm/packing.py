@@ -174,4 +174,4 @@ def pack(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(n_partitions(spark), F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_id long"
-    return ordered.mapInArrow(_packer(tokenizer_path, spaced, end_id, window, sentence_cut, hard_cut, held_ids), schema)
+    return ordered.mapInArrow(_packer(tokenizer_path, spaced, end_id, window, sentence_cut, hard_cut, max(held_ids, 16 * window)), schema)
