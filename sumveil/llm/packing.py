@@ -6,8 +6,8 @@ minimise padding plus a penalty per cut inside a document: ``cost(j) = min over
 end(j) - end(i) <= window of cost(i) + window - (end(j) - end(i)) + penalty(j)``.  What
 depends on i is ``cost(i) + end(i)``, so a monotone queue of candidates gives each step
 in constant time.  Windows of a length that is a power of two are not padded: those
-transitions are looked up beside the queue.  A sentence longer than a window gets extra
-cuts at whole windows.  Only the open window is carried from batch to batch.
+transitions are looked up beside the queue.  A sentence longer than what a cut inside it
+costs can be cut inside, at steps of that length.  Only the open window is carried from batch to batch.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def _packer(path: str, spaced: bool, end_id: int, window: int, sentence_cut: int
         from .tokens import encoded
 
         first = TaskContext.get().partitionId() << 40
-        ends_sentence = _sentence_ends(path)
+        ends_sentence, step = _sentence_ends(path), max(1, min(hard_cut, window))
         sequence = 0
         ids = np.zeros(0, np.uint32)  # not yet cut
         docs = np.zeros((0, 5), np.int64)  # doc id, known, position in ids (may be below 0), ids, row number
@@ -104,8 +104,8 @@ def _packer(path: str, spaced: bool, end_id: int, window: int, sentence_cut: int
             doc_ends = docs[:, 2] + docs[:, 3]
             ends = np.unique(np.concatenate([marks, doc_ends]))
             gaps = np.diff(np.concatenate([[0], ends]))
-            wide = np.flatnonzero(gaps > window)
-            extra = np.concatenate([[np.zeros(0, np.int64)], *[[np.arange(ends[w] - gaps[w] + window, ends[w], window)] for w in wide]], axis=None).astype(np.int64)
+            wide = np.flatnonzero(gaps > step)
+            extra = np.concatenate([np.zeros(0, np.int64), *(np.arange(ends[w] - gaps[w] + step, ends[w], step) for w in wide)])
             penalties = np.where(np.isin(ends, doc_ends), 0, sentence_cut)
             ends = np.concatenate([ends, extra])
             order = np.argsort(ends, kind="stable")
