@@ -9,6 +9,7 @@ and ids are put together by numpy.  Results equal those of encoding the whole te
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,69 +33,111 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
         self.codes: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.lengths = np.zeros(1 << 12, np.int64)
+        self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.n = self.used = self.kept = self.kept_used = 0
-        self.stops = {c: self._raw([c])[0] for c in ".,"}
+        vocab = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin (spaced) or end (else) a piece
+        for piece, i in vocab.items():
+            self.edge[i] = piece.startswith("\u0120") if spaced else piece.endswith("</w>")
+        self.stops = {c: self._raw([c])[0][0] for c in ".,"}
 
     def _raw(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _store(self, key: str, ids, keep: dict[str, int]) -> int:
-        k = len(ids)
-        if self.used + k > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + k))
-        if self.n == len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * self.n), np.resize(self.lengths, 2 * self.n)
-        self.flat[self.used : self.used + k] = ids
-        self.starts[self.n], self.lengths[self.n] = self.used, k
-        keep[key] = code = self.n
-        self.n, self.used = self.n + 1, self.used + k
-        return code
-
-    def _lookup(self, keys: list[str], own: dict[str, int]) -> np.ndarray:
-        """Codes of pieces; new ones are remembered while there is room, else held in ``own``."""
-        codes, out, missing = self.codes, np.empty(len(keys), np.int64), []
-        for i, k in enumerate(keys):
-            c = codes.get(k)
-            if c is None:
-                c = own.get(k, -1)
-                if c < 0:
-                    missing.append(i)
-            out[i] = c
-        if not missing:
-            return out
-        plain, want = {}, []
-        for i in missing:
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> int:
+        """Store entries at the end; the code of the first."""
+        first, k = self.n, len(lengths)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
+        if first + k > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * (first + k)), np.resize(self.lengths, 2 * (first + k))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.lengths[first : first + k] = lengths
+        self.starts[first : first + k] = self.used + np.cumsum(lengths) - lengths
+        self.n, self.used = first + k, self.used + len(ids)
+        return first
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of entries one after the other, and where each ends."""
+        lengths = self.lengths[codes]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if total < 1 << 31 and self.used < 1 << 31 else np.int64
+        shift = (self.starts[codes] - (ends - lengths)).astype(kind)
+        return self.flat[np.repeat(shift, lengths) + np.arange(total, dtype=kind)], ends
+
+    def _joinable(self, piece: str) -> bool:
+        """Whether the piece's ids can be told from those of its neighbours by ``edge``."""
+        if self.spaced:
+            return piece[:1] == " " and " " not in piece[1:] and piece[1:].strip() == piece[1:] != ""
+        return piece.isalpha()
+
+    def _new(self, pieces: list[str]) -> int:
+        """Encode pieces, many in one text where that is safe, and store them."""
+        joined, alone = [], []
+        for p in pieces:
+            (joined if self._joinable(p) else alone).append(p)
+        pieces[:] = joined + alone
+        glue = "" if self.spaced else " "
+        groups = [joined[k : k + 2000] for k in range(0, len(joined), 2000)]
+        all_ids, all_lengths = [], []
+        for group, ids in zip(groups, self._raw([glue.join(g) for g in groups]), strict=True):
+            ids = np.array(ids, np.uint32)
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) != len(group):
+                own = self._raw(group)
+                ids, lengths = np.concatenate([np.array(x, np.uint32) for x in own]), np.array([len(x) for x in own])
+            else:
+                lengths = np.diff(np.append(at, len(ids))) if self.spaced else np.diff(np.concatenate([[-1], at]))
+            all_ids.append(ids)
+            all_lengths.append(lengths)
+        for ids in self._raw(alone):
+            all_ids.append(np.array(ids, np.uint32))
+            all_lengths.append(np.array([len(ids)]))
+        return self._add(np.concatenate(all_ids), np.concatenate(all_lengths))
+
+    def _lookup(self, keys: list[str], own: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of pieces, and the id of a full stop or comma that follows the piece of that code, or -1.
+        New words are remembered while there is room, else held in ``own`` for the slice."""
+        codes, stops = self.codes, self.stops
+        out, follows = np.fromiter(map(codes.get, keys, repeat(-1)), np.int64, len(keys)), np.full(len(keys), -1, np.int64)
+        missing = np.flatnonzero(out < 0)
+        if not len(missing):
+            return out, follows
+        cores, marks = [], []
+        for i in missing.tolist():
             k = keys[i]
-            core, stop = (k[:-1], k[-1]) if k[-1:] in self.stops and k[-2:-1].isalpha() else (k, "")
-            if not self.spaced and core.isascii():
-                core = core.lower()
-            want.append((i, k, core, stop))
-            if core not in codes and core not in own:
-                plain[core] = None
-        room = REMEMBERED - len(codes)
-        for at in range(0, len(todo := list(plain)), 20_000):
-            part = todo[at : at + 20_000]
-            for core, ids in zip(part, self._raw(part), strict=True):
-                self._store(core, ids, own)
-        for i, k, core, stop in want:
-            c = codes.get(core, own.get(core))
-            if k != core:
-                s, n = self.starts[c], self.lengths[c]
-                c = self._store(k, [*self.flat[s : s + n], *self.stops[stop]] if stop else self.flat[s : s + n].copy(), own)
-            out[i] = c
-        if room > len(own):
-            codes.update(own)
-            own.clear()
-            self.kept, self.kept_used = self.n, self.used
-        return out
+            mark = stops.get(k[-1:], -1)
+            if mark >= 0:
+                if k[-2:-1].isalpha():
+                    k = k[:-1]
+                else:
+                    mark = -1
+            if not self.spaced and k.isascii():
+                k = k.lower()
+            cores.append(k)
+            marks.append(mark)
+        if todo := [k for k in dict.fromkeys(cores) if k not in codes and k not in own]:
+            remember = len(codes) + len(todo) <= REMEMBERED and self.n == self.kept
+            first = self._new(todo)
+            (codes if remember else own).update(zip(todo, range(first, first + len(todo)), strict=True))
+            if remember:
+                self.kept, self.kept_used = self.n, self.used
+        found = np.fromiter((codes[k] if k in codes else own[k] for k in cores), np.int64, len(cores))
+        out[missing], follows[missing] = found, marks
+        return out, follows
+
+    def _ended(self, codes: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Codes in which the marks that follow are included; new entries last for the slice."""
+        at = np.flatnonzero(follows >= 0)
+        if len(at):
+            ids, ends = self._gather(codes[at])
+            codes[at] = self._add(np.insert(ids, ends, follows[at]), self.lengths[codes[at]] + 1) + np.arange(len(at))
+        return codes
 
     def _forget(self, own: dict[str, int]) -> None:
-        if own:
-            own.clear()
-            self.n, self.used = self.kept, self.kept_used
+        own.clear()
+        self.n, self.used = self.kept, self.kept_used
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids start (one more entry than texts)."""
@@ -106,7 +149,10 @@ class WordEncoder:
         coded = pieces.flatten().dictionary_encode()
         index, unique = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
         if self.spaced:
-            odd = np.fromiter((p != "\n" and (not p or p[0].isspace() or p[-1].isspace()) for p in unique), bool, len(unique))
+            trimmed = pc.utf8_trim_whitespace(coded.dictionary)
+            odd = pc.or_(pc.not_equal(trimmed, coded.dictionary), pc.equal(trimmed, "")).to_numpy(zero_copy_only=False)
+            if "\n" in unique:
+                odd[unique.index("\n")] = False
             odd_docs = np.add.reduceat(np.append(odd[index], False).astype(np.int64), bounds[:-1]) > 0 if n else np.zeros(0, bool)
             newline = unique.index("\n") if "\n" in unique else -1
             bare = np.zeros(len(index), bool)
@@ -117,18 +163,15 @@ class WordEncoder:
                 bare[1:] |= ends[:-1]
             code_spaced = np.full(len(unique), -1, np.int64)
             code_bare = code_spaced.copy()
-            use = np.unique(index[~bare])
-            code_spaced[use] = self._lookup([" " + unique[u] for u in use], own)
-            use = np.unique(index[bare])
-            code_bare[use] = self._lookup([unique[u] for u in use], own)
+            use, first = np.unique(index[~bare]), np.unique(index[bare])
+            later = self._lookup([" " + unique[u] for u in use.tolist()], own)
+            code_bare[first] = self._ended(*self._lookup([unique[u] for u in first.tolist()], own))
+            code_spaced[use] = self._ended(*later)
             codes = np.where(bare, code_bare[index], code_spaced[index])
         else:
             odd_docs = np.zeros(n, bool)
-            codes = self._lookup(unique, own)[index]
-        lengths, starts = self.lengths[codes], self.starts[codes]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+            codes = self._ended(*self._lookup(unique, own))[index]
+        ids, ends = self._gather(codes)
         offsets = np.concatenate([[0], ends])[bounds]
         if odd_docs.any():
             ids, offsets = self._mend(texts, ids, offsets, np.flatnonzero(odd_docs), own)
@@ -140,8 +183,8 @@ class WordEncoder:
         new = {}
         for d in docs:
             first, *rest = _CUT.split(texts[int(d)].as_py())
-            codes = self._lookup([first, *(" " + p for p in rest)], own)
-            new[d] = np.concatenate([self.flat[self.starts[c] : self.starts[c] + self.lengths[c]] for c in codes])
+            codes = self._ended(*self._lookup([first, *(" " + p for p in rest)], own))
+            new[d] = self._gather(codes)[0]
         parts = [new[d] if d in new else ids[offsets[d] : offsets[d + 1]] for d in range(len(texts))]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
