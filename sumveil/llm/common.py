@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from sumveil.session import materialize, scratch_dir
 
-__all__ = ["BLANKS", "WORD", "let", "materialize", "n_partitions", "open_fs", "scratch_dir", "ship", "table", "words"]
+__all__ = ["WORD", "let", "materialize", "n_partitions", "open_fs", "scratch_dir", "ship", "table", "words"]
 
-#: A word and what separates words: space and the controls tab to carriage return.
+#: A word: no space and no control from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +30,10 @@ def let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """Words of a text in order; none for null."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
+    spaced = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(spaced, " ", -1), "")
 
 
 def n_partitions(spark: SparkSession) -> int:
