@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words a worker remembers; later ones are encoded again for each batch.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Texts are taken in slices of about so many bytes, to bound memory.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -35,6 +35,7 @@ class WordEncoder:
         self.codes: dict[str, int] = {}
         self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.n = self.used = self.kept = self.kept_used = 0
+        self.end, self.end_code = None, -1
         vocab = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin (spaced) or end (else) a piece
         for piece, i in vocab.items():
@@ -127,21 +128,31 @@ class WordEncoder:
         out[missing], follows[missing] = found, marks
         return out, follows
 
-    def _ended(self, codes: np.ndarray, follows: np.ndarray) -> np.ndarray:
-        """Codes in which the marks that follow are included; new entries last for the slice."""
+    def _ended(self, keys: list[str], codes: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Codes in which the marks that follow are included; remembered as words are."""
         at = np.flatnonzero(follows >= 0)
         if len(at):
+            remember = len(self.codes) + len(at) <= REMEMBERED and self.n == self.kept
             ids, ends = self._gather(codes[at])
-            codes[at] = self._add(np.insert(ids, ends, follows[at]), self.lengths[codes[at]] + 1) + np.arange(len(at))
+            first = self._add(np.insert(ids, ends, follows[at]), self.lengths[codes[at]] + 1)
+            codes[at] = first + np.arange(len(at))
+            if remember:
+                self.codes.update(zip((keys[i] for i in at.tolist()), range(first, first + len(at)), strict=True))
+                self.kept, self.kept_used = self.n, self.used
         return codes
 
     def _forget(self, own: dict[str, int]) -> None:
         own.clear()
         self.n, self.used = self.kept, self.kept_used
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and where each text's ids start (one more entry than texts)."""
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each followed by ``end_id`` if there is one, and where
+        each text's ids start (one more entry than texts)."""
         own: dict[str, int] = {}
+        ends = [] if end_id is None else [end_id]
+        if ends and self.end != end_id:
+            self.end, self.end_code = end_id, self._add(np.array(ends), np.array([1]))
+            self.kept, self.kept_used = self.n, self.used
         n = len(texts)
         pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " \n " if self.spaced else " "), " ")
         counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -164,27 +175,30 @@ class WordEncoder:
             code_spaced = np.full(len(unique), -1, np.int64)
             code_bare = code_spaced.copy()
             use, first = np.unique(index[~bare]), np.unique(index[bare])
-            later = self._lookup([" " + unique[u] for u in use.tolist()], own)
-            code_bare[first] = self._ended(*self._lookup([unique[u] for u in first.tolist()], own))
-            code_spaced[use] = self._ended(*later)
+            k1, k2 = [" " + unique[u] for u in use.tolist()], [unique[u] for u in first.tolist()]
+            found1, found2 = self._lookup(k1, own), self._lookup(k2, own)
+            code_spaced[use], code_bare[first] = self._ended(k1, *found1), self._ended(k2, *found2)
             codes = np.where(bare, code_bare[index], code_spaced[index])
         else:
             odd_docs = np.zeros(n, bool)
-            codes = self._ended(*self._lookup(unique, own))[index]
-        ids, ends = self._gather(codes)
-        offsets = np.concatenate([[0], ends])[bounds]
+            codes = self._ended(unique, *self._lookup(unique, own))[index]
+        if ends:
+            codes = np.insert(codes, bounds[1:], self.end_code)
+            bounds = bounds + np.arange(n + 1)
+        ids, upto = self._gather(codes)
+        offsets = np.concatenate([[0], upto])[bounds]
         if odd_docs.any():
-            ids, offsets = self._mend(texts, ids, offsets, np.flatnonzero(odd_docs), own)
+            ids, offsets = self._mend(texts, ids, offsets, np.flatnonzero(odd_docs), own, ends)
         self._forget(own)
         return ids, offsets
 
-    def _mend(self, texts, ids, offsets, docs, own):
+    def _mend(self, texts, ids, offsets, docs, own, ends):
         """Texts with blanks at their ends or in a row are cut by pattern instead."""
         new = {}
         for d in docs:
             first, *rest = _CUT.split(texts[int(d)].as_py())
-            codes = self._ended(*self._lookup([first, *(" " + p for p in rest)], own))
-            new[d] = self._gather(codes)[0]
+            keys = [first, *(" " + p for p in rest)]
+            new[d] = np.append(self._gather(self._ended(keys, *self._lookup(keys, own)))[0], ends)
         parts = [new[d] if d in new else ids[offsets[d] : offsets[d + 1]] for d in range(len(texts))]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
@@ -210,7 +224,5 @@ def encoded(batches, column: str, path: str, spaced: bool, end_id: int):
         while at < len(text):
             before = sizes[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
-            ids, offsets = enc.encode(text.slice(at, to - at))
-            ids = np.insert(ids, offsets[1:], end_id)
-            yield rest.slice(at, to - at), ids, offsets + np.arange(len(offsets))
+            yield rest.slice(at, to - at), *enc.encode(text.slice(at, to - at), end_id)
             at = to
