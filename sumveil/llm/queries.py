@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, wavelet
+from . import mixing, packing, quality_rules, wavelet
 from .common import table
 
 #: End ids the packed and the binary output use.
@@ -24,6 +24,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), PACK_END)
 
@@ -35,7 +39,8 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_mixing": op2_mixing,
     "op5_packing": op5_packing,
     "op7_token_binary": op7_token_binary,
 }
-SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL}
+SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op2_mixing": mixing.SQL}

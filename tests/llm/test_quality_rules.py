@@ -18,7 +18,7 @@ TEXTS = [
     "BUY!! NOW!! CHEAP!! STUFF!! " * 20,
     "wo###rd $$$ &&& " * 30,
     "the same three words again " * 40,
-    CLEAN + "\nall rights reserved.\n" + CLEAN.replace("w", "v"),
+    CLEAN + "\nall rights reserved.\n" + "\n".join(f"again{i} and{i} other{i} words{i}." for i in range(9)),
     "no mark at all in this very long line of words " * 5,
     "é漢字\x0b\x0c\r mixed   blanks " + CLEAN,
     "a b c a b c d",
