@@ -169,9 +169,9 @@ class WordEncoder:
             bare = np.zeros(len(index), bool)
             bare[bounds[:-1]] = True
             if newline >= 0:
-                ends = index == newline
-                bare |= ends
-                bare[1:] |= ends[:-1]
+                breaks = index == newline
+                bare |= breaks
+                bare[1:] |= breaks[:-1]
             code_spaced = np.full(len(unique), -1, np.int64)
             code_bare = code_spaced.copy()
             use, first = np.unique(index[~bare]), np.unique(index[bare])
