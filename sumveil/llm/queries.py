@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, wavelet
+from . import mixing, packing, quality_rules, simhash, wavelet
 from .common import table
 
 #: End ids the packed and the binary output use.
@@ -37,10 +37,15 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(folder, manifest)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
     "op5_packing": op5_packing,
     "op7_token_binary": op7_token_binary,
+    "op9_simhash": op9_simhash,
 }
 SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op2_mixing": mixing.SQL}

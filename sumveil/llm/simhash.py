@@ -1,8 +1,8 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
 Bits that correlate over the corpus go into the same part of the fingerprint.  If two
-fingerprints differ in at most ``distance`` bits and thresholds ``t_i >= -1`` of the parts
-add up to ``distance - parts + 1``, some part differs in at most its ``t_i`` bits.  So each
+fingerprints differ in at most DISTANCE bits and thresholds ``t_i >= -1`` of the parts
+add up to ``DISTANCE - parts + 1``, some part differs in at most its ``t_i`` bits.  So each
 fingerprint picks the thresholds that promise the fewest candidates and probes: counts
 are estimated from value histograms of eight-bit groups, which have a fixed size, and
 the split is found by dynamic programming over the parts.  Probes meet the parts of all
@@ -62,15 +62,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+    """doc_id, digest (of the text) and fp (the 64 bits as a signed long) of every row."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(fp.view(np.int64))], ["doc_id", "digest", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    return rows.mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -114,7 +115,7 @@ def bit_order(distinct: DataFrame, parts: int) -> list[int]:
 
 
 def _shuffled(fp: np.ndarray, order: list[int]) -> np.ndarray:
-    return np.packbits(_bits(fp)[:, order], axis=1, bitorder="little").view("<i8").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.packbits(_bits(fp)[:, order], axis=1, bitorder="little")).view("<i8").ravel().astype(np.int64)
 
 
 def histograms(shuffled: DataFrame) -> np.ndarray:
@@ -179,11 +180,12 @@ def _masks(width: int, d: int) -> list[int]:
     return [sum(1 << b for b in c) for c in combinations(range(width), d)]
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, crowded: int = CROWDED) -> DataFrame:
+def links(distinct: DataFrame, parts: int = PARTS, crowded: int = CROWDED) -> DataFrame:
     """Pairs a, b of fingerprints in ``fp`` (distinct longs) that connect all groups of
-    fingerprints within ``distance`` bits; each pair is within that distance."""
-    if 8 % parts or distance > 2:
-        raise ValueError("parts divide 8, and at most two bits may differ")
+    fingerprints within DISTANCE bits; each pair is within that distance."""
+    distance = DISTANCE
+    if parts not in (2, 4, 8):
+        raise ValueError("2, 4 or 8 parts")
     ship(distinct.sparkSession)
     order = bit_order(distinct, parts)
 
@@ -214,9 +216,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, cro
     pairs = calm(probes).join(calm(index).withColumnRenamed("g", "h"), ["i", "key"]).filter("g < h").filter(F.bit_count(F.col("g").bitwiseXOR(F.col("h"))) <= distance)
     pairs = pairs.select(F.col("g").alias("a"), F.col("h").alias("b"))
     dense = index.join(busy, ["i", "key"], "left_semi").select("g").unionByName(probes.join(busy, ["i", "key"], "left_semi").select("g")).distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)]) if distance == 2 else F.array(F.lit(0).cast("long"))
-    if distance == 1:  # two within one bit: one is a neighbour of the other, both are in its group only if it is present
-        flips = F.array(F.lit(0).cast("long"))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
     near_by = dense.select("g", F.explode(flips).alias("f")).select("g", F.col("g").bitwiseXOR(F.col("f")).alias("x"))
     least = near_by.groupBy("x").agg(F.min("g").alias("a"), F.count("*").alias("k")).filter("k > 1").drop("k")
     stars = near_by.join(least, "x").filter("a < g").select("a", F.col("g").alias("b"))
@@ -226,24 +226,27 @@ def links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, cro
     return found.select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hex digits) and component_id, the smallest id of its group."""
+def groups(docs: DataFrame, parts: int = PARTS, crowded: int = CROWDED) -> DataFrame:
+    """Per row: doc_id, digest, fp and ``least``, the struct (doc_id, digest) of the group's first row."""
     prints = materialize(fingerprints(docs), "simhash")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    groups = components(links(distinct, distance, parts), "simhash-links")
-    named = distinct.join(groups, distinct["fp"] == groups["id"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    ids = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "c").select(F.col("fp").alias("_fp"), "component_id")
-    rows = prints.join(named, F.col("fp") == F.col("_fp"))
-    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    distinct = materialize(prints.groupBy("fp").agg(F.min(own).alias("_own")), "simhash-distinct")
+    found = components(links(distinct, parts, crowded), "simhash-links")
+    named = distinct.join(found, distinct["fp"] == found["id"], "left").select("fp", "_own", F.coalesce("component", "fp").alias("c"))
+    firsts = named.groupBy("c").agg(F.min("_own").alias("least"))
+    named = named.join(firsts, "c").select(F.col("fp").alias("_fp"), "least")
+    return prints.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The input with one document of each group: that with the smallest id.
+def near_duplicates(docs: DataFrame, parts: int = PARTS, crowded: int = CROWDED) -> DataFrame:
+    """Per row: doc_id, fingerprint (16 hex digits) and component_id, the smallest id of its group."""
+    return groups(docs, parts, crowded).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
 
-    Rows that repeat it are told apart by a digest of the text, and one of equal rows stays.
-    """
-    groups = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), "fingerprint").distinct()
-    first = groups.groupBy("_id").agg(F.min("fingerprint").alias("_first"))
-    rows = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*docs.columns)
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The input with one row of each group: that with the smallest id, and of equal ids
+    that with the smallest digest; of equal rows one stays."""
+    first = groups(docs).select("least.*").distinct().select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    rows = docs.withColumn("_d", F.xxhash64("text"))
+    rows = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_d"]).select(*docs.columns)
