@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, simhash, wavelet
+from . import mixing, packing, quality_rules, simhash, warc, wavelet
 from .common import table
 
 #: End ids the packed and the binary output use.
@@ -37,6 +37,10 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(folder, manifest)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(*warc.write(table(spark, sf_dir, "pages")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op5_packing": op5_packing,
     "op7_token_binary": op7_token_binary,
+    "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
 }
-SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op2_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op2_mixing": mixing.SQL, "op8_warc": warc.SQL}
