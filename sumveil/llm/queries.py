@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, simhash, warc, wavelet
+from . import mixing, packing, quality_rules, simhash, template_extract, warc, wavelet
 from .common import table
 
 #: End ids the packed and the binary output use.
@@ -45,6 +45,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
@@ -52,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_binary": op7_token_binary,
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
+    "op10_html": op10_html,
 }
 SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op2_mixing": mixing.SQL, "op8_warc": warc.SQL}
