@@ -16,7 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words a worker remembers; later ones are encoded again for each batch.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: Of these, words with a full stop or comma; the others are put together anew.
+REMEMBERED_MARKED = 100_000
 #: Texts are taken in slices of about so many bytes, to bound memory.
 SLICE_BYTES = 6 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -35,7 +37,7 @@ class WordEncoder:
         self.codes: dict[str, int] = {}
         self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.n = self.used = self.kept = self.kept_used = 0
-        self.end, self.end_code = None, -1
+        self.end, self.end_code, self.marked = None, -1, 0
         vocab = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin (spaced) or end (else) a piece
         for piece, i in vocab.items():
@@ -132,12 +134,13 @@ class WordEncoder:
         """Codes in which the marks that follow are included; remembered as words are."""
         at = np.flatnonzero(follows >= 0)
         if len(at):
-            remember = len(self.codes) + len(at) <= REMEMBERED and self.n == self.kept
+            remember = self.marked + len(at) <= REMEMBERED_MARKED and self.n == self.kept
             ids, ends = self._gather(codes[at])
             first = self._add(np.insert(ids, ends, follows[at]), self.lengths[codes[at]] + 1)
             codes[at] = first + np.arange(len(at))
             if remember:
                 self.codes.update(zip((keys[i] for i in at.tolist()), range(first, first + len(at)), strict=True))
+                self.marked += len(at)
                 self.kept, self.kept_used = self.n, self.used
         return codes
 
@@ -174,7 +177,9 @@ class WordEncoder:
                 bare[1:] |= breaks[:-1]
             code_spaced = np.full(len(unique), -1, np.int64)
             code_bare = code_spaced.copy()
-            use, first = np.unique(index[~bare]), np.unique(index[bare])
+            used, leads = np.zeros((2, len(unique)), bool)
+            used[index[~bare]], leads[index[bare]] = True, True
+            use, first = np.flatnonzero(used), np.flatnonzero(leads)
             k1, k2 = [" " + unique[u] for u in use.tolist()], [unique[u] for u in first.tolist()]
             found1, found2 = self._lookup(k1, own), self._lookup(k2, own)
             code_spaced[use], code_bare[first] = self._ended(k1, *found1), self._ended(k2, *found2)
