@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, rp_forest, simhash, template_extract, warc, wavelet
+from . import mixing, packing, quality_rules, rp_forest, rule_classifier, simhash, template_extract, warc, wavelet
 from .common import table
 
 #: End ids the packed and the binary output use.
@@ -36,6 +36,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), PACK_END)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = wavelet.write_shards(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), BINARY_END)
     return wavelet.read_documents(folder, manifest)
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_embeddings": op4_embeddings,
     "op5_packing": op5_packing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_token_binary": op7_token_binary,
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
