@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, rp_forest, rule_classifier, simhash, template_extract, warc, wavelet
+from . import licenses, mixing, packing, quality_rules, rp_forest, rule_classifier, simhash, template_extract, warc, wavelet
 from .common import table
 
 #: End ids the packed and the binary output use.
@@ -28,6 +28,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -60,6 +64,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op3_licenses": op3_licenses,
     "op4_embeddings": op4_embeddings,
     "op5_packing": op5_packing,
     "op6_quality_classifier": op6_quality_classifier,
@@ -68,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_html": op10_html,
 }
-SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op2_mixing": mixing.SQL, "op8_warc": warc.SQL}
+SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op2_mixing": mixing.SQL, "op3_licenses": licenses.SQL, "op8_warc": warc.SQL}
