@@ -13,12 +13,21 @@ from pyspark.sql import functions as F
 
 from sumveil.session import materialize, scratch_dir
 
-__all__ = ["WORD", "let", "materialize", "n_partitions", "open_fs", "scratch_dir", "ship", "table", "words"]
+__all__ = ["WORD", "keep_where", "let", "materialize", "n_partitions", "open_fs", "scratch_dir", "ship", "table", "words"]
 
 #: A word: no space and no control from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def keep_where(df: DataFrame, condition: Column, columns: list[Column]) -> DataFrame:
+    """``columns`` of the rows that meet a condition on computed columns.
+
+    A filter would be pushed below the projections that compute its columns, and evaluate
+    them once per mention; a generator is not.
+    """
+    return df.select(F.explode(F.when(condition, F.array(F.struct(*columns)))).alias("_row")).select("_row.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, words
+from .common import WORD, keep_where, let, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -115,9 +115,8 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """Kept documents with failing lines removed, in the input's columns."""
-    judged = judge(docs).filter("_q.kept")
-    new = {"text": F.col("_q.clean_text")} | ({"n_chars": F.length("_q.clean_text").cast("long")} if "n_chars" in docs.columns else {})
-    return judged.withColumns(new).select(*docs.columns)
+    new = {"text": F.col("_q.clean_text"), "n_chars": F.length("_q.clean_text").cast("long")}
+    return keep_where(judge(docs), F.col("_q.kept"), [new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def _sql() -> str:

@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, words
+from .common import keep_where, materialize, words
 
 TRAINING_ROWS = 50_000
 HELD_OUT = 2
@@ -158,7 +158,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
     model = fit(measured, labels, rows)
     text = F.coalesce(F.col("text"), F.lit(""))
     mine = docs.withColumn("_words", words(F.col("text")))
-    columns = [F.col(c) for c in docs.columns]
-    stats = F.struct(*[v.alias(k) for k, v in statistics(text, F.col("_words")).items()])
-    whole = mine.select(F.struct(*columns).alias("_row"), stats.alias("_s")).select("_row", "_s.*")
-    return whole.filter(model.score() >= THRESHOLD).select("_row.*")
+    whole = mine.select(F.struct(*docs.columns).alias("_doc"), *[v.alias(k) for k, v in statistics(text, F.col("_words")).items()])
+    return keep_where(whole, model.score() >= THRESHOLD, [F.col("_doc")]).select("_doc.*")
