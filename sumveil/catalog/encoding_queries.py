@@ -103,17 +103,19 @@ def enc_reg(spark, sf):
     return sums.select(*UW, F.round(a, 4).alias("intercept"), F.round(b, 6).alias("slope"))
 
 
+#: Bits of a packed count: the sum of a bin must stay below 2^32.
+PACK_BITS = 32
 _Y_BINS = "SELECT universe_id, ws, y AS bin, count(*) AS n FROM stdw GROUP BY ALL"
 
 
-def _packed(spark, sf, bits=16):
+def _packed(spark, sf, bits=PACK_BITS):
     bins = _std(spark, sf).groupBy(*UW, F.col("y").alias("bin")).agg(F.count("*").alias("n"))
     word = enc.pack_word(F.col("bin"), bits)
     return bins.groupBy(*UW, word.alias("word")).agg(F.sum(enc.pack_value(F.col("n"), F.col("bin"), bits)).alias("packed"))
 
 
 @query("E11 X1 X2", _sql(f"""
-    SELECT universe_id, ws, bin // 4 AS word, sum(n * (1::BIGINT << ((bin % 4) * 16)::INT))::BIGINT AS packed
+    SELECT universe_id, ws, bin // {64 // PACK_BITS} AS word, sum(n * (1::BIGINT << ((bin % {64 // PACK_BITS}) * {PACK_BITS})::INT))::BIGINT AS packed
     FROM ({_Y_BINS}) GROUP BY ALL"""))
 def hist_pack(spark, sf):
     return _packed(spark, sf)
@@ -121,7 +123,7 @@ def hist_pack(spark, sf):
 
 @query("E12 X2", _sql(f"SELECT * FROM ({_Y_BINS})"))
 def hist_unpack(spark, sf):
-    bins = F.explode(enc.unpack_word(F.col("word"), F.col("packed"), 16))
+    bins = F.explode(enc.unpack_word(F.col("word"), F.col("packed"), PACK_BITS))
     return _packed(spark, sf).select(*UW, bins.alias("e")).select(*UW, "e.bin", "e.n").filter("n > 0")
 
 

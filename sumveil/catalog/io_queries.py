@@ -103,10 +103,14 @@ def bad_record_split(spark, sf):
     return rows.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("S10")
+@query("S10", with_views(["std"], f"""
+    SELECT universe_id, {ws('ts_ms')} AS ws, sum(value)::BIGINT AS s, sum(value * value)::BIGINT AS q, count(*) AS n, true AS emitted_after_window
+    FROM std GROUP BY ALL"""))
 def results_restamped(spark, sf):
-    """Population sums with the time they were emitted at."""
-    return rec.restamp(population_sums(_producer_sums(spark, sf), ["s", "q", "n"]))
+    """Population sums with the time they were emitted at, which is after the window's end."""
+    stamped = rec.restamp(population_sums(_producer_sums(spark, sf), ["s", "q", "n"]))
+    after = F.unix_millis("emitted_at") >= F.col("ws") + W
+    return stamped.select("universe_id", "ws", "s", "q", "n", after.alias("emitted_after_window"))
 
 
 @query("S11 S8", with_views(["std5"], f"SELECT 'u' || universe_id || '-results' AS topic, {ws('ts_ms')} AS ws, count(*) AS n FROM std5 GROUP BY ALL"))

@@ -9,7 +9,7 @@ from sumveil.catalog.sqlviews import DAY, with_views
 from sumveil.catalog.window_queries import committed as committed_std, committed_windows
 from sumveil.functions import encodings as enc
 from sumveil.functions.prf import prf_lanes
-from sumveil.functions.vectors import lanes_to_columns, vector_sum
+from sumveil.functions.vectors import combine, lanes_to_columns, vector_sum, zeros
 from sumveil.operators import chain, commits as cm, masks as mk, membership as mb, release as rl, telescoping as tl
 from sumveil.session import scratch_dir
 from sumveil.sources import fixtures as fx
@@ -44,11 +44,17 @@ def _released(df):
     return lanes_to_columns(df.select("universe_id", "ws", "v", "producers"), "v", LANES)
 
 
-@query("K1")
+@query("K1", with_views(["committed"], f"SELECT producer_id, ws, {L}::BIGINT AS distinct_lanes, true AS undone, true AS differs FROM committed"))
 def prf_column(spark, sf):
-    """Lane keys of every producer at every window start."""
+    """Lane keys of every producer at every window start: lanes differ, and F(end) - F(start) undoes itself."""
     df = committed_std(spark, sf).join(fx.stream_keys(fx.std(spark, sf)), "producer_id")
-    return lanes_to_columns(df.select("producer_id", "ws", prf_lanes(F.col("key"), F.col("ws"), L).alias("f")), "f", ["f0", "f1", "f2"])
+    start, end = (prf_lanes(F.col("key"), F.col("ws") + d, L) for d in (0, W))
+    df = df.select("producer_id", "ws", start.alias("f"), end.alias("g"))
+    back = combine(L, [combine(L, [F.col("g")], [F.col("f")]), F.col("f")], [F.col("g")])
+    return df.select(
+        "producer_id", "ws", F.size(F.array_distinct("f")).cast("bigint").alias("distinct_lanes"),
+        (back == zeros(L)).alias("undone"), (F.col("f") != F.col("g")).alias("differs"),
+    )
 
 
 @query("K2 K3 S2", with_views(["stdw"], "SELECT producer_id, ts_ms, value AS s, value * value AS q, 1::BIGINT AS n FROM stdw"))
@@ -119,17 +125,30 @@ def release_graph(spark, sf):
     return _released(rl.release(ciphers, rl.masked_tokens(masks, wkeys, L), L))
 
 
-def _zero_sql(view: str) -> str:
-    body = f"SELECT universe_id, ws, 0::BIGINT AS m0, 0::BIGINT AS m1, 0::BIGINT AS m2, count(*) AS members FROM (SELECT DISTINCT v.universe_id, c.ws, c.producer_id FROM committed c JOIN {view} v USING (producer_id)) GROUP BY universe_id, ws"
+def _zero_sql(view: str, edges: str) -> str:
+    body = f"SELECT universe_id, ws, 0::BIGINT AS m0, 0::BIGINT AS m1, 0::BIGINT AS m2, count(*) AS members, {edges}, 0::BIGINT AS mismatched FROM (SELECT DISTINCT v.universe_id, c.ws, c.producer_id FROM committed c JOIN {view} v USING (producer_id)) GROUP BY universe_id, ws"
     return with_views([view, "committed"], body)
 
 
+_CLIQUE_EDGES, _SOME_EDGES = "(count(*) * (count(*) - 1))::BIGINT AS neighbours", "true AS has_edges"
+#: Members from which a window without an edge is next to impossible (below 1e-8).
+CERTAIN = 12
+
+
+def _some_edges(totals):
+    """Edges depend on keys, so their number is not compared, only that larger windows have some."""
+    return totals.withColumn("has_edges", (F.col("members") < CERTAIN) | (F.col("neighbours") > 0)).drop("neighbours")
+
+
 def _mask_total(masks):
-    total = vector_sum(masks, ["universe_id", "ws"], "mask", L, extra=[F.count("*").alias("members")], out="m")
+    """Sums of masks; a member has a mask other than zero exactly if it has neighbours."""
+    apart = F.sum(F.when((F.col("mask") != zeros(L)) == (F.col("neighbours") > 0), 0).otherwise(1).cast("bigint"))
+    extra = [F.count("*").alias("members"), F.sum("neighbours").alias("neighbours"), apart.alias("mismatched")]
+    total = vector_sum(masks, ["universe_id", "ws"], "mask", L, extra=extra, out="m")
     return lanes_to_columns(total, "m", ["m0", "m1", "m2"])
 
 
-@query("K4 J6", _zero_sql("clique"))
+@query("K4 J6", _zero_sql("clique", _CLIQUE_EDGES))
 def mask_clique_zero(spark, sf):
     """All-pairs masks of a window add up to zero."""
     events = fx.cohort_std(spark, sf, fx.CLIQUE_SIZE)
@@ -137,7 +156,7 @@ def mask_clique_zero(spark, sf):
     return _mask_total(mk.clique_masks(present, fx.pair_keys(windows, fx.CLIQUE_SIZE), L))
 
 
-@query("K5 J7", _zero_sql("graphed"))
+@query("K5 J7", _zero_sql("graphed", _SOME_EDGES))
 def mask_graph_zero(spark, sf):
     """Graph masks add up to zero after the dropped producers' edges are taken out."""
     events = fx.cohort_std(spark, sf, fx.GRAPH_SIZE)
@@ -149,15 +168,15 @@ def mask_graph_zero(spark, sf):
         edges = edges.join(known, ["universe_id", end]).filter(F.col("first_ws") <= F.col("ws")).drop("first_ws")
     edges = mk.exclude_dropped(edges, mb.dropped_rows(present, W, ROUNDS))
     masks = mk.for_all_present(present, mk.signed_sums(edges, L), L)
-    return _mask_total(masks)
+    return _some_edges(_mask_total(masks))
 
 
-@query("K9", _zero_sql("clique"))
+@query("K9", _zero_sql("clique", _SOME_EDGES))
 def mask_sampled_zero(spark, sf):
     """Masks over pairs drawn afresh each window add up to zero."""
     events = fx.cohort_std(spark, sf, fx.CLIQUE_SIZE)
     _, present, windows = _committed_sums(events)
-    return _mask_total(mk.sampled_masks(present, fx.pair_keys(windows, fx.CLIQUE_SIZE), L, 1))
+    return _some_edges(_mask_total(mk.sampled_masks(present, fx.pair_keys(windows, fx.CLIQUE_SIZE), L, 1)))
 
 
 @query("K10", with_views(["psums", "committed"], """

@@ -107,9 +107,9 @@ def bucket_balance(spark, sf):
     return ag.bucket_balance(fx.std(spark, sf), "producer_id", 8, hashed)
 
 
-@query("A11", with_views(["stdw"], "SELECT universe_id, ws, members, sha256(concat_ws(',', " + ", ".join(f"c{i}" for i in range(5)) + """)) AS fingerprint
+@query("A11", with_views(["stdw"], "SELECT universe_id, ws, members, sha256(concat_ws(',', " + ", ".join(f"c{i}" for i in range(8)) + """)) AS fingerprint
     FROM (SELECT universe_id, ws, count(*) AS members, """ + ", ".join(
-        f"sum(('0x' || d[{12 * i + 1}:{12 * i + 12}])::BIGINT)::BIGINT AS c{i}" for i in range(5)) + """
+        f"sum(('0x' || d[{8 * i + 1}:{8 * i + 8}])::BIGINT)::BIGINT AS c{i}" for i in range(8)) + """
           FROM (SELECT DISTINCT universe_id, ws, producer_id, sha256(producer_id::VARCHAR) AS d FROM stdw) GROUP BY ALL)"""))
 def member_fingerprint(spark, sf):
     df = chain.with_window(fx.std(spark, sf), W)

@@ -85,9 +85,9 @@ def pack_word(bin_col: Column, bits: int) -> Column:
 
 def pack_value(n: Column, bin_col: Column, bits: int) -> Column:
     """A bin's count at its place in the word; errors when it would spill over."""
-    limit = 1 << min(bits, 62)
     slot = (bin_col % F.lit(64 // bits).cast("bigint")).cast("int")
-    checked = F.when((n >= 0) & (n < limit), n).otherwise(
+    fits = (n >= 0) if bits >= 63 else (n >= 0) & (n < (1 << bits))
+    checked = F.when(fits, n).otherwise(
         F.raise_error(F.lit(f"count does not fit into {bits} bits")).cast("bigint")
     )
     return F.shiftleft(checked, 0) if bits == 64 else F.call_function("shiftleft", checked, slot * bits)

@@ -23,11 +23,16 @@ from pyspark.sql.functions import arrow_udf
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _matrix(column: pa.Array, dtype: str = "int64") -> np.ndarray:
-    """Rows of a list column whose lists all have the same length."""
-    rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
-    return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
+def _matrix(column: pa.Array, width: int | None = None, dtype: str = "int64") -> np.ndarray:
+    """Rows of a list column; a null vector or lane, or vectors of unequal lengths, are errors."""
+    rows, flat = len(column), column.flatten()
+    lengths = np.diff(column.offsets.to_numpy())
+    if column.null_count or flat.null_count:
+        raise ValueError("a vector or a lane is null")
+    if rows and (lengths != (lengths[0] if width is None else width)).any():
+        raise ValueError("vectors of unequal lengths")
+    values = flat.to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+    return values.reshape(rows, -1) if rows else values.reshape(0, 0)
 
 
 def _lists(matrix: np.ndarray) -> pa.Array:
@@ -39,7 +44,14 @@ def _lists(matrix: np.ndarray) -> pa.Array:
 def _blocks(column: pa.Array) -> np.ndarray:
     """(rows, blocks, halves) of big-endian 64-bit halves; the last block is padding."""
     rows = len(column)
-    raw = np.frombuffer(b"".join(column.to_pylist()), dtype=">u8")
+    if column.null_count:
+        raise ValueError("a cipher is null")
+    kind = "<i8" if pa.types.is_large_binary(column.type) else "<i4"
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, kind, rows + 1, offset=column.offset * np.dtype(kind).itemsize)
+    if rows and (np.diff(at) != at[1] - at[0]).any():
+        raise ValueError("ciphers of unequal lengths")
+    raw = np.frombuffer(data, ">u8", (int(at[-1]) - int(at[0])) // 8, offset=int(at[0])) if rows else np.zeros(0, ">u8")
     return raw.reshape(rows, -1, 2)[:, :-1, :].astype("uint64") if rows else raw.reshape(0, 1, 2)
 
 
@@ -69,19 +81,19 @@ def decode_difference(data: Column) -> Column:
     return kernel(data)
 
 
-def combine(plus: list[Column], minus: list[Column]) -> Column:
+def combine(plus: list[Column], minus: list[Column], n_lanes: int | None = None) -> Column:
     """Lane by lane sum of some vectors minus others."""
     added = len(plus)
 
     @arrow_udf("array<bigint>")
     def kernel(*columns: pa.Array) -> pa.Array:
-        total = sum(_matrix(c) for c in columns[:added]) - sum(_matrix(c) for c in columns[added:])
+        total = sum(_matrix(c, n_lanes) for c in columns[:added]) - sum(_matrix(c, n_lanes) for c in columns[added:])
         return _lists(np.ascontiguousarray(total))
 
     return kernel(*plus, *minus)
 
 
-def batch_sums(df: DataFrame, keys: list[str], vector: str, sign: str | None) -> DataFrame:
+def batch_sums(df: DataFrame, keys: list[str], vector: str, sign: str | None, n_lanes: int | None = None) -> DataFrame:
     """Partial sums: one vector per key and Arrow batch, so a shuffle carries few of them."""
 
     def kernel(batches):
@@ -89,18 +101,20 @@ def batch_sums(df: DataFrame, keys: list[str], vector: str, sign: str | None) ->
             if not batch.num_rows:
                 continue
             names = batch.schema.names
-            key_rows = np.stack([batch.column(names.index(k)).to_numpy(zero_copy_only=False) for k in keys], axis=1)
-            groups, group_of = np.unique(key_rows, axis=0, return_inverse=True)
-            rows = _matrix(batch.column(names.index(vector)))
+            codes = [batch.column(names.index(k)).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for k in keys]
+            _, firsts, group_of = np.unique(np.stack(codes, axis=1), axis=0, return_index=True, return_inverse=True)
+            groups = [batch.column(names.index(k)).take(pa.array(firsts)) for k in keys]
+            rows = _matrix(batch.column(names.index(vector)), n_lanes)
             if sign:
                 rows = rows * batch.column(names.index(sign)).to_numpy(zero_copy_only=False)[:, None]
             order = np.argsort(group_of.reshape(-1), kind="stable")
-            starts = np.searchsorted(group_of.reshape(-1)[order], np.arange(len(groups)))
+            starts = np.searchsorted(group_of.reshape(-1)[order], np.arange(len(firsts)))
             sums = np.add.reduceat(rows[order], starts, axis=0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(groups[:, i]) for i in range(len(keys))] + [_lists(sums)], names=[*keys, vector]
+                [*groups, _lists(sums)], names=[*keys, vector]
             )
 
-    picked = df.select(*[F.col(k).cast("bigint").alias(k) for k in keys], vector, *([F.col(sign).cast("bigint").alias(sign)] if sign else []))
-    schema = ", ".join(f"{k} bigint" for k in keys) + f", {vector} array<bigint>"
+    picked = df.select(*keys, vector, *([F.col(sign).cast("bigint").alias(sign)] if sign else []))
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", `{vector}` array<bigint>"
     return picked.mapInArrow(kernel, schema)

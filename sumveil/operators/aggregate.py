@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumveil.functions.timewin import window_start
+from sumveil.session import spread
+
+#: Windows that one row opens when gaps are filled.
+GAP_BLOCK = 10_000
 
 
 def producer_sums(df: DataFrame, size_ms: int, measures: dict[str, Column], ts: str = "ts_ms") -> DataFrame:
@@ -45,11 +49,16 @@ def add_maps(a: Column, b: Column) -> Column:
 
 
 def fill_windows(totals: DataFrame, size_ms: int, zero: list[str]) -> DataFrame:
-    """Open every window between a universe's first and last one; empty ones get zeros."""
+    """Open every window between a universe's first and last one; empty ones get zeros.
+
+    The range is opened in blocks of ``GAP_BLOCK`` windows, which are dealt out before
+    they are opened, so a long gap is neither one array nor one task.
+    """
     spans = totals.groupBy("universe_id").agg(F.min("ws").alias("_lo"), F.max("ws").alias("_hi"))
-    every = spans.select(
-        "universe_id", F.explode(F.sequence("_lo", "_hi", F.lit(size_ms).cast("bigint"))).alias("ws")
-    )
+    size, step = F.lit(size_ms).cast("bigint"), F.lit(size_ms * GAP_BLOCK).cast("bigint")
+    blocks = spans.select("universe_id", "_hi", F.explode(F.sequence("_lo", "_hi", step)).alias("_from"))
+    blocks = spread(blocks, "universe_id", "_from")
+    every = blocks.select("universe_id", F.explode(F.sequence("_from", F.least("_hi", F.col("_from") + step - size), size)).alias("ws"))
     return every.join(totals, ["universe_id", "ws"], "left").na.fill(0, subset=zero)
 
 
@@ -68,14 +77,15 @@ def bucket_balance(df: DataFrame, member: str, buckets: int, hashed: Column) ->
 def member_fingerprint(df: DataFrame, keys: list[str], member: str, bits: int = 256) -> DataFrame:
     """Order-free fingerprint of a member set.
 
-    Each member's SHA-2 digest is cut into 12-digit (48-bit) chunks, chunks are
+    Each member's SHA-2 digest is cut into 8-digit (32-bit) chunks, chunks are
     summed over the set, and the sums are hashed again.  The sums are ordinary
-    partial aggregates, so a set of any size never meets in one task.
+    partial aggregates, so a set never meets in one task; they hold up to 2^31
+    members.
     """
     digits = bits // 4
     digest = F.sha2(F.col(member).cast("string"), bits)
-    starts = list(range(0, digits - digits % 12, 12))
-    chunk = lambda s: F.conv(F.substr(F.col("_d"), F.lit(s + 1), F.lit(12)), 16, 10).cast("bigint")
+    starts = list(range(0, digits, 8))
+    chunk = lambda s: F.conv(F.substr(F.col("_d"), F.lit(s + 1), F.lit(8)), 16, 10).cast("bigint")
     sums = (
         df.select(*keys, member).distinct().select(*keys, digest.alias("_d"))
         .groupBy(*keys)

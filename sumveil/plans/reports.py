@@ -18,13 +18,15 @@ def latency_stats(df: DataFrame, keys: list[str], value: str = "latency_ms") ->
     """Count, mean, exact median, extremes and sample deviation of an integer latency."""
     counts = frequencies(df, keys, value)
     x, c = F.col(value), F.col("_n")
+    exact = x.cast("decimal(12,0)")
     basic = counts.groupBy(*keys).agg(
-        F.sum(c).alias("n"), F.sum(x * c).alias("_s"), F.sum(x * x * c).alias("_q"),
+        F.sum(c).alias("n"), F.sum(exact * c).alias("_s"), F.sum(exact * exact * c).alias("_q"),
         F.min(x).alias("min_ms"), F.max(x).alias("max_ms"),
     )
     n, s, q = (F.col(c).cast("double") for c in ("n", "_s", "_q"))
-    # Integer sums make the deviation independent of the order of rows.
-    deviation = F.when(F.col("n") > 1, F.sqrt((F.col("n") * F.col("_q") - F.col("_s") * F.col("_s")).cast("double") / (n * (n - 1))))
+    # Exact sums make the deviation independent of the order of rows; products have 38 digits.
+    wide = lambda a, b: F.col(a).cast("decimal(38,0)") * F.col(b).cast("decimal(38,0)")
+    deviation = F.when(F.col("n") > 1, F.sqrt((wide("n", "_q") - wide("_s", "_s")).cast("double") / (n * (n - 1))))
     median = quantile_of_frequencies(counts, keys, value, 0.5, out="median_ms")
     return basic.select(
         *keys, "n", (s / n).alias("mean_ms"), "min_ms", "max_ms", deviation.alias("stdev_ms")

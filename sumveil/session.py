@@ -41,11 +41,13 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared checkpoint folder the session names.
 
     Written tables and stream checkpoints must be visible to every executor, so
-    the cluster's ``spark.checkpoint.dir`` decides.  Only where it is unset (local
-    tests) a temporary folder is made and set.
+    the cluster's ``spark.checkpoint.dir`` decides.  Only on a local master, where
+    driver and executors are one process, a temporary folder is made if it is unset.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sumveil-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

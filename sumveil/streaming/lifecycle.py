@@ -38,11 +38,17 @@ def combine(batches):
 
 
 def facts(df: DataFrame, kind: str, size_ms: int, grace_ms: int, ts: str = "ts_ms") -> DataFrame:
-    """One fact per (universe, producer, window); ``kind`` is value, commit or token."""
+    """One fact per (universe, producer, window); ``kind`` is value, commit or token.
+
+    A key must be remembered until its window ends and grace is over, counted from its
+    first record; so the watermark lags by window and grace, and repeats in later
+    micro-batches of the window are found too.  What is too late is left to the life
+    cycle, which knows the stream time of the universe.
+    """
     if "ws" not in df.columns:
         df = df.withColumn("ws", window_start(F.col(ts), size_ms))
     t = df.select("universe_id", "producer_id", "ws", F.col(ts).alias("ts_ms"))
-    t = t.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", f"{grace_ms} milliseconds")
+    t = t.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", f"{size_ms + grace_ms} milliseconds")
     unique = t.dropDuplicatesWithinWatermark(["universe_id", "producer_id", "ws"])
     return unique.select("universe_id", F.lit(kind).alias("kind"), "ws", "ts_ms")
 
@@ -108,7 +114,7 @@ class Lifecycle(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         now, newest, windows = self._load()
-        seen, lowest, highest = newest, None, newest
+        seen, lowest, highest, before = newest, None, newest, now
         for pdf in rows:
             for kind, ws, n, max_ts in zip(pdf["kind"], pdf["ws"].tolist(), pdf["n"].tolist(), pdf["max_ts"].tolist()):
                 if kind == "clock":
@@ -118,6 +124,9 @@ class Lifecycle(StatefulProcessor):
                     continue
                 if seen is not None and ws <= seen and ws not in windows:
                     continue  # the window is finished
+                late = before is not None and before >= ws + self.size_ms + self.grace_ms
+                if late and self.deadline_ms is None and kind != "token":
+                    continue  # grace was over before this trigger
                 w = windows.setdefault(ws, [0, 0, 0, 0, _NEVER])
                 if kind == "commit" and self.deadline_ms is not None and w[0] >= 3:
                     continue  # the committed sum is frozen

@@ -48,4 +48,4 @@ def test_private_results_equal_plain_ones(spark):
 
 def test_prf_keys_differ(spark):
     df = ENTRIES["prf_column"].run(spark, SF)
-    assert df.select("f0").distinct().count() == df.count() == df.filter("f0 <> f1 and f1 <> f2").count()
+    assert df.count() == df.filter("distinct_lanes = 3 and undone and differs").count() > 0
