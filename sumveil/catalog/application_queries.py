@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from sumveil.catalog.registry import query
 from sumveil.catalog.sqlviews import DAY, with_views, ws
-from sumveil.operators import chain, release as rl, telescoping as tl
+from sumveil.functions.timewin import idiv
+from sumveil.operators import chain, commits as cm, masks as mk, release as rl, telescoping as tl
 from sumveil.plans import profiles as pf
 from sumveil.session import materialize
 from sumveil.sources import fixtures as fx
@@ -12,6 +15,8 @@ from sumveil.sources import fixtures as fx
 UW = ["universe_id", "ws"]
 WINDOW = ["universe_id", "producer_id", "ws"]
 YEAR = 360 * DAY
+#: Commits count up to so many milliseconds after their window ended.
+DEADLINE = 6000
 MONTH = 30 * DAY
 
 
@@ -51,26 +56,39 @@ def _sql(view: str, rows: str, size: int, private: bool) -> str:
     if private:
         kept = f"""SELECT * FROM (SELECT *, max(ws) OVER (PARTITION BY universe_id, producer_id) AS last_ws,
                           max(ts_ms) OVER (PARTITION BY universe_id, producer_id, ws) AS last_ts FROM ({kept}))
-                   WHERE ws < last_ws OR last_ts = ws + {size} - 1"""
+                   WHERE (ws < last_ws OR last_ts = ws + {size} - 1)
+                     AND NOT (producer_id % 10 = 7 AND (ws // {size}) % 2 = 0) AND 1000 * (producer_id % 8) <= {DEADLINE}"""
     return with_views([view], f"""
     SELECT universe_id, ws, field, lane::BIGINT AS lane, sum(v)::BIGINT AS v
     FROM (WITH src AS ({kept}) {rows}) GROUP BY ALL HAVING sum(v) <> 0""")
 
 
-def _private(events, lanes, fields: dict[str, int], size: int):
-    """Encrypt each producer's window vector, sum ciphertexts and tokens, read the lanes.
+def _cohorts(events):
+    """Each cohort of consecutive producers is a population with pair keys of its own."""
+    cohort = F.shiftleft("universe_id", 32) + idiv(F.col("producer_id"), fx.CLIQUE_SIZE)
+    return events.withColumn("universe_id", cohort)
+
+
+def _private(events, lanes_of, fields: dict[str, int], size: int):
+    """Masked release of whole vectors: commits, window keys, pairwise masks, tokens, sums.
 
-    Producers with a gap-free window take part.  Keys and tokens are computed per
-    (producer, window), never per event.
+    Producers with a gap-free window and a commit in time take part.  Every cohort is
+    released by itself, and released cohorts are added up.  Keys, masks and tokens are
+    computed per (producer, window), never per event.
     """
-    n = pf.n_lanes(fields)
+    n, events = pf.n_lanes(fields), _cohorts(events)
     spans = materialize(chain.window_spans(events, size), "producer-windows")
-    keys = fx.stream_keys(spans)
-    present = chain.complete_windows(spans, size)
-    wkeys = tl.window_keys(present, keys, n, size)
-    ciphers = tl.mask_window_sums(pf.dense_vectors(lanes, WINDOW, fields), wkeys, "v", n)
-    tokens = rl.plain_tokens(wkeys, n)
-    return pf.rebuild_lanes(rl.release(ciphers, tokens, n), UW, fields)
+    in_time = cm.in_time(fx.commits(spans, size), size, DEADLINE)
+    present = materialize(cm.committed(chain.complete_windows(spans, size), in_time), "committed")
+    lanes = lanes_of(_windowed(events, size)).join(present, WINDOW, "left_semi")
+    wkeys = tl.window_keys(present, fx.stream_keys(present), n, size)
+    pairs = fx.pair_keys(present, fx.CLIQUE_SIZE)
+    pairs = pairs.withColumn("universe_id", F.lit(1 << 32) + F.col("universe_id"))
+    masks = mk.cohort_masks(present, pairs, n).select(*WINDOW, "mask")
+    rows = pf.dense_vectors(lanes, WINDOW, fields).join(wkeys, WINDOW).join(masks, WINDOW)
+    cohorts = pf.rebuild_lanes(rl.release_committed(rows, n), UW, fields)
+    universe = F.shiftright("universe_id", 32).alias("universe_id")
+    return cohorts.groupBy(universe, "ws", "field", "lane").agg(F.sum("v").alias("v")).filter("v <> 0")
 
 
 def _windowed(df, size):
@@ -92,19 +110,16 @@ def plain_web(spark, sf):
     return pf.web_lane_totals(_windowed(fx.web(spark, sf), DAY), UW)
 
 
-@query("P2 K3 K6 A4", _sql("polar", _lane_rows(pf.POLAR), YEAR, True))
+@query("P2 J1 K3 K4 K6 A4", _sql("polar", _lane_rows(pf.POLAR), YEAR, True))
 def private_polar(spark, sf):
-    events = fx.polar(spark, sf)
-    return _private(events, pf.fine_lane_totals(_windowed(events, YEAR), WINDOW, pf.POLAR), pf.POLAR.fields, YEAR)
+    return _private(fx.polar(spark, sf), lambda e: pf.fine_lane_totals(e, WINDOW, pf.POLAR), pf.POLAR.fields, YEAR)
 
 
-@query("P3 K3 K6 A4", _sql("car", _lane_rows(pf.CAR), YEAR, True))
+@query("P3 J1 K3 K4 K6 A4", _sql("car", _lane_rows(pf.CAR), YEAR, True))
 def private_car(spark, sf):
-    events = fx.car(spark, sf)
-    return _private(events, pf.fine_lane_totals(_windowed(events, YEAR), WINDOW, pf.CAR), pf.CAR.fields, YEAR)
+    return _private(fx.car(spark, sf), lambda e: pf.fine_lane_totals(e, WINDOW, pf.CAR), pf.CAR.fields, YEAR)
 
 
-@query("P4 K3 K6 A4", _sql("web", _web_rows(), 5 * DAY, True))
+@query("P4 J1 K3 K4 K6 A4", _sql("web", _web_rows(), DAY, True))
 def private_web(spark, sf):
-    events = fx.web(spark, sf)
-    return _private(events, pf.web_position_totals(_windowed(events, 5 * DAY), WINDOW), pf.WEB_FIELDS, 5 * DAY)
+    return _private(fx.web(spark, sf), lambda e: pf.web_position_totals(e, WINDOW), pf.WEB_FIELDS, DAY)

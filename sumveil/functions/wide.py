@@ -93,6 +93,30 @@ def combine(plus: list[Column], minus: list[Column], n_lanes: int | None = None)
     return kernel(*plus, *minus)
 
 
+def pair_sums(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Signed sums per member over the pairs of a group: added for ``b``, subtracted for ``a``.
+
+    ``edges`` has the keys, a, b and ``data``, the encrypted blocks of a pair; it is
+    partitioned and sorted by the keys.  A group is a population of bounded size.
+    """
+
+    def kernel(table: pa.Table) -> pa.Table:
+        a, b = (table.column(c).to_numpy() for c in ("a", "b"))
+        lanes = _fold(_blocks(table.column("data").combine_chunks()))
+        members, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        total = np.zeros((len(members), lanes.shape[1]), "int64")
+        for row, i, j in zip(lanes, at[: len(a)], at[len(a) :]):
+            total[i] -= row
+            total[j] += row
+        same = [pa.array([table.column(k)[0].as_py()] * len(members), table.schema.field(k).type) for k in keys]
+        counts = np.bincount(at, minlength=len(members))
+        return pa.Table.from_arrays([*same, pa.array(members), _lists(total), pa.array(counts)], names=[*keys, "producer_id", "mask", "neighbours"])
+
+    types = dict(edges.dtypes)
+    head = ", ".join(f"{k} {types[k]}" for k in keys)
+    return edges.groupBy(*keys).applyInArrow(kernel, f"{head}, producer_id bigint, mask array<bigint>, neighbours bigint")
+
+
 def batch_sums(df: DataFrame, keys: list[str], vector: str, sign: str | None, n_lanes: int | None = None) -> DataFrame:
     """Partial sums: one vector per key and Arrow batch, so a shuffle carries few of them."""
 

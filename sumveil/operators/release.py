@@ -33,6 +33,23 @@ def release(ciphers: DataFrame, tokens: DataFrame, n_lanes: int, cipher: str = "
     parts = ciphers.select("universe_id", "ws", F.col(cipher).alias("_x"), F.lit(1).alias("_c"), F.lit(0).alias("_t")).unionByName(
         got.select("universe_id", "ws", F.col("token").alias("_x"), F.lit(0).alias("_c"), F.lit(1).alias("_t"))
     )
+    return release_parts(parts, n_lanes)
+
+
+def release_committed(rows: DataFrame, n_lanes: int) -> DataFrame:
+    """The same where each row holds the sum ``v``, the window key ``k`` and the ``mask`` of a committed producer.
+
+    Cipher v + k and token mask - k come from one pass, so window keys are computed once.
+    """
+    cipher, token = combine(n_lanes, [F.col("v"), F.col("k")]), combine(n_lanes, [F.col("mask")], [F.col("k")])
+    both = rows.select("universe_id", "ws", cipher.alias("_cipher"), token.alias("_token"))
+    part = lambda x, c, t: F.struct(F.col(x).alias("_x"), F.lit(c).alias("_c"), F.lit(t).alias("_t"))
+    sent = F.explode(F.array(part("_cipher", 1, 0), part("_token", 0, 1))).alias("_p")
+    return release_parts(both.select("universe_id", "ws", sent).select("universe_id", "ws", "_p.*"), n_lanes)
+
+
+def release_parts(parts: DataFrame, n_lanes: int) -> DataFrame:
+    """Sum ciphers and tokens of a window; a window whose counts differ gives no row."""
     if n_lanes > WIDE_LANES:
         # Both counts ride along as two more lanes of the same sum.
         counted = parts.withColumn("_x", F.concat("_x", F.array(F.col("_c").cast("bigint"), F.col("_t").cast("bigint"))))

@@ -131,12 +131,12 @@ def web(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def commits(events: DataFrame) -> DataFrame:
-    """One commit per (producer, window) with an arrival time; some producers skip even days."""
-    ws = F.col("ws") if "ws" in events.columns else window_start(F.col("ts_ms"), W)
+def commits(events: DataFrame, size_ms: int = W) -> DataFrame:
+    """One commit per (producer, window) with an arrival time; some producers skip even windows."""
+    ws = F.col("ws") if "ws" in events.columns else window_start(F.col("ts_ms"), size_ms)
     seen = events.select("universe_id", "producer_id", ws.alias("ws")).distinct()
-    skips = (F.col("producer_id") % 10 == 7) & (idiv(F.col("ws"), W) % 2 == 0)
-    return seen.filter(~skips).withColumn("commit_ts", F.col("ws") + W + 1000 * (F.col("producer_id") % 8))
+    skips = (F.col("producer_id") % 10 == 7) & (idiv(F.col("ws"), size_ms) % 2 == 0)
+    return seen.filter(~skips).withColumn("commit_ts", F.col("ws") + size_ms + 1000 * (F.col("producer_id") % 8))
 
 
 def stream_keys(events: DataFrame) -> DataFrame:
