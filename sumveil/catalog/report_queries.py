@@ -110,11 +110,12 @@ def churn_type(spark, sf):
     return mb.diff_counts(diffs(spark, sf)).withColumn("type", rp.churn_type(F.col("added"), F.col("dropped")))
 
 
-@query("R8 A9", with_views(["diffs"], """
-    SELECT universe_id, ws, members, 110::BIGINT AS min_size, members < 110 AS below_threshold FROM (
-        SELECT universe_id, ws, sum(sum(diff)) OVER (PARTITION BY universe_id ORDER BY ws)::BIGINT AS members FROM diffs GROUP BY universe_id, ws)"""))
+@query("R8 A9", with_views(["diffs", "stduniverses"], """
+    SELECT universe_id, ws, members, min_size, members < min_size AS below_threshold FROM (
+        SELECT universe_id, ws, sum(sum(diff)) OVER (PARTITION BY universe_id ORDER BY ws)::BIGINT AS members FROM diffs GROUP BY universe_id, ws)
+    JOIN stduniverses USING (universe_id)"""))
 def membership_history(spark, sf):
-    return rp.membership_history(mb.universe_size(diffs(spark, sf)), 110)
+    return rp.membership_history(mb.universe_size(diffs(spark, sf)), fx.std_universes(spark, sf))
 
 
 @query("S14", with_views(["csum"], f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sumveil.sources.fixtures import CAR_RANGES, CLIQUE_SIZE, EVENT_TYPES, GRAPH_SIZE, WEB_TIMINGS
+from sumveil.sources.fixtures import CAR_RANGES, CLIQUE_SIZE, EVENT_TYPES, FULL_PERCENT, GRAPH_SIZE, LEAST_PERCENT, WEB_TIMINGS
 
 DAY = 86_400_000
 
@@ -28,6 +28,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         + " ".join(f"WHEN '{t}' THEN {i}::BIGINT" for i, t in enumerate(EVENT_TYPES, 1)) + " END AS universe_id) FROM std"),
     "clique": (["std"], f"SELECT * REPLACE (producer_id // {CLIQUE_SIZE} AS universe_id) FROM std"),
     "graphed": (["std"], f"SELECT * REPLACE (producer_id // {GRAPH_SIZE} AS universe_id) FROM std"),
+    "stduniverses": (["std"], f"""
+        SELECT universe_id, n * {FULL_PERCENT} // 100 AS full_size, n * {LEAST_PERCENT} // 100 AS min_size
+        FROM (SELECT universe_id, count(DISTINCT producer_id) AS n FROM std GROUP BY 1)"""),
     "stdw": (["std"], f"SELECT *, {ws('ts_ms')} AS ws FROM std"),
     "spans": (["stdw"], f"""
         SELECT universe_id, producer_id, ws, n_values, max_ts,

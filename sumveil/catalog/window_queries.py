@@ -72,12 +72,12 @@ def plain_universe_any(spark, sf):
     return ag.population_sums(_producer_sums(spark, sf), ["s", "q", "n"])
 
 
-@query("A2", with_views(["psums"], """
+@query("A2", with_views(["psums", "stduniverses"], """
     SELECT universe_id, ws, sum(s)::BIGINT AS s, sum(q)::BIGINT AS q, sum(n)::BIGINT AS n, count(*) AS producers
-    FROM psums GROUP BY universe_id, ws HAVING count(*) >= 130"""))
+    FROM psums JOIN stduniverses USING (universe_id) GROUP BY universe_id, ws, full_size HAVING count(*) >= full_size"""))
 def plain_universe_full(spark, sf):
-    """Population sums only of windows to which a required number of producers contributed."""
-    return ag.population_sums(_producer_sums(spark, sf), ["s", "q", "n"], universe_size=130)
+    """Population sums only of windows to which enough producers of the universe contributed."""
+    return ag.population_sums(_producer_sums(spark, sf), ["s", "q", "n"], fx.std_universes(spark, sf))
 
 
 @query("A3 J1", with_views(["csum"], "SELECT universe_id, ws, s, q, n, producers FROM csum"))

@@ -19,12 +19,16 @@ def producer_sums(df: DataFrame, size_ms: int, measures: dict[str, Column], ts:
     )
 
 
-def population_sums(sums: DataFrame, measures: list[str], universe_size: int | None = None) -> DataFrame:
-    """Sum producer sums per (universe, window); with a size, only full windows come out."""
+def population_sums(sums: DataFrame, measures: list[str], universes: DataFrame | None = None) -> DataFrame:
+    """Sum producer sums per (universe, window); with ``universes(universe_id, full_size)``, only
+    windows to which that many producers of their universe contributed come out."""
     total = sums.groupBy("universe_id", "ws").agg(
         *[F.sum(m).alias(m) for m in measures], F.count("*").alias("producers")
     )
-    return total if universe_size is None else total.filter(F.col("producers") >= universe_size)
+    if universes is None:
+        return total
+    full = total.join(universes.select("universe_id", "full_size"), "universe_id").filter(F.col("producers") >= F.col("full_size"))
+    return full.drop("full_size")
 
 
 def add_inputs(df: DataFrame, keys: list[str], attrs: list[str], count: str = "count") -> DataFrame:

@@ -87,11 +87,10 @@ def churn_type(added: Column, dropped: Column) -> Column:
     )
 
 
-def membership_history(sizes: DataFrame, minimum: int) -> DataFrame:
-    """Universe size per window next to its minimum."""
-    return sizes.select(
-        "universe_id", "ws", "members", F.lit(minimum).cast("bigint").alias("min_size"),
-        (F.col("members") < minimum).alias("below_threshold"),
+def membership_history(sizes: DataFrame, universes: DataFrame) -> DataFrame:
+    """Universe size per window next to the minimum in ``universes(universe_id, min_size)``."""
+    return sizes.join(universes.select("universe_id", "min_size"), "universe_id").select(
+        "universe_id", "ws", "members", "min_size", (F.col("members") < F.col("min_size")).alias("below_threshold"),
     )
 
 

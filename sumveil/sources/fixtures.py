@@ -13,6 +13,8 @@ from sumveil.functions.timewin import DAY_MS, floor_mod, idiv, millis, window_st
 
 W = DAY_MS
 CLIQUE_SIZE = 16
+#: Of a universe's producers: those that make a window full, and the fewest members.
+FULL_PERCENT, LEAST_PERCENT = 89, 73
 GRAPH_SIZE = 64
 
 # Event types in alphabetical order, numbering universes from 1.
@@ -131,6 +133,14 @@ def web(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def std_universes(spark: SparkSession, sf: str) -> DataFrame:
+    """The universes of ``std`` with the producers that make a window full, and the fewest
+    members a universe should have: shares of all its producers."""
+    sizes = std(spark, sf).groupBy("universe_id").agg(F.countDistinct("producer_id").alias("size"))
+    share = lambda percent: idiv(F.col("size") * percent, 100)
+    return sizes.select("universe_id", share(FULL_PERCENT).alias("full_size"), share(LEAST_PERCENT).alias("min_size"), F.lit(W).cast("bigint").alias("window_ms"))
+
+
 def commits(events: DataFrame, size_ms: int = W) -> DataFrame:
     """One commit per (producer, window) with an arrival time; some producers skip even windows."""
     ws = F.col("ws") if "ws" in events.columns else window_start(F.col("ts_ms"), size_ms)
