@@ -34,7 +34,7 @@ TREES = 8
 #: Points of a leaf; points sampled from a node to fit its splits; levels of splits a round.
 LEAF, SAMPLE, LEVELS = 512, 4000, 6
 #: Half the width of the overlap, in standard deviations of the projected distance of a pair at the threshold.
-SPILL = 0.7
+SPILL = 0.25
 #: A split that leaves more than this share of the points on both sides is not made.
 STUCK = 0.8
 #: Vectors in a block of a leaf that could not be split.
