@@ -80,7 +80,7 @@ def heac_window_sum(spark, sf):
 _MISSING = f"NOT (ws = 1704844800000)"
 
 
-@query("A4 A5 K6", with_views(["csum"], f"SELECT universe_id, ws, s, q, n, producers FROM csum WHERE {_MISSING}"))
+@query("A4 A5 K10", with_views(["csum"], f"SELECT universe_id, ws, s, q, n, producers FROM csum WHERE {_MISSING}"))
 def release(spark, sf):
     """All-or-nothing: one window lacks a token and stays shut, one producer sends twice."""
     events = fx.std(spark, sf)

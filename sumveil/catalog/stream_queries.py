@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from sumveil.catalog.registry import query
 from sumveil.catalog.sqlviews import DAY, with_views
-from sumveil.catalog.window_queries import GRACE, STATUS_SQL, arrived_tokens, committed
+from sumveil.catalog.window_queries import GRACE, STATUS_SQL, arrived_tokens, committed, committed_windows
 from sumveil.functions import encodings as enc
 from sumveil.session import scratch_dir
-from sumveil.sources import fixtures as fx
+from sumveil.sources import fixtures as fx, records as rec
 from sumveil.streaming import lifecycle as lc, windows as st
 
 W = fx.W
@@ -48,6 +48,34 @@ def stream_commit_join(spark, sf):
     return st.run_to_table(st.with_start(joined), "commit-join")
 
 
+@query("S3 S9 F2 J2", with_views(["psums", "committed"], """
+    SELECT kind, count(*) AS n, sum(v)::BIGINT AS v FROM (
+        SELECT 'transformation' AS kind, s AS v FROM psums SEMI JOIN committed USING (universe_id, producer_id, ws)
+        UNION ALL SELECT 'commit', 1 FROM committed
+        UNION ALL SELECT 'status', producer_id % 5 FROM committed WHERE producer_id % 5 > 0
+        UNION ALL SELECT 'bad', 0 FROM committed WHERE producer_id % 5 = 0) GROUP BY kind"""))
+def src_tokens(spark, sf):
+    """Tagged token records, one variant each, written and read as a stream; malformed ones are set apart.
+
+    A token of a producer without a commit is ignored.
+    """
+    windows, present = committed_windows(fx.std(spark, sf))
+    key = ["universe_id", "producer_id", "ws"]
+    vector = F.array("s", "q", "n")
+    status = F.when(F.col("producer_id") % 5 > 0, F.col("producer_id") % 5)
+    sent = windows.select(*key, *rec.token_record("transformation", vector))
+    sent = sent.unionByName(present.select(*key, *rec.token_record("commit", F.struct(F.col("ws").alias("start"), (F.col("ws") + 1).alias("end")))))
+    sent = sent.unionByName(present.select(*key, *rec.token_record("status", status)))
+    folder = scratch_dir(spark, "token-records")
+    sent.write.parquet(folder)
+    back = st.run_to_table(st.read_stream(spark, folder).select("universe_id", "producer_id", "ws", "kind", *rec.TOKEN_KINDS), "tokens-read")
+    good, bad = rec.well_formed(back)
+    good = good.join(present.select(*key), key, "left_semi")
+    value = F.coalesce(F.get("transformation", F.lit(0)), F.col("commit.end") - F.col("commit.start"), F.col("status").cast("bigint"))
+    rows = good.select("kind", value.alias("v")).unionByName(bad.select(F.lit("bad").alias("kind"), F.lit(0).cast("bigint").alias("v")))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+
+
 def _status_stream(spark, sf):
     events = fx.event_columns(st.read_stream(spark, f"{sf}/events.parquet"))
     present = scratch_dir(spark, "committed")
@@ -62,7 +90,7 @@ def _status_stream(spark, sf):
     return lc.lifecycle(lc.clock(events, W), rows, W, GRACE)
 
 
-@query("T4 T5 T6 T9 T10", with_views(["stdw", "committed", "commits"], f"""
+@query("T4 T6 T10", with_views(["stdw", "committed", "commits"], f"""
     SELECT universe_id, ws, status, commits, tokens FROM ({STATUS_SQL})"""))
 def stream_window_status(spark, sf):
     """The state each window has reached after the stream's last record."""

@@ -59,7 +59,7 @@ def diffs(spark, sf):
 # ------------------------------------------------------------------ aggregates
 
 
-@query("A1 T1 T2", with_views(["psums"], "SELECT * FROM psums"))
+@query("A1", with_views(["psums"], "SELECT * FROM psums"))
 def producer_window_sum(spark, sf):
     return _producer_sums(spark, sf)
 

@@ -64,6 +64,29 @@ def within_time(df: DataFrame, ts: str, limit_ms: int, keys: list[str]) -> DataF
     return df.join(first, keys).filter(F.col(ts) <= F.col("_first") + limit_ms).drop("_first")
 
 
+# The kinds of a token record; exactly one field named after a kind is set.
+TOKEN_KINDS = ("transformation", "commit", "status")
+TOKEN_SCHEMA = (
+    "universe_id bigint, producer_id bigint, ws bigint, kind string, "
+    "transformation array<bigint>, commit struct<start:bigint,end:bigint>, status int"
+)
+
+
+def token_record(kind: str, value: Column) -> list[Column]:
+    """Columns of a token record of one kind, besides its window key."""
+    fields = {f.split(" ")[0]: f.split(" ", 1)[1] for f in TOKEN_SCHEMA.split(", ")[4:]}
+    return [F.lit(kind).alias("kind"), *[(value if k == kind else F.lit(None)).cast(t).alias(k) for k, t in fields.items()]]
+
+
+def well_formed(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Token records that carry exactly the one variant their kind names, and the others."""
+    one = sum((F.col(k).isNotNull().cast("int") for k in TOKEN_KINDS), F.lit(0)) == 1
+    named = F.coalesce(F.element_at(F.array(*[F.col(k).isNotNull() for k in TOKEN_KINDS]), F.array_position(F.array(*map(F.lit, TOKEN_KINDS)), F.col("kind")).cast("int")), F.lit(False))
+    known = F.col("kind").isin(*TOKEN_KINDS)
+    good = F.coalesce(known, F.lit(False)) & one & F.when(known, named).otherwise(False)
+    return tokens.filter(good), tokens.filter(~good)
+
+
 def restamp(df: DataFrame) -> DataFrame:
     """Results carry the time they were emitted at."""
     return df.withColumn("emitted_at", F.current_timestamp())
