@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sumveil.session import ship
+
 
 @dataclass(frozen=True)
 class Entry:
@@ -26,7 +29,13 @@ def query(covers: str, sql: str | None = None, name: str | None = None):
         key = name or fn.__name__
         if key in REGISTRY:
             raise ValueError(f"query registered twice: {key}")
-        REGISTRY[key] = Entry(key, covers, fn, sql)
+
+        @wraps(fn)
+        def run(spark, sf):
+            ship(spark)
+            return fn(spark, sf)
+
+        REGISTRY[key] = Entry(key, covers, run, sql)
         return fn
 
     return add

@@ -10,18 +10,12 @@ shuffles and groupings stay with Spark, and batches are bounded by
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-# The functions below travel with the job, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def _matrix(column: pa.Array, width: int | None = None, dtype: str = "int64") -> np.ndarray:
     """Rows of a list column; a null vector or lane, or vectors of unequal lengths, are errors."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,26 @@ def build_session(app: str = "sumveil", cores: str = "8", shuffle_partitions: in
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once per session.
+
+    Functions that run in Python workers are found there by name.
+    """
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    if getattr(sc, "_sumveil_shipped", False) or not os.path.isdir(root):
+        return
+    folder = tempfile.mkdtemp(prefix="sumveil-source-")
+    target = os.path.join(folder, "sumveil.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for at, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), os.path.dirname(root)))
+    sc.addPyFile(target)
+    sc._sumveil_shipped = True
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-partition by columns into the session's full number of shuffle partitions.
 

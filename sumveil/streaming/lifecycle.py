@@ -19,7 +19,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from sumveil.functions.timewin import window_start
 
-# The functions below travel with the job, so executors need no copy of the package.
+# The stateful processor is also loaded by a worker on the driver, which does not see shipped files.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FACTS = "universe_id bigint, kind string, ws bigint, n bigint, max_ts bigint"
