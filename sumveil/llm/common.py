@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import os
-import uuid
-import zipfile
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumveil.session import materialize, scratch_dir
+from sumveil.session import materialize, scratch_dir, ship
 
 __all__ = ["WORD", "keep_where", "let", "materialize", "n_partitions", "open_fs", "scratch_dir", "ship", "table", "words"]
 
@@ -54,25 +51,3 @@ def open_fs(folder: str) -> tuple[pafs.FileSystem, str]:
     if "://" in folder or folder.startswith("file:"):
         return pafs.FileSystem.from_uri(folder)
     return pafs.LocalFileSystem(), os.path.abspath(folder)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors, once per session."""
-    sc = spark.sparkContext
-    if getattr(sc, "_sumveil_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    top = os.path.dirname(root)
-    if os.path.isdir(root):
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w") as z:
-            for folder, _, names in os.walk(root):
-                for n in names:
-                    if n.endswith(".py"):
-                        p = os.path.join(folder, n)
-                        z.write(p, os.path.relpath(p, top))
-        target = os.path.join(sc._temp_dir, f"sumveil-{uuid.uuid4().hex[:8]}.zip")
-        with open(target, "wb") as f:
-            f.write(buffer.getvalue())
-        sc.addPyFile(target)
-    sc._sumveil_shipped = True
