@@ -48,8 +48,9 @@ def src_cipher_header(spark, sf):
 def src_bounded_batches(spark, sf):
     """A stream read in bounded micro-batches gives the rows of one read."""
     path = scratch_dir(spark, "batches")
-    fx.std(spark, sf).repartition(4, "producer_id", "ts_ms").write.parquet(path)
-    rows = st.run_to_table(st.read_stream(spark, path, max_files=1), "bounded")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fx.std(spark, sf).repartition(n, "producer_id", "ts_ms").write.option("maxRecordsPerFile", 1_000_000).parquet(path)
+    rows = st.run_to_table(st.read_stream(spark, path, max_files=max(1, n // 4)), "bounded")
     return rows.groupBy(tw.window_start(F.col("ts_ms"), W).alias("ws")).agg(F.count("*").alias("n"), F.sum("value").alias("s"))
 
 

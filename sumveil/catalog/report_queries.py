@@ -72,8 +72,9 @@ def encoding_size(spark, sf):
     SELECT universe_id, ws, coalesce(d, 0) AS diffs, 16 + 24 + 16 + 8 * coalesce(d, 0) + 24 + 24 AS bytes
     FROM (SELECT DISTINCT universe_id, ws FROM committed) LEFT JOIN (SELECT universe_id, ws, count(*) AS d FROM diffs GROUP BY ALL) USING (universe_id, ws)"""))
 def traffic_report(spark, sf):
-    windows = committed(spark, sf).select("universe_id", "ws").distinct()
-    counts = windows.join(mb.diff_counts(diffs(spark, sf)), ["universe_id", "ws"], "left").na.fill(0)
+    present = committed(spark, sf)
+    windows = present.select("universe_id", "ws").distinct()
+    counts = windows.join(mb.diff_counts(mb.membership_diff(present, W)), ["universe_id", "ws"], "left").na.fill(0)
     return rp.traffic(counts, 3)
 
 
