@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_where, materialize, words
+from .common import materialize, words
 
 TRAINING_ROWS = 50_000
 HELD_OUT = 2
@@ -153,10 +153,12 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> D
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """Rows whose predicted label is 1, in the input's columns; statistics are read twice, not stored with texts."""
-    measured = materialize(measure(docs), "rules-statistics")
-    model = fit(measured, labels, rows)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    mine = docs.withColumn("_words", words(F.col("text")))
-    whole = mine.select(F.struct(*docs.columns).alias("_doc"), *[v.alias(k) for k, v in statistics(text, F.col("_words")).items()])
-    return keep_where(whole, model.score() >= THRESHOLD, [F.col("_doc")]).select("_doc.*")
+    """Rows whose predicted label is 1, in the input's columns.
+
+    Texts are written once beside their statistics, so they are not measured twice.
+    """
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), words(F.col("text")).alias("_words"))
+    stats = [v.alias(k) for k, v in statistics(F.col("_text"), F.col("_words")).items()]
+    whole = materialize(whole.select("_doc", *stats), "rules-documents")
+    model = fit(whole.select(F.col("_doc.doc_id").alias("doc_id"), *NAMES), labels, rows)
+    return whole.filter(model.score() >= THRESHOLD).select("_doc.*")
