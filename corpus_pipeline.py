@@ -30,8 +30,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 ids."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), PACK_END)
+    """Pieces of documents in sequences of 4096 ids.
+
+    After four stages an executor's JVM has grown, so workers remember fewer words.
+    """
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), PACK_END, remembered=150_000)
 
 
 STAGES = [("quality rules", rules), ("quality classifier", classifier), ("simhash near-dedup", near_duplicates), ("mixing", mix), ("packing", pack)]

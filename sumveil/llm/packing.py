@@ -73,11 +73,9 @@ def tail_cuts(length: int, window: int = WINDOW, hard: int = HARD_CUT) -> list[i
     return bits if window - length > hard * (len(bits) - 1) else [length]
 
 
-def _sentence_ends(path: str) -> np.ndarray:
+def _sentence_ends(tokenizer) -> np.ndarray:
     """Which ids end a sentence: pieces of marks only, with a full stop, question or exclamation mark."""
-    from tokenizers import Tokenizer
-
-    vocab = Tokenizer.from_file(path).get_vocab()
+    vocab = tokenizer.get_vocab()
     table = np.zeros(max(vocab.values()) + 1, bool)
     for piece, i in vocab.items():
         body = piece.removesuffix("</w>")
@@ -85,14 +83,14 @@ def _sentence_ends(path: str) -> np.ndarray:
     return table
 
 
-def _packer(path: str, spaced: bool, end_id: int, window: int, sentence_cut: int, hard_cut: int, held_ids: int):
+def _packer(path: str, spaced: bool, end_id: int, window: int, sentence_cut: int, hard_cut: int, held_ids: int, remembered: int | None):
     def pack(batches):
         from pyspark import TaskContext
 
-        from .tokens import encoded
+        from .tokens import encoded, encoder
 
         first = TaskContext.get().partitionId() << 40
-        ends_sentence, step = _sentence_ends(path), max(1, min(hard_cut, window))
+        ends_sentence, step = _sentence_ends(encoder(path, spaced, remembered).tokenizer), max(1, min(hard_cut, window))
         sequence = 0
         ids = np.zeros(0, np.uint32)  # not yet cut
         docs = np.zeros((0, 5), np.int64)  # doc id, known, position in ids (may be below 0), ids, row number
@@ -145,7 +143,7 @@ def _packer(path: str, spaced: bool, end_id: int, window: int, sentence_cut: int
             return out
 
         rows = 0
-        for rest, new, offsets in encoded(batches, "text", path, spaced, end_id):
+        for rest, new, offsets in encoded(batches, "text", path, spaced, end_id, remembered):
             col, k = rest.column("doc_id"), len(offsets) - 1
             values = col.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             known = col.is_valid().to_numpy(zero_copy_only=False)
@@ -161,17 +159,18 @@ def _packer(path: str, spaced: bool, end_id: int, window: int, sentence_cut: int
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW, sentence_cut: int = SENTENCE_CUT, hard_cut: int = HARD_CUT, spaced: bool = False, held_ids: int = HELD
+    docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW, sentence_cut: int = SENTENCE_CUT, hard_cut: int = HARD_CUT, spaced: bool = False, held_ids: int = HELD, remembered: int | None = None
 ) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row_id.
 
     Null texts are empty documents (their end id alone); null ids come first; rows with
     equal ids are ordered by text and told apart by ``row_id``.  An empty table gives no
     row.  A text is encoded whole, however long; other columns are not read.
+    ``remembered`` bounds the words a worker keeps encoded, which trades memory for time.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(n_partitions(spark), F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_id long"
-    return ordered.mapInArrow(_packer(tokenizer_path, spaced, end_id, window, sentence_cut, hard_cut, max(held_ids, 16 * window)), schema)
+    return ordered.mapInArrow(_packer(tokenizer_path, spaced, end_id, window, sentence_cut, hard_cut, max(held_ids, 16 * window), remembered), schema)

@@ -20,7 +20,7 @@ REMEMBERED = 700_000
 #: Of these, words with a full stop or comma; the others are put together anew.
 REMEMBERED_MARKED = 100_000
 #: Texts are taken in slices of about so many bytes, to bound memory.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -28,12 +28,13 @@ class WordEncoder:
     """``spaced``: byte-level vocabulary whose pieces start with the blank before them.
     Otherwise blanks are dropped and words are lower-cased by the vocabulary."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, remembered: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
+        self.remembered = REMEMBERED if remembered is None else remembered
         self.codes: dict[str, int] = {}
         self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.n = self.used = self.kept = self.kept_used = 0
@@ -121,7 +122,7 @@ class WordEncoder:
             cores.append(k)
             marks.append(mark)
         if todo := [k for k in dict.fromkeys(cores) if k not in codes and k not in own]:
-            remember = len(codes) + len(todo) <= REMEMBERED and self.n == self.kept
+            remember = len(codes) + len(todo) <= self.remembered and self.n == self.kept
             first = self._new(todo)
             (codes if remember else own).update(zip(todo, range(first, first + len(todo)), strict=True))
             if remember:
@@ -208,19 +209,21 @@ class WordEncoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
-_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
+_ENCODERS: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> WordEncoder:
-    """The worker's encoder for a vocabulary; it lives as long as the worker."""
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = WordEncoder(path, spaced)
-    return _ENCODERS[path, spaced]
+def encoder(path: str, spaced: bool, remembered: int | None = None) -> WordEncoder:
+    """The worker's encoder for a vocabulary; it lives as long as the worker, and only the last one does."""
+    key = path, spaced, remembered
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(*key)
+    return _ENCODERS[key]
 
 
-def encoded(batches, column: str, path: str, spaced: bool, end_id: int):
+def encoded(batches, column: str, path: str, spaced: bool, end_id: int, remembered: int | None = None):
     """(rows of a batch without the text, ids of all its texts each with the end id, offsets)."""
-    enc = encoder(path, spaced)
+    enc = encoder(path, spaced, remembered)
     for batch in batches:
         text = pc.fill_null(batch.column(column), "")
         rest = batch.drop_columns([column])
