@@ -85,8 +85,8 @@ class WordEncoder:
         glue = "" if self.spaced else " "
         groups = [joined[k : k + 2000] for k in range(0, len(joined), 2000)]
         all_ids, all_lengths = [], []
-        for group, ids in zip(groups, self._raw([glue.join(g) for g in groups]), strict=True):
-            ids = np.array(ids, np.uint32)
+        for group in groups:  # one at a time: the library's results take far more memory than their ids
+            ids = np.array(self._raw([glue.join(group)])[0], np.uint32)
             at = np.flatnonzero(self.edge[ids])
             if len(at) != len(group):
                 own = self._raw(group)
@@ -95,9 +95,10 @@ class WordEncoder:
                 lengths = np.diff(np.append(at, len(ids))) if self.spaced else np.diff(np.concatenate([[-1], at]))
             all_ids.append(ids)
             all_lengths.append(lengths)
-        for ids in self._raw(alone):
-            all_ids.append(np.array(ids, np.uint32))
-            all_lengths.append(np.array([len(ids)]))
+        for k in range(0, len(alone), 2000):
+            for ids in self._raw(alone[k : k + 2000]):
+                all_ids.append(np.array(ids, np.uint32))
+                all_lengths.append(np.array([len(ids)]))
         return self._add(np.concatenate(all_ids), np.concatenate(all_lengths))
 
     def _lookup(self, keys: list[str], own: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -233,4 +234,5 @@ def encoded(batches, column: str, path: str, spaced: bool, end_id: int, remember
             before = sizes[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
             yield rest.slice(at, to - at), *enc.encode(text.slice(at, to - at), end_id)
+            pa.default_memory_pool().release_unused()
             at = to
