@@ -7,8 +7,8 @@ are still too large are split again, round by round: a round fits small subtrees
 bounded sample of each large node, in parallel, and moves all points down.  In a leaf all
 pairs are compared in double precision.  A pair that meets in several leaves counts in
 the first that both share, so no pair is ever written: a leaf gives each of its classes
-a number of links and the smallest class it is linked to within the leaf, and the union
-of those is taken over the table of classes.
+a number of links and the smallest class of the group it is part of within the leaf, and
+the union of those is taken over the table of classes.
 
 A node whose points lie closer together than the spill cannot be split; if it is larger
 than a leaf, its pairs are dealt in blocks over several tasks.  No pair is dropped.
@@ -133,8 +133,24 @@ def forest(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, cosine: flo
         points = materialize(points.join(models, "node", "left").mapInPandas(move, _POINTS), "forest")
 
 
+def _join(group: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Groups (each row's smallest row) after the groups of p and q are joined pair by pair."""
+    while True:
+        a, b = group[p], group[q]
+        apart = a != b
+        if not apart.any():
+            return group
+        p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+        np.minimum.at(group, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = group[group]
+            if (up == group).all():
+                break
+            group = up
+
+
 def _compare(leaf: int, a: pd.DataFrame, b: pd.DataFrame | None, cosine: float):
-    """Links between the rows of a and b (or within a): (cid, links, smallest linked cid)."""
+    """Links between the rows of a and b (or within a): (cid, links, smallest cid of the linked group)."""
     both = a if b is None else pd.concat([a, b], ignore_index=True)
     x, n = _unit(np.stack(both["vector"])), len(a)
     cid, weight = both["cid"].to_numpy(np.int64), both["weight"].to_numpy(np.int64)
@@ -142,7 +158,8 @@ def _compare(leaf: int, a: pd.DataFrame, b: pd.DataFrame | None, cosine: float):
     leaves = np.full((len(both), width), leaf, np.int64)
     for i, v in enumerate(both["leaves"]):
         leaves[i, : len(v)] = v
-    links, low = np.zeros(len(both), np.int64), cid.copy()
+    links, order = np.zeros(len(both), np.int64), np.argsort(cid)
+    rank, group = np.argsort(order), np.arange(len(both))
     for at in range(0, n, 1024):
         to = min(n, at + 1024)
         first = at if b is None else n
@@ -156,14 +173,13 @@ def _compare(leaf: int, a: pd.DataFrame, b: pd.DataFrame | None, cosine: float):
             p, q = p[mine], q[mine]
             np.add.at(links, p, weight[q])
             np.add.at(links, q, weight[p])
-            np.minimum.at(low, p, cid[q])
-            np.minimum.at(low, q, cid[p])
-    out = pd.DataFrame({"cid": cid, "links": links, "low": low})
+            group = _join(group, rank[p], rank[q])
+    out = pd.DataFrame({"cid": cid, "links": links, "low": cid[order[group[rank]]]})
     return out[out["links"] > 0]
 
 
 def linked(points: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """Per class and leaf with a link: cid, links (weighted), low (smallest class linked to there)."""
+    """Per class and leaf with a link: cid, links (weighted), low (smallest class of its group there)."""
     homes = points.groupBy("cid").agg(F.sort_array(F.collect_set("node")).alias("leaves"))
     sizes = points.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
     rows = points.join(homes, "cid").join(sizes, "node").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))

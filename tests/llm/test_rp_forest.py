@@ -1,6 +1,7 @@
 """Forest links against brute force."""
 
 import numpy as np
+import pandas as pd
 from sumveil.llm import rp_forest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string, weight int"
@@ -59,3 +60,28 @@ def test_links_and_components(spark):
     assert sum(a != b for a, b in zip(got, want)) <= 0.01 * len(want)
     assert [g for g in got if g[0] is None or g[0] >= 4000] == [w for w in want if w[0] is None or w[0] >= 4000]
     assert rp_forest.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_chains_and_stars_stay_whole(spark):
+    """Groups that are no cliques, whatever the order of their classes in a leaf or block."""
+    rng, rows = np.random.default_rng(3), []
+    around = lambda base, cosine: cosine * base + np.sqrt(1 - cosine**2) * (lambda v: v / np.linalg.norm(v))((v := rng.standard_normal(32)) - (v @ base) * base)
+    for _ in range(12):  # each copy links to the base only
+        base = around(np.eye(32)[0], 0.0)
+        rows += [(len(rows) + k, v.tolist(), len(rows) % 2) for k, v in enumerate([base, *(around(base, 0.985) for _ in range(15))])]
+    for k in range(24):  # each step links to the next only
+        rows.append((1000 + k, [float(np.cos(0.15 * k)), float(np.sin(0.15 * k))] + [0.0] * 30, 5))
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    frame = spark.createDataFrame([(*r, "x", None) for r in rows], SCHEMA.replace("float", "double"))
+    want = brute(rows)
+    assert any(w[1] == 1 for w in want) and any(w[1] == 15 for w in want)
+    for block in (2048, 40):
+        assert sorted((tuple(r) for r in rp_forest.near_duplicates(frame, block=block).collect()), key=str) == want
+
+
+def test_compare_joins_paths():
+    # path a-p-q-b with ids 0, 2, 3, 1
+    angle = {0: 0.0, 2: 0.15, 3: 0.30, 1: 0.45}
+    rows = pd.DataFrame({"cid": list(angle), "weight": 1, "vector": [[np.cos(t), np.sin(t)] for t in angle.values()], "leaves": [[7]] * 4})
+    got = rp_forest._compare(7, rows, None, 0.98)
+    assert dict(zip(got["cid"], got["low"])) == dict.fromkeys(angle, 0) and list(got["links"]) == [1, 2, 2, 1]
