@@ -10,8 +10,11 @@ the first that both share, so no pair is ever written: a leaf gives each of its
 a number of links and the smallest class of the group it is part of within the leaf, and
 the union of those is taken over the table of classes.
 
-A node whose points lie closer together than the spill cannot be split; if it is larger
-than a leaf, its pairs are dealt in blocks over several tasks.  No pair is dropped.
+The overlap of a split is as wide as needed for a pair at the threshold to be cut with a
+probability of LOSS at most, given how dense the points lie there.  A node so dense that
+too many points would go to both sides is not split; if it is larger than a leaf, its
+pairs are dealt in blocks over several tasks, and all are compared.  A pair is missed only
+if every tree cuts it; the density is estimated on a sample, so the bound is a mean.
 
 Null labels, null, empty or zero vectors and vectors with null, infinite or undefined
 parts link with nothing: 0 links, their own component.  Vectors of different lengths are
@@ -21,6 +24,8 @@ id is its smallest id that is not null.  An empty table gives no row.
 
 from __future__ import annotations
 
+from math import erfc, exp, pi, sqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,10 +38,10 @@ COSINE = 0.98
 TREES = 8
 #: Points of a leaf; points sampled from a node to fit its splits; levels of splits a round.
 LEAF, SAMPLE, LEVELS = 512, 4000, 6
-#: Half the width of the overlap, in standard deviations of the projected distance of a pair at the threshold.
-SPILL = 0.25
-#: A split that leaves more than this share of the points on both sides is not made.
-STUCK = 0.8
+#: Probability with which a split may cut a pair at the threshold; it sets the width of the overlap.
+LOSS = 0.02
+#: A split that leaves more than this share of the points on one side is not made.
+STUCK = 0.7
 #: Vectors in a block of a leaf that could not be split.
 BLOCK = 2048
 
@@ -46,8 +51,16 @@ def _direction(node: int, k: int, dim: int) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
-def _margin(dim: int, cosine: float) -> float:
-    return SPILL * np.sqrt((2 - 2 * cosine) / dim)
+#: Widths of an overlap, in standard deviations of the projected distance of a pair at the threshold, and the mean distance beyond them.
+_WIDTHS = np.linspace(0, 4, 401)
+_BEYOND = np.array([2 * (exp(-c * c / 2) / sqrt(2 * pi) - c * erfc(c / sqrt(2)) / 2) for c in _WIDTHS])
+
+
+def _margin(p: np.ndarray, middle: float, dim: int, cosine: float) -> float:
+    """Half the width of the overlap at ``middle`` of the projections ``p``."""
+    deviation = sqrt((2 - 2 * cosine) / dim)
+    dense = np.count_nonzero(np.abs(p - middle) <= deviation) / len(p) / 2
+    return deviation * float(_WIDTHS[np.argmax(_BEYOND * dense <= LOSS)]) / 2 if _BEYOND[-1] * dense <= LOSS else 2 * deviation
 
 
 def _unit(vectors) -> np.ndarray:
@@ -55,9 +68,9 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(node: int, x: np.ndarray, levels: int, cosine: float, leaf_share: float) -> list[float]:
-    """Thresholds of a subtree in heap order; NaN where it ends."""
-    out, margin, n = [float("nan")] * (2**levels - 1), _margin(x.shape[1], cosine), len(x)
+def fit(node: int, x: np.ndarray, levels: int, cosine: float, leaf_share: float) -> tuple[list[float], list[float]]:
+    """Thresholds of a subtree in heap order, NaN where it ends, and half the widths of their overlaps."""
+    out, margins, n = [float("nan")] * (2**levels - 1), [0.0] * (2**levels - 1), len(x)
     todo = [(0, np.arange(n))]
     while todo:
         k, at = todo.pop()
@@ -65,17 +78,18 @@ def fit(node: int, x: np.ndarray, levels: int, cosine: float, leaf_share: float)
             continue
         p = x[at] @ _direction(node, k, x.shape[1])
         middle = float(np.median(p))
+        margin = _margin(p, middle, x.shape[1], cosine)
         left, right = at[p < middle + margin], at[p >= middle - margin]
         if max(len(left), len(right)) > STUCK * len(at):
             continue
-        out[k] = middle
+        out[k], margins[k] = middle, margin
         todo += [(2 * k + 1, left), (2 * k + 2, right)]
-    return out
+    return out, margins
 
 
-def descend(node: int, x: np.ndarray, thresholds: list[float], cosine: float) -> list[tuple[int, np.ndarray, bool]]:
+def descend(node: int, x: np.ndarray, thresholds: list[float], margins: list[float]) -> list[tuple[int, np.ndarray, bool]]:
     """(place in the heap, rows, whether the subtree ended early) of all leaves that hold rows."""
-    margin, todo, out = _margin(x.shape[1], cosine), [(0, np.arange(len(x)))], []
+    todo, out = [(0, np.arange(len(x)))], []
     while todo:
         k, at = todo.pop()
         if not len(at):
@@ -84,7 +98,7 @@ def descend(node: int, x: np.ndarray, thresholds: list[float], cosine: float) ->
             out.append((k, at, k < len(thresholds)))
             continue
         p = x[at] @ _direction(node, k, x.shape[1])
-        todo += [(2 * k + 1, at[p < thresholds[k] + margin]), (2 * k + 2, at[p >= thresholds[k] - margin])]
+        todo += [(2 * k + 1, at[p < thresholds[k] + margins[k]]), (2 * k + 2, at[p >= thresholds[k] - margins[k]])]
     return out
 
 
@@ -115,9 +129,10 @@ def forest(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, cosine: flo
         def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
             n = int(group["n"].iloc[0])
             levels = max(1, min(LEVELS, int(np.ceil(np.log2(n / leaf)))))
-            return pd.DataFrame({"node": [key[0]], "splits": [fit(int(key[0]), _unit(np.stack(group["vector"])), levels, cosine, leaf / n)]})
+            splits, margins = fit(int(key[0]), _unit(np.stack(group["vector"])), levels, cosine, leaf / n)
+            return pd.DataFrame({"node": [key[0]], "splits": [splits], "margins": [margins]})
 
-        models = materialize(sample.groupBy("node").applyInPandas(learn, "node long, splits array<double>"), "forest-models")
+        models = materialize(sample.groupBy("node").applyInPandas(learn, "node long, splits array<double>, margins array<double>"), "forest-models")
 
         def move(frames):
             for frame in frames:
@@ -125,7 +140,7 @@ def forest(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, cosine: flo
                 yield frame.loc[keep, ["node", "shut", "cid", "weight", "vector"]]
                 for node, part in frame[~keep].groupby("node", sort=False):
                     x = _unit(np.stack(part["vector"]))
-                    for place, at, ended in descend(int(node), x, list(part["splits"].iloc[0]), cosine):
+                    for place, at, ended in descend(int(node), x, list(part["splits"].iloc[0]), list(part["margins"].iloc[0])):
                         rows = part.iloc[at]
                         stuck = ended and place == 0
                         yield pd.DataFrame({"node": _child(int(node), place), "shut": stuck, "cid": rows["cid"], "weight": rows["weight"], "vector": rows["vector"]})
@@ -160,17 +175,25 @@ def _compare(leaf: int, a: pd.DataFrame, b: pd.DataFrame | None, cosine: float):
         leaves[i, : len(v)] = v
     links, order = np.zeros(len(both), np.int64), np.argsort(cid)
     rank, group = np.argsort(order), np.arange(len(both))
-    for at in range(0, n, 1024):
-        to = min(n, at + 1024)
-        first = at if b is None else n
-        i, j = np.nonzero(x[at:to] @ x[first:].T >= cosine)
-        i, j = i + at, j + first
-        i, j = i[i < j], j[i < j]
+    # Rows that meet in an earlier leaf anyway are not compared with each other here.
+    earlier, counts = np.unique(leaves[leaves < leaf], return_counts=True)
+    met = (leaves == earlier[counts.argmax()]).any(1) if len(earlier) else np.zeros(len(both), bool)
+    rows = np.arange(len(both))
+    here, there = rows[:n], rows[:n] if b is None else rows[n:]
+    todo = [(here[~met[here]], there)] if b is None else [(here[~met[here]], there), (here[met[here]], there[~met[there]])]
+    for side, others, at in ((s, o, at) for s, o in todo if len(o) for at in range(0, len(s), 1024)):
+        some = side[at : at + 1024]
+        i, j = np.nonzero(x[some] @ x[others].T >= cosine)
+        i, j = some[i], others[j]
+        if b is None:
+            once = (i < j) | met[j]
+            i, j = i[once], j[once]
         for k in range(0, len(i), 20_000):
             p, q = i[k : k + 20_000], j[k : k + 20_000]
-            shared = (leaves[p][:, :, None] == leaves[q][:, None, :]).any(2)
-            mine = np.where(shared, leaves[p], leaf).min(1) == leaf
-            p, q = p[mine], q[mine]
+            if len(earlier):
+                shared = (leaves[p][:, :, None] == leaves[q][:, None, :]).any(2)
+                mine = np.where(shared, leaves[p], leaf).min(1) == leaf
+                p, q = p[mine], q[mine]
             np.add.at(links, p, weight[q])
             np.add.at(links, q, weight[p])
             group = _join(group, rank[p], rank[q])
@@ -181,7 +204,9 @@ def _compare(leaf: int, a: pd.DataFrame, b: pd.DataFrame | None, cosine: float):
 def linked(points: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """Per class and leaf with a link: cid, links (weighted), low (smallest class of its group there)."""
     homes = points.groupBy("cid").agg(F.sort_array(F.collect_set("node")).alias("leaves"))
-    sizes = points.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    # A leaf whose rows all share an earlier one has no pair of its own.
+    first = homes.select(F.explode("leaves").alias("node"), F.col("leaves")[0].alias("first")).groupBy("node")
+    sizes = first.agg(F.count("*").alias("n"), F.min("first").alias("least"), F.max("first").alias("most")).filter("n > 1 and (least <> most or least = node)").select("node", "n")
     rows = points.join(homes, "cid").join(sizes, "node").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))

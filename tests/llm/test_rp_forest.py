@@ -85,3 +85,19 @@ def test_compare_joins_paths():
     rows = pd.DataFrame({"cid": list(angle), "weight": 1, "vector": [[np.cos(t), np.sin(t)] for t in angle.values()], "leaves": [[7]] * 4})
     got = rp_forest._compare(7, rows, None, 0.98)
     assert dict(zip(got["cid"], got["low"])) == dict.fromkeys(angle, 0) and list(got["links"]) == [1, 2, 2, 1]
+
+
+def test_dense_cluster_of_different_vectors(spark):
+    rng, n, dim = np.random.default_rng(5), 3000, 64
+    base = np.eye(dim)[0]
+    around = rng.standard_normal((n, dim)) * (1 - base)
+    x = np.sqrt(0.981) * base + np.sqrt(1 - 0.981) * around / np.linalg.norm(around, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(n + i, v.tolist(), 0) for i, v in enumerate(rng.standard_normal((n, dim)))]
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    frame = spark.createDataFrame([(*r, "x", None) for r in rows], SCHEMA.replace("float", "double"))
+    got = {r.vec_id: r for r in rp_forest.near_duplicates(frame).collect()}
+    links = np.array([got[i].n_links for i in range(2 * n)])
+    assert want.sum() > 2_000_000 and (links <= want).all() and links.sum() >= 0.9999 * want.sum()
+    assert all(got[i].component_id == 0 for i in range(n))
