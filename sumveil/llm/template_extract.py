@@ -2,7 +2,9 @@
 
 A page is a sequence of tokens: opening tags, told apart by their path in the page, and
 text blocks at their path.  Two tokens of a host belong together if they occur equally
-often in each of its pages.  Such occurrence vectors are never gathered: a token's
+often in each of its pages.  Pages of a host whose text blocks are the same, leaving out
+those that markup names as noise, are copies of one article and count as one page, so
+copies cannot vote their own text into the template.  Such occurrence vectors are never gathered: a token's
 vector is represented by its number of pages, its occurrences and a sum of hashes of
 (page, occurrences), all of them partial aggregates, so the largest host is spread over
 all tasks.  A class is valid if it holds tags and covers half of the host's pages; classes
@@ -13,7 +15,7 @@ navigation, header, footer, sidebar, notice, advert, form or comments, or if on
 host most of their characters are links; the other slots are the article.
 
 A template has at most twice as many tokens as an average page of its host, however
-many pages there are.  Hosts with few pages are judged by markup alone.
+many pages there are.  Hosts with few different pages are judged by markup alone.
 
 Null or empty html gives an empty text, a null url the host ''.  Equal rows give equal
 results.  An empty table gives no row.  Whole pages are read, however long.
@@ -190,6 +192,27 @@ def _token_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000]), _ARROW.types, strict=True)], schema=_ARROW)
 
 
+def _articles(batches):
+    """Per page: host, page and a hash of its text blocks that are not marked as noise."""
+    for batch in batches:
+        article = [_hash("article", *(b[1] for b in parse(html or "")[1] if not b[3])) for html in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(article, pa.int64())], ["host", "page", "article"])
+
+
+def distinct_articles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row of ``rows(host, page, html)`` for each article of a host, and per host the number n of articles."""
+    pages = rows.mapInArrow(_articles, "host string, page long, article long").groupBy("host", "article", "page").agg(F.count("*").alias("rows"))
+    pages = materialize(pages, "template-pages")
+    kept = pages.groupBy("host", "article").agg(F.count("*").alias("pages"), F.min(F.struct("page", "rows")).alias("kept"))
+    hosts = kept.groupBy("host").agg(F.count("*").alias("n"))
+    # Pages beside the kept ones are few as a rule, and no page moves for the others.
+    again = kept.filter((F.col("pages") > 1) | (F.col("kept.rows") > 1)).select("host", "article", F.col("kept.page").alias("first"))
+    again = materialize(pages.join(again, ["host", "article"]).select("host", "page", (F.col("page") == F.col("first")).alias("is_first"), "rows"), "template-copies")
+    found = rows.join(again, ["host", "page"], "left").filter("is_first is null or is_first")
+    single = found.filter("rows is null or rows = 1").select("host", "page", "html")
+    return single.unionByName(found.filter("rows > 1").select("host", "page", "html").dropDuplicates(["host", "page"])), hosts
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -199,10 +222,11 @@ def templates(pages: DataFrame, share: float = SHARE, fewest: int = FEWEST) -> D
     hashes of slots that hold links."""
     ship(pages.sparkSession)
     rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), "html")
+    rows, articles = distinct_articles(rows)
     partial = rows.mapInArrow(_token_rows, _TOKENS)
     total = lambda c: F.sum(c).alias(c)
     tokens = materialize(partial.groupBy("host", "token", "is_tag", "slot").agg(*map(total, ("pages", "hits", "vector", "chars", "linked"))), "template-tokens")
-    hosts = rows.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= fewest)
+    hosts = articles.filter(F.col("n") >= fewest)
     common = tokens.filter(F.col("pages") >= fewest).join(hosts, "host").filter(F.col("pages") >= share * F.col("n"))
     classes = common.filter("is_tag is not null").groupBy("host", "pages", "hits", "vector").agg(F.count("*").alias("size"), F.count_if("is_tag").alias("tags"))
     valid = classes.filter((F.col("size") >= TOKENS) & (F.col("tags") >= TOKENS - 1)).drop("size", "tags")

@@ -39,6 +39,20 @@ def test_a_line_that_many_pages_share_is_kept(spark):
     assert got[1] == "shared line of text\n1 own" and got[2] == "2 only"
 
 
+def test_copies_of_an_article_are_no_template(spark):
+    article = "<article><h1>Head</h1><p>First part.</p><p>Second part.</p></article>"
+    html = lambda body, i: f"<html><body><div><ul><li>about us</li></ul></div>{body}<footer>seen {i}</footer></body></html>"
+    rows = [(i, f"http://same/a?ref={i}", html(article, i), "", 1, "", "") for i in range(5)]
+    rows += [(10, "http://same/b", html(article, 0), "", 1, "", "")] * 3
+    rows += [(20 + i, f"http://half/a?ref={i}", html(article, i), "", 1, "", "") for i in range(6)]
+    rows += [(30 + i, f"http://half/{i}", html(f"<div><p>{i} own</p></div>", i), "", 1, "", "") for i in range(6)]
+    found = te.extract(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = {r.page_id: r.text for r in found}
+    assert len(found) == len(rows)
+    assert {got[i] for i in (*range(5), 10, *range(20, 26))} == {"Head\nFirst part.\nSecond part."}
+    assert [got[30 + i] for i in range(6)] == [f"{i} own" for i in range(6)]
+
+
 def test_broken_markup():
     assert te.text_of("<p>a <!-- never closed") == "a"
     assert te.text_of("a < b <p title='x > y'>c</p></div></p> d & e &amp f") == "a < b\nc\nd & e & f"
