@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, licenses, mixing, packing, quality_rules, rp_forest, rule_classifier, simhash, template_extract, warc, wavelet
+from . import byte_bpe, kd_spelling, licenses, mixing, packing, quality_rules, rp_forest, rule_classifier, simhash, template_extract, warc, wavelet
 from .common import table
 
 #: End ids the packed and the binary output use.
@@ -68,6 +68,11 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), *vocabulary), *vocabulary))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = kd_spelling.letter_runs(table(spark, sf_dir, "documents"))
+    return kd_spelling.variants(kd_spelling.frequent(kd_spelling.with_slips(runs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
@@ -80,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_html": op10_html,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_spelling": op12_spelling,
 }
 SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op2_mixing": mixing.SQL, "op3_licenses": licenses.SQL, "op8_warc": warc.SQL}
