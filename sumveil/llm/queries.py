@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, kd_spelling, licenses, mixing, packing, quality_rules, rp_forest, rule_classifier, simhash, template_extract, warc, wavelet
+from . import byte_bpe, kd_spelling, licenses, mixing, packing, periodic_runs, quality_rules, rp_forest, rule_classifier, simhash, template_extract, warc, wavelet
 from .common import table
 
 #: End ids the packed and the binary output use.
@@ -73,6 +73,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_spelling.variants(kd_spelling.frequent(kd_spelling.with_slips(runs)))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.runs(periodic_runs.with_loops(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
@@ -86,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_spelling": op12_spelling,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op2_mixing": mixing.SQL, "op3_licenses": licenses.SQL, "op8_warc": warc.SQL}
