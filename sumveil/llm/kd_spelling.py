@@ -29,7 +29,7 @@ DIMS = 96
 #: Points of a cell, queries of a block, and points of a leaf inside a cell.
 CELL, QUERIES, LEAF = 8192, 1 << 18, 48
 #: Words that fit the tops of the trees at most; nodes of fewer sampled words are not split.
-SAMPLE, FEWEST = 400_000, 32
+SAMPLE, FEWEST = 1 << 17, 32
 #: A split leaves at least this share on either side.
 SHARE = 1 / 16
 #: Letters of the words searched at a time, and comparisons of one product.
@@ -53,8 +53,12 @@ def chunks(at: np.ndarray, length: int):
 
 def vectors(words: list[str]) -> np.ndarray:
     """Letter counts, one row per word."""
-    rows = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
-    return np.bincount(rows * DIMS + _DIM[codes_of(words)], minlength=len(words) * DIMS).reshape(-1, DIMS)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    out = np.zeros((len(words), DIMS), np.int16 if lengths.max(initial=0) < 1 << 15 else np.int32)
+    for at in chunks(np.arange(len(words)), int(lengths.max(initial=0))):
+        rows = np.repeat(np.arange(len(at)), lengths[at])
+        out[at] = np.bincount(rows * DIMS + _DIM[codes_of(words[at[0] : at[-1] + 1])], minlength=len(at) * DIMS).reshape(-1, DIMS)
+    return out
 
 
 def best_split(counts: np.ndarray) -> tuple[int, int] | None:
@@ -214,7 +218,7 @@ def fit_tops(words: DataFrame) -> tuple[dict[int, Top], dict[tuple[int, int], tu
     sizes = {r.length: r.n for r in words.groupBy(F.length("word").alias("length")).agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     every = max(1, -(-total // SAMPLE))
-    sample = [r.word for r in words.filter(F.pmod(F.xxhash64("word"), F.lit(every)) == 0).select("word").collect()] if total > CELL else []
+    sample = words.filter(F.pmod(F.xxhash64("word"), F.lit(every)) == 0).select("word").toArrow()["word"].to_pylist() if total > CELL else []
     by_length: dict[int, list[str]] = {}
     for w in sorted(sample):
         by_length.setdefault(len(w), []).append(w)
