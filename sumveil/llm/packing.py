@@ -13,7 +13,6 @@ costs can be cut inside, at steps of that length.  Only the open window is carri
 from __future__ import annotations
 
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -37,29 +36,39 @@ def best_cuts(ends: np.ndarray, penalties: np.ndarray, window: int = WINDOW) ->
     n = len(ends)
     powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
     at = np.concatenate([[0], ends])
-    hits: dict[int, list[int]] = {}
+    hit_to, hit_from = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for p in powers:
         i = np.searchsorted(at, ends - p)
-        for j in np.flatnonzero((ends >= p) & (at[np.minimum(i, n)] == ends - p)).tolist():
-            hits.setdefault(j + 1, []).append(int(i[j]))
+        j = np.flatnonzero((ends >= p) & (at[np.minimum(i, n)] == ends - p))
+        hit_to.append(j + 1)
+        hit_from.append(i[j])
+    hit_to, hit_from = np.concatenate(hit_to), np.concatenate(hit_from)
+    order = np.argsort(hit_to, kind="stable")
+    hits, hits_of = hit_from[order].tolist(), np.searchsorted(hit_to[order], np.arange(n + 2)).tolist()
+    # The earliest end that a window may begin at.
+    reach = np.searchsorted(at, at - window).tolist()
     place, penalty = at.tolist(), [0, *penalties.tolist()]
     cost, back = [0] * (n + 1), [0] * (n + 1)
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost + end, index), costs rising
+    keys, index, head, size = [0], [0], 0, 1  # queue from head on: cost + end, rising, and the index
     for j in range(1, n + 1):
-        e = place[j]
-        while place[queue[0][1]] < e - window:
-            queue.popleft()
-        best, i = queue[0]
-        best += window - e
-        for h in hits.get(j, ()):
+        e, least = place[j], reach[j]
+        while index[head] < least:
+            head += 1
+        i = index[head]
+        best = keys[head] + window - e
+        for h in hits[hits_of[j] : hits_of[j + 1]]:
             if cost[h] < best:
                 best, i = cost[h], h
         best += penalty[j]
         cost[j], back[j] = best, i
         key = best + e
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        while size > head and keys[-1] >= key:
+            keys.pop()
+            index.pop()
+            size -= 1
+        keys.append(key)
+        index.append(j)
+        size += 1
     cuts, j = [], n
     while j:
         cuts.append(place[j])

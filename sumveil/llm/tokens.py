@@ -3,7 +3,10 @@
 Both vocabularies split a text into pieces before they merge, and no piece crosses a
 blank that stands between two other characters.  So texts are cut there, the words of
 a batch are dictionary-encoded, the tokenizer sees only words it has not met before,
-and ids are put together by numpy.  Results equal those of encoding the whole text.
+and ids are put together by numpy.  A full stop or comma is split off a word only after
+an ASCII letter: other characters may be normalised to marks that share its piece.
+Results equal those of encoding the whole text, special tokens included: their strings
+give their ids unless ``plain`` makes them ordinary text.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ class WordEncoder:
     """``spaced``: byte-level vocabulary whose pieces start with the blank before them.
     Otherwise blanks are dropped and words are lower-cased by the vocabulary."""
 
-    def __init__(self, path: str, spaced: bool, remembered: int | None = None):
+    def __init__(self, path: str, spaced: bool, remembered: int | None = None, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.spaced = spaced
         self.remembered = REMEMBERED if remembered is None else remembered
         self.codes: dict[str, int] = {}
@@ -43,6 +47,9 @@ class WordEncoder:
         self.edge = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin (spaced) or end (else) a piece
         for piece, i in vocab.items():
             self.edge[i] = piece.startswith("\u0120") if spaced else piece.endswith("</w>")
+        #: Letters beyond ASCII that make one piece of their own, and so cannot part a word.
+        letters = [chr(c) for c in range(0x80, 0x250) if chr(c).isalpha()]
+        self.single = {c for c, ids in zip(letters, self._raw(letters), strict=True) if self.edge[ids].sum() == 1 == len(c.lower())} | {chr(c) for c in range(0x41, 0x7B) if chr(c).isalpha()}
         self.stops = {c: self._raw([c])[0][0] for c in ".,"}
 
     def _raw(self, pieces: list[str]) -> list[list[int]]:
@@ -73,8 +80,11 @@ class WordEncoder:
     def _joinable(self, piece: str) -> bool:
         """Whether the piece's ids can be told from those of its neighbours by ``edge``."""
         if self.spaced:
-            return piece[:1] == " " and " " not in piece[1:] and piece[1:].strip() == piece[1:] != ""
-        return piece.isalpha()
+            return piece[:1] == " " and " " not in piece[1:] and piece[1:].strip() == piece[1:] != "" and not self._special(piece)
+        return piece.isalpha() and (piece.isascii() or self.single.issuperset(piece))
+
+    def _special(self, piece: str) -> bool:
+        return "<" in piece and any(s in piece for s in self.special)
 
     def _new(self, pieces: list[str]) -> int:
         """Encode pieces, many in one text where that is safe, and store them."""
@@ -114,11 +124,11 @@ class WordEncoder:
             k = keys[i]
             mark = stops.get(k[-1:], -1)
             if mark >= 0:
-                if k[-2:-1].isalpha():
+                if k[-2:-1].isalpha() and k[-2:-1].isascii():
                     k = k[:-1]
                 else:
                     mark = -1
-            if not self.spaced and k.isascii():
+            if not self.spaced and k.isascii() and "<" not in k:
                 k = k.lower()
             cores.append(k)
             marks.append(mark)

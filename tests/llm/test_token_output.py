@@ -24,6 +24,36 @@ ODD = [
 ]
 
 
+def library(name):
+    """The library's own encoder, as it is loaded."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
+def assert_equal(enc, tokenizer, texts):
+    ids, offsets = enc.encode(pa.array(texts))
+    want = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [t for t, a, b, w in zip(texts, offsets, offsets[1:], want, strict=False) if ids[a:b].tolist() != w] == []
+
+
+@pytest.mark.parametrize("name, spaced", [(BYTE, True), (WORD, False)])
+def test_every_character_before_a_stop(name, spaced):
+    enc = WordEncoder(tokenizer_path(name), spaced)
+    for first in range(0, 0x30000, 0x4000):
+        chars = [chr(c) for c in range(first, first + 0x4000) if not 0xD800 <= c < 0xE000]
+        assert_equal(enc, library(name), [f"{c}. a{c}, {c}b. x{c}y {c}" for c in chars])
+
+
+@pytest.mark.parametrize("name, spaced", [(BYTE, True), (WORD, False)])
+def test_special_strings_give_their_ids(name, spaced):
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b. c", " <|endoftext|> ", "x <|endoftext|>, y", "<|ENDOFTEXT|> z", "<|startoftext|>.<|endoftext|>", "\n<|endoftext|>\nq  <|endoftext|>", "w<|endoftext|>. v", "A<b> <"]
+    assert_equal(WordEncoder(tokenizer_path(name), spaced), library(name), texts)
+    plain = library(name)
+    plain.encode_special_tokens = True
+    assert_equal(WordEncoder(tokenizer_path(name), spaced, plain=True), plain, texts)
+
+
 @pytest.mark.parametrize("name, spaced", [(BYTE, True), (WORD, False)])
 def test_word_encoder_equals_whole_texts(name, spaced):
     rng = random.Random(1)
@@ -32,7 +62,7 @@ def test_word_encoder_equals_whole_texts(name, spaced):
     enc = WordEncoder(tokenizer_path(name), spaced)
     for _ in range(2):
         ids, offsets = enc.encode(pa.array(texts))
-        want = [e.ids for e in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        want = [e.ids for e in library(name).encode_batch_fast(texts, add_special_tokens=False)]
         assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want
 
 
@@ -41,7 +71,7 @@ def test_words_beyond_the_memory_are_encoded_too(monkeypatch):
     texts = [" ".join(f"w{i}." for i in range(k, k + 9)) for k in range(30)]
     enc = WordEncoder(tokenizer_path(BYTE), True)
     for t in texts:
-        assert enc.encode(pa.array([t]))[0].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+        assert enc.encode(pa.array([t]))[0].tolist() == library(BYTE).encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("n, top", [(0, 1), (1, 1), (1, 70_000), (511, 3), (5000, 40), (5000, 50_257), (3000, 200_000)])
@@ -63,7 +93,6 @@ def expected(path, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = sorted(((i, x or "") for i, x, *_ in ODD), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     return [(i, [*t.encode(x, add_special_tokens=False).ids, end]) for i, x in rows]
 
