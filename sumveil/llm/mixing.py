@@ -6,17 +6,22 @@ key ``-ln(u) / weight``, u from a hash of its id, and documents are taken by ris
 until the budget is reached.  The document at the edge is taken in part (its first
 words), so a source meets its target to the word.
 
-No source is sorted as a whole.  Keys fall into buckets of equal expected size; sums per
-(source, bucket) tell which buckets are taken whole, and only the bucket at the edge is
-ordered, so a source with a third of all rows is spread like any other.
+No source is sorted as a whole.  Keys fall into buckets; sums per (source, bucket) tell
+which buckets are taken whole, and only the bucket at the edge is ordered.  Noisy texts
+have longer keys than the buckets expect, so an edge bucket of more than EDGE rows is
+dealt again, by the mean of its own keys, until it is small or its keys are all equal.  A source with a
+third of all rows is thus spread like any other.
 
 Sources are ranked by code point, null last (null and '' differ).  A null text has size
 0 and is taken 0 words.  Equal ids get equal keys; such rows are ordered by size, and
-rows equal in both are interchangeable.  An empty table gives no row.
+rows equal in both are interchangeable.  An empty table gives no row.  Further input
+columns may have any names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +31,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Target of all sources together, and the most of one source, both relative to size.
 TOTAL, MOST = 1.5, 2.0
 BUCKETS = 4096
+#: Rows of a source that one task may order.
+EDGE = 50_000
 #: Signs of noise: a document's weight falls from 1 to LEAST_WEIGHT with their share.
 NOISE = r"[#*$%&|<>!]"
 LEAST_WEIGHT = 0.05
@@ -66,6 +73,30 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float
     return leveled.select("source", "source_size", F.least("_limit", F.max("_level").over(whole) * F.col("_w")).alias("target"))
 
 
+def _dealt(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows with what is taken before their bucket and its case: whole, none or edge.
+
+    ``edges`` has per (source, bucket) the sum ``_sum``, what is taken before all buckets
+    (``_start``) and what the source may take (``_rest``).
+    """
+    below = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_sum").over(below), F.lit(0)))
+    whole = (F.col("_before") + F.col("_sum")) <= F.col("_rest")
+    none = F.col("_before") >= F.col("_rest")
+    edges = edges.withColumn("_case", F.when(whole, "whole").when(none, "none").otherwise("edge"))
+    edges = edges.withColumnsRenamed({"source": "_source", "_bucket": "_b"})
+    joined = rows.join(edges, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
+    return materialize(joined.drop("_source", "_b", "_sum", "_start"), "mix-rows")
+
+
+def _by_own_mean(edge: DataFrame, buckets: int) -> DataFrame:
+    """Edge rows in buckets of equal expected size if their keys are exponential beyond the least."""
+    own = edge.groupBy(F.col("source").alias("_source")).agg(F.min("_key").alias("_low"), F.avg("_key").alias("_mean"))
+    scaled = (F.col("_key") - F.col("_low")) / F.greatest(F.col("_mean") - F.col("_low"), F.lit(1e-300))
+    bucket = F.least(F.lit(buckets - 1), F.floor(buckets * (1.0 - F.exp(-scaled)))).cast("int")
+    return edge.join(own, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_bucket", bucket).drop("_source", "_low", "_mean")
+
+
 def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, total: float = TOTAL, most: float = MOST, buckets: int = BUCKETS) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, epochs and part.
 
@@ -79,20 +110,20 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, total: float = TOTAL, m
     plan = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, total, most)
     plan = plan.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("_rest", F.floor(F.col("target")).cast("long") - F.col("_epochs") * F.col("source_size"))
-    below = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = plan.withColumnRenamed("source", "_source")
-    edges = sums.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    edges = edges.withColumn("_before", F.coalesce(F.sum("_sum").over(below), F.lit(0)))
-    whole = (F.col("_before") + F.col("_sum")) <= F.col("_rest")
-    none = F.col("_before") >= F.col("_rest")
-    edges = edges.withColumn("_case", F.when(whole, "whole").when(none, "none").otherwise("edge"))
-    edges = edges.withColumnsRenamed({"source": "_source", "_bucket": "_b"})
-    rows = sized.join(edges, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
-    rows = materialize(rows.drop("_source", "_b", "_sum"), "mix-rows")
+    edges = sums.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_start", F.lit(0).cast("long"))
+    rows = _dealt(sized, edges)
+    edge, others = rows.filter("_case = 'edge'"), [rows.filter("_case <> 'edge'")]
+    while edge.groupBy("source").agg(F.count("*").alias("n"), (F.max("_key") > F.min("_key")).alias("apart")).filter((F.col("n") > EDGE) & F.col("apart")).limit(1).count():
+        again = _by_own_mean(edge.drop("_case"), buckets)
+        kept = ["source", "_bucket", "source_size", "target", "_epochs", "_rest"]
+        edges = again.groupBy(*kept).agg(F.sum("size").alias("_sum"), F.min("_before").alias("_start"))
+        rows = _dealt(again.drop("source_size", "target", "_epochs", "_rest", "_before"), edges)
+        edge, others = rows.filter("_case = 'edge'"), [*others, rows.filter("_case <> 'edge'")]
     earlier = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("_rest") - F.col("_before") - F.coalesce(F.sum("size").over(earlier), F.lit(0))
-    edge = rows.filter("_case = 'edge'").withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long"))
-    other = rows.filter("_case <> 'edge'").withColumn("_part", F.when(F.col("_case") == "whole", F.col("size")).otherwise(0).cast("long"))
+    edge = edge.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long"))
+    other = reduce(DataFrame.unionByName, others).withColumn("_part", F.when(F.col("_case") == "whole", F.col("size")).otherwise(0).cast("long"))
     return other.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", F.col("_epochs").alias("epochs"), F.col("_part").alias("part"))
 
 
@@ -112,20 +143,20 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     Documents are found again by id and text digest; rows equal in both take the same
     number of copies in sum.
     """
-    keyed = docs.withColumn("_digest", F.xxhash64("text"))
     same = Window.partitionBy("doc_id", "source", "size").orderBy("part")
     plan = mix(docs, seed).withColumn("_k", F.row_number().over(same))
-    rows = keyed.withColumn("_size", size_in_words(F.col("text")))
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source", size_in_words(F.col("text")).alias("_size"), F.xxhash64("text").alias("_digest"))
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("_digest")))
     plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("_k").alias("_j"), "epochs", "part")
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")) & (F.col("_k") == F.col("_j"))
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<long>")))
-    out = rows.join(plan, on).withColumn("_words", F.explode(F.when(F.col("_size") > 0, copies).otherwise(F.array(F.lit(-1).cast("long")))))
+    out = rows.join(plan, on).select("_row", "_size", F.explode(F.when(F.col("_size") > 0, copies).otherwise(F.array(F.lit(-1).cast("long")))).alias("_words"))
     cut = (F.col("_words") >= 0) & (F.col("_words") < F.col("_size"))
-    new = {"text": F.when(cut, first_words(F.col("text"), F.col("_words"))).otherwise(F.col("text"))}
+    text = F.col("_row")["text"]
+    new = {"text": F.when(cut, first_words(text, F.col("_words"))).otherwise(text)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(cut, F.length(first_words(F.col("text"), F.col("_words"))).cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(cut, F.length(first_words(text, F.col("_words"))).cast("long")).otherwise(F.col("_row")["n_chars"])
+    return out.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 SQL = f"""
