@@ -11,32 +11,32 @@ from sumveil.functions import encodings as enc
 from sumveil.functions.prf import prf_lanes
 from sumveil.functions.vectors import combine, lanes_to_columns, vector_sum, zeros
 from sumveil.operators import chain, commits as cm, masks as mk, membership as mb, release as rl, telescoping as tl
-from sumveil.session import scratch_dir
+from sumveil.plans import parameters as pm
+from sumveil.session import materialize, scratch_dir
 from sumveil.sources import fixtures as fx
 
 W = fx.W
 L = 3
 LANES = ["s", "q", "n"]
 WINDOW = ["universe_id", "producer_id", "ws"]
-K = 2
-ROUNDS = (128 // K) * (1 << K)
+GW = fx.GRAPH_W
 
 
 def _vector():
     return F.array(*enc.var_lanes(F.col("value")))
 
 
-def _committed_sums(events):
+def _committed_sums(events, size_ms=W):
     """Vector sums of the committed (producer, window) pairs, the pairs, and all producers."""
-    windows, present = committed_windows(events)
+    windows, present = committed_windows(events, size_ms)
     sums = cm.commit_join(windows, present).select(*WINDOW, F.array(*LANES).alias("x"))
     return sums, present, windows
 
 
-def _ciphers(events):
+def _ciphers(events, size_ms=W):
     """Encrypted vectors, window keys, the committed (producer, window) pairs, all producers."""
-    sums, present, windows = _committed_sums(events)
-    wkeys = tl.window_keys(present, fx.stream_keys(windows), L, W)
+    sums, present, windows = _committed_sums(events, size_ms)
+    wkeys = tl.window_keys(present, fx.stream_keys(windows), L, size_ms)
     return tl.mask_window_sums(sums, wkeys, "x", L), wkeys, present, windows
 
 
@@ -89,7 +89,7 @@ def release(spark, sf):
     first = present.filter(F.col("ws") == 1704844800000).agg(F.min("producer_id")).scalar()
     sent = tokens.filter(~((F.col("ws") == 1704844800000) & (F.col("producer_id") == first)))
     sent = sent.unionByName(sent.filter(F.col("producer_id") % 50 == 4))
-    return _released(rl.release(ciphers, sent, L))
+    return _released(rl.release(ciphers, sent, L, expected=present))
 
 
 _CSUM_ALL = """
@@ -108,21 +108,25 @@ def release_clique(spark, sf):
     events = fx.cohort_std(spark, sf, fx.CLIQUE_SIZE)
     ciphers, wkeys, present, windows = _ciphers(events)
     masks = mk.clique_masks(present, fx.pair_keys(windows, fx.CLIQUE_SIZE), L)
-    return _released(rl.release(ciphers, rl.masked_tokens(masks, wkeys, L), L))
+    return _released(rl.release(ciphers, rl.masked_tokens(masks, wkeys, L), L, expected=present))
 
 
-def _graph(producers, present):
-    epochs = mk.with_round(present.select("universe_id", "ws"), W, ROUNDS).select("universe_id", "epoch")
-    return mk.epoch_graph(fx.pair_keys(producers, fx.GRAPH_SIZE), epochs, K)
+def graph_parameters_of(windows):
+    """k, rounds and members of the graph universes, written once."""
+    return materialize(pm.graph_parameters(fx.graph_universes(windows)), "graph-parameters")
 
 
-@query("K5 K6 K7 T10", _csum_sql("graphed"))
+@query("K5 K6 K7 K11 T10", with_views(["gcommitted", "gparameters"], """
+    SELECT universe_id, ws, k, sum(s)::BIGINT AS s, sum(q)::BIGINT AS q, sum(n)::BIGINT AS n, count(*) AS producers
+    FROM gcommitted JOIN gparameters USING (universe_id) GROUP BY ALL"""))
 def release_graph(spark, sf):
-    """Release with masks over the random graph of each window's round."""
-    events = fx.cohort_std(spark, sf, fx.GRAPH_SIZE)
-    ciphers, wkeys, present, windows = _ciphers(events)
-    masks = mk.graph_masks(present, _graph(windows, present), L, W, ROUNDS)
-    return _released(rl.release(ciphers, rl.masked_tokens(masks, wkeys, L), L))
+    """Release with masks over the random graph of each window's round, k and epoch by universe;
+    universes too small for a graph use all pairs."""
+    ciphers, wkeys, present, windows = _ciphers(fx.graph_events(spark, sf), GW)
+    parameters = graph_parameters_of(windows)
+    masks = mk.parameter_masks(present, fx.graph_pair_keys(windows), parameters, L, GW)
+    out = _released(rl.release(ciphers, rl.masked_tokens(masks, wkeys, L), L, expected=present))
+    return out.join(parameters.select("universe_id", "k"), "universe_id")
 
 
 def _zero_sql(view: str, edges: str) -> str:
@@ -156,19 +160,29 @@ def mask_clique_zero(spark, sf):
     return _mask_total(mk.clique_masks(present, fx.pair_keys(windows, fx.CLIQUE_SIZE), L))
 
 
-@query("K5 J7", _zero_sql("graphed", _SOME_EDGES))
+@query("K5 J7 K11", with_views(["gcommitted", "gparameters"], f"""
+    SELECT universe_id, ws, k, 0::BIGINT AS m0, 0::BIGINT AS m1, 0::BIGINT AS m2, count(*) AS members,
+           CASE WHEN k IS NULL THEN count(*) * (count(*) - 1) END AS all_pairs, true AS has_edges, 0::BIGINT AS mismatched
+    FROM gcommitted JOIN gparameters USING (universe_id) GROUP BY universe_id, ws, k"""))
 def mask_graph_zero(spark, sf):
-    """Graph masks add up to zero after the dropped producers' edges are taken out."""
-    events = fx.cohort_std(spark, sf, fx.GRAPH_SIZE)
-    _, present, windows = _committed_sums(events)
-    seen = mb.first_seen(present, W, ROUNDS)
-    edges = mk.round_edges(_graph(windows, present), present, W, ROUNDS)
+    """Masks over each universe's graph add up to zero after the dropped producers' edges are
+    taken out; a universe without k has an edge for every pair."""
+    _, present, windows = _committed_sums(fx.graph_events(spark, sf), GW)
+    parameters, pairs = graph_parameters_of(windows), fx.graph_pair_keys(windows)
+    rounds = mk.parameter_rounds(present, parameters, GW)
+    members = mk.with_parameters(present, parameters)
+    drawn, alone = members.filter("k is not null"), members.filter("k is null")
+    seen = mb.first_seen(drawn, GW, F.col("rounds"))
+    edges = mk.epoch_graph(pairs, rounds, in_use=True).join(rounds.drop("k"), ["universe_id", "epoch", "t"])
     for end in ("a", "b"):
-        known = seen.select("universe_id", F.col("producer_id").alias(end), "first_ws")
-        edges = edges.join(known, ["universe_id", end]).filter(F.col("first_ws") <= F.col("ws")).drop("first_ws")
-    edges = mk.exclude_dropped(edges, mb.dropped_rows(present, W, ROUNDS))
-    masks = mk.for_all_present(present, mk.signed_sums(edges, L), L)
-    return _some_edges(_mask_total(masks))
+        known = seen.select("universe_id", "epoch", F.col("producer_id").alias(end), "first_ws")
+        edges = edges.join(known, ["universe_id", "epoch", end]).filter(F.col("first_ws") <= F.col("ws")).drop("first_ws")
+    edges = mk.exclude_dropped(edges, mb.dropped_rows(drawn, GW, F.col("rounds")))
+    kept = ["universe_id", "ws", "a", "b", "key"]
+    edges = edges.select(kept).unionByName(mk.window_pairs(pairs, alone).select(kept))
+    totals = _mask_total(mk.for_all_present(present, mk.signed_sums(edges, L), L)).join(parameters.select("universe_id", "k"), "universe_id")
+    totals = totals.withColumn("all_pairs", F.when(F.col("k").isNull(), F.col("neighbours")))
+    return _some_edges(totals)
 
 
 @query("K9", _zero_sql("clique", _SOME_EDGES))
@@ -188,38 +202,43 @@ def release_single(spark, sf):
     return lanes_to_columns(rl.release_single(ciphers, wkeys, L), "v", LANES)
 
 
-@query("K7", with_views(["graphed"], f"""
-    SELECT universe_id, t // {1 << K} AS segment, sum(pairs)::BIGINT AS edges FROM (
-        SELECT universe_id, count(*) * (count(*) - 1) // 2 AS pairs FROM (SELECT DISTINCT universe_id, producer_id FROM graphed) GROUP BY universe_id),
-        (SELECT unnest(range(0, {ROUNDS}, {1 << K})) AS t)
-    WHERE pairs > 0 GROUP BY ALL"""))
+_SEGMENTS = """
+    SELECT universe_id, g AS segment, (n * (n - 1) // 2)::BIGINT AS edges
+    FROM (SELECT universe_id, k, count(DISTINCT producer_id) AS n FROM {members} JOIN gparameters USING (universe_id) WHERE k IS NOT NULL GROUP BY ALL),
+         LATERAL (SELECT unnest(range(0, 128 // k)) AS g)
+    WHERE n > 1"""
+
+
+def _segments(graph, parameters):
+    """Edges per segment of 2^k rounds."""
+    two = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("k").cast("int"))
+    known = graph.join(parameters.select("universe_id", "k"), "universe_id")
+    return known.groupBy("universe_id", F.call_function("div", F.col("t"), two).alias("segment")).agg(F.count("*").alias("edges"))
+
+
+@query("K7 K11", with_views(["gevents", "gparameters"], _SEGMENTS.format(members="gevents")))
 def graph_degree(spark, sf):
     """Each pair of a universe is an edge exactly once per segment of an epoch."""
-    events = fx.cohort_std(spark, sf, fx.GRAPH_SIZE)
-    epochs = events.select("universe_id").distinct().withColumn("epoch", F.lit(1703116800000))
-    g = mk.epoch_graph(fx.pair_keys(events, fx.GRAPH_SIZE), epochs, K)
-    return g.groupBy("universe_id", F.expr(f"t div {1 << K}").alias("segment")).agg(F.count("*").alias("edges"))
-
-
-@query("K7 K8", with_views(["graphed", "committed"], f"""
-    SELECT universe_id, t // {1 << K} AS segment, sum(pairs)::BIGINT AS edges FROM (
-        SELECT universe_id, count(*) * (count(*) - 1) // 2 AS pairs
-        FROM (SELECT DISTINCT g.universe_id, producer_id FROM graphed g SEMI JOIN committed USING (producer_id)) GROUP BY universe_id),
-        (SELECT unnest(range(0, {ROUNDS}, {1 << K})) AS t)
-    WHERE pairs > 0 GROUP BY ALL"""))
+    events = fx.graph_events(spark, sf)
+    parameters = graph_parameters_of(events)
+    epochs = parameters.select("universe_id", "k", F.lit(0).cast("bigint").alias("epoch"))
+    return _segments(mk.epoch_graph(fx.graph_pair_keys(events), epochs), parameters)
+
+
+@query("K7 K8 K11", with_views(["gcommitted", "gparameters"], _SEGMENTS.format(members="gcommitted")))
 def graph_incremental(spark, sf):
-    """Members that join within the epoch add only their own pairs; a stored, finished epoch is not read."""
-    _, present, windows = _committed_sums(fx.cohort_std(spark, sf, fx.GRAPH_SIZE))
-    seen = mb.first_seen(present, W, ROUNDS)
-    start = present.groupBy("universe_id").agg(F.min("ws").alias("start_ws"))
+    """Members that join within the epoch add only their own pairs; finished epochs are removed from the store."""
+    _, present, windows = _committed_sums(fx.graph_events(spark, sf), GW)
+    parameters, pairs = graph_parameters_of(windows), fx.graph_pair_keys(windows)
+    members = mk.with_parameters(present, parameters).filter("k is not null")
+    seen = mb.first_seen(members, GW, F.col("rounds"))
+    start = members.groupBy("universe_id").agg(F.min("ws").alias("start_ws"))
     seen = seen.join(start, "universe_id")
     base, new = seen.filter("first_ws = start_ws"), seen.filter("first_ws > start_ws")
-    epochs = seen.select("universe_id", "epoch").distinct()
-    over = epochs.withColumn("epoch", F.col("epoch") - W * ROUNDS)
-    pairs = fx.pair_keys(windows, fx.GRAPH_SIZE)
-    nobody = base.filter("false")
+    epochs = members.select("universe_id", "k", "rounds").distinct().withColumn("epoch", F.lit(0).cast("bigint"))
+    over = epochs.withColumn("epoch", -F.col("rounds") * GW)
     path = scratch_dir(spark, "graph")
-    mk.write_graph(mk.epoch_graph(mk.new_pairs(pairs, nobody, base), epochs.unionByName(over), K), path)
-    mk.write_graph(mk.epoch_graph(mk.new_pairs(pairs, base, new), epochs, K), path)
-    g = mk.retained_graph(spark, path, 1703116800000)
-    return g.groupBy("universe_id", F.expr(f"t div {1 << K}").alias("segment")).agg(F.count("*").alias("edges"))
+    mk.write_graph(mk.epoch_graph(mk.new_pairs(pairs, base.filter("false"), base), epochs.unionByName(over)), path)
+    mk.write_graph(mk.epoch_graph(mk.new_pairs(pairs, base, new), epochs), path)
+    mk.drop_epochs(spark, path, 0)
+    return _segments(mk.stored_graph(spark, path), parameters)

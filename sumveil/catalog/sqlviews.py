@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sumveil.sources.fixtures import CAR_RANGES, CLIQUE_SIZE, EVENT_TYPES, FULL_PERCENT, GRAPH_SIZE, LEAST_PERCENT, WEB_TIMINGS
+from sumveil.sources.fixtures import CAR_RANGES, CLIQUE_SIZE, EVENT_TYPES, FULL_PERCENT, GRAPH_BLOCK, GRAPH_LARGE, GRAPH_W, LEAST_PERCENT, WEB_TIMINGS
 
 DAY = 86_400_000
 
@@ -17,6 +17,19 @@ def ws(ts: str, size: int = DAY) -> str:
 
 _POLAR_TS = f"epoch_us(l_shipdate) // 1000 + (l_orderkey * 8 + l_linenumber) % {DAY}"
 
+# K of the random graph per universe, by the failure bound summed over all j.
+_PARAMETERS = """
+        SELECT u.universe_id, u.min_size AS members, b.k, (2 ** b.k)::BIGINT AS w,
+               ((128 // b.k) * (2 ** b.k))::BIGINT AS rounds, (u.min_size - 1) / (2 ** b.k) AS expected_degree
+        FROM {universes} u LEFT JOIN (
+            SELECT min_size, CASE WHEN min(k) > 1 THEN min(k) - 1 END::BIGINT AS k
+            FROM (SELECT min_size, k, (128 // k) * (2 ** k) * sum(exp(least(
+                         j * (1.0::DOUBLE + ln(n::DOUBLE / j) + (n - j) * ln(1.0::DOUBLE - 1.0::DOUBLE / (2 ** k))), 700.0::DOUBLE))) AS bound
+                  FROM (SELECT DISTINCT min_size, min_size // 2 AS n FROM {universes} WHERE min_size >= 4),
+                       LATERAL (SELECT unnest(range(1, 32)) AS k), LATERAL (SELECT unnest(range(1, n // 2 + 1)) AS j)
+                  GROUP BY min_size, k)
+            WHERE bound > 1e-5 GROUP BY min_size) b ON u.min_size = b.min_size"""
+
 # name -> (views it needs, body)
 VIEWS: dict[str, tuple[list[str], str]] = {
     "std": ([], """
@@ -27,7 +40,6 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "std5": (["std"], "SELECT * REPLACE (CASE event_type "
         + " ".join(f"WHEN '{t}' THEN {i}::BIGINT" for i, t in enumerate(EVENT_TYPES, 1)) + " END AS universe_id) FROM std"),
     "clique": (["std"], f"SELECT * REPLACE (producer_id // {CLIQUE_SIZE} AS universe_id) FROM std"),
-    "graphed": (["std"], f"SELECT * REPLACE (producer_id // {GRAPH_SIZE} AS universe_id) FROM std"),
     "stduniverses": (["std"], f"""
         SELECT universe_id, n * {FULL_PERCENT} // 100 AS full_size, n * {LEAST_PERCENT} // 100 AS min_size
         FROM (SELECT universe_id, count(DISTINCT producer_id) AS n FROM std GROUP BY 1)"""),
@@ -85,17 +97,20 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                n AS min_size
         FROM (SELECT n_regionkey AS r, n_nationkey AS k, count(*) AS n
               FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_nationkey))"""),
-    "parameters": (["universes"], """
-        SELECT u.universe_id, u.min_size AS members, b.k, (2 ** b.k)::BIGINT AS w,
-               ((128 // b.k) * (2 ** b.k))::BIGINT AS rounds, (u.min_size - 1) / (2 ** b.k) AS expected_degree
-        FROM universes u LEFT JOIN (
-            SELECT min_size, CASE WHEN min(k) > 1 THEN min(k) - 1 END::BIGINT AS k
-            FROM (SELECT min_size, k, (128 // k) * (2 ** k) * sum(exp(least(
-                         j * (1.0::DOUBLE + ln(n::DOUBLE / j) + (n - j) * ln(1.0::DOUBLE - 1.0::DOUBLE / (2 ** k))), 700.0::DOUBLE))) AS bound
-                  FROM (SELECT DISTINCT min_size, min_size // 2 AS n FROM universes WHERE min_size >= 4),
-                       LATERAL (SELECT unnest(range(1, 32)) AS k), LATERAL (SELECT unnest(range(1, n // 2 + 1)) AS j)
-                  GROUP BY min_size, k)
-            WHERE bound > 1e-5 GROUP BY min_size) b ON u.min_size = b.min_size"""),
+    "parameters": (["universes"], _PARAMETERS.format(universes="universes")),
+    "gevents": ([], f"""
+        SELECT 2 * (o_custkey // {GRAPH_BLOCK}) + (o_custkey % {GRAPH_BLOCK} >= {GRAPH_LARGE})::BIGINT AS universe_id, o_custkey AS producer_id,
+               epoch_us(o_orderdate) // 1000 + (o_orderkey * 8) % {DAY} AS ts_ms, (o_orderkey * 37 + o_custkey) % 491 AS value FROM orders"""),
+    "gwindows": (["gevents"], f"""
+        SELECT *, ws < max(ws) OVER (PARTITION BY universe_id, producer_id) AS moved_on
+        FROM (SELECT universe_id, producer_id, {ws('ts_ms', GRAPH_W)} AS ws, sum(value)::BIGINT AS s, sum(value * value)::BIGINT AS q, count(*) AS n, max(ts_ms) AS max_ts
+              FROM gevents GROUP BY ALL)"""),
+    "gcommitted": (["gwindows"], f"""
+        SELECT * FROM gwindows WHERE (moved_on OR max_ts = ws + {GRAPH_W} - 1) AND 1000 * (producer_id % 8) <= 6000
+        AND NOT (producer_id % 10 = 7 AND (ws // {GRAPH_W}) % 2 = 0)"""),
+    "guniverses": (["gevents"], f"""
+        SELECT universe_id, count(DISTINCT producer_id) * {LEAST_PERCENT} // 100 AS min_size FROM gevents GROUP BY 1"""),
+    "gparameters": (["guniverses"], _PARAMETERS.format(universes="guniverses")),
     "webtimes": (["web"], " UNION ALL ".join(
         f"SELECT universe_id, ts_ms, '{t}' AS field, page, (value * {f}) % 1000 AS v FROM web" for t, f in WEB_TIMINGS.items())),
 }

@@ -41,11 +41,11 @@ def timely(spark, sf):
     return cm.in_time(fx.commits(fx.std(spark, sf)), W, DEADLINE)
 
 
-def committed_windows(events):
+def committed_windows(events, size_ms=W):
     """Written tables of one pass over the events: producer windows with sums, and the committed ones."""
-    windows = materialize(chain.window_spans(events, W, measures=_measures()), "producer-windows")
-    in_time = cm.in_time(fx.commits(windows), W, DEADLINE)
-    return windows, materialize(cm.committed(chain.complete_windows(windows, W), in_time), "committed")
+    windows = materialize(chain.window_spans(events, size_ms, measures=_measures()), "producer-windows")
+    in_time = cm.in_time(fx.commits(windows, size_ms), size_ms, DEADLINE)
+    return windows, materialize(cm.committed(chain.complete_windows(windows, size_ms), in_time), "committed")
 
 
 def committed(spark, sf):

@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sumveil.functions import wide
+from sumveil.functions.arith import let
 
 # Lanes outside 0..n that keep other uses of the same key apart.
 GRAPH_LANE = -1
@@ -45,6 +46,20 @@ def block(key: Column, time: Column, lane: int) -> Column:
     return F.substr(_encrypt(_blocks(time, [lane]), key), F.lit(1), F.lit(16))
 
 
+def block_halves(key: Column, time: Column, lane: int) -> Column:
+    """One encrypted block as a struct of two bigints, ``hi`` and ``lo``."""
+    return let(block(key, time, lane), lambda b: F.struct(_long(b, 1).alias("hi"), _long(b, 9).alias("lo")))
+
+
+def bit_group(halves: Column, k: Column, g: Column) -> Column:
+    """Value of group ``g`` (from 0) when 128 bits are cut into groups of ``k`` bits, k at most 31."""
+    hi, lo, end = halves["hi"], halves["lo"], ((g + 1) * k).cast("int")
+    right = lambda v, n: F.call_function("shiftrightunsigned", v, n)
+    across = F.call_function("shiftleft", hi, end - 64).bitwiseOR(right(lo, 128 - end))
+    value = F.when(end <= 64, right(hi, 64 - end)).when(end - k.cast("int") >= 64, right(lo, 128 - end)).otherwise(across)
+    return value.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.cast("int")) - 1)
+
+
 def block_bits(key: Column, time: Column, lane: int) -> Column:
     """The same 128 bits as a string of 0 and 1."""
     b = block(key, time, lane)

@@ -14,7 +14,7 @@ def millis(ts: Column) -> Column:
     return F.unix_millis(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
 
 
-def window_start(ts_ms: Column, size_ms: int) -> Column:
+def window_start(ts_ms: Column, size_ms: int | Column) -> Column:
     """Epoch-aligned start; floors for negative times too."""
     return ts_ms - floor_mod(ts_ms, size_ms)
 
@@ -24,8 +24,8 @@ def idiv(a: Column, b) -> Column:
     return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b).cast("bigint"))
 
 
-def floor_mod(a: Column, size: int) -> Column:
-    return F.pmod(a, F.lit(size).cast("bigint"))
+def floor_mod(a: Column, size: int | Column) -> Column:
+    return F.pmod(a, size if isinstance(size, Column) else F.lit(size).cast("bigint"))
 
 
 def window_ordinal(ws: Column, size_ms: int) -> Column:
@@ -44,9 +44,10 @@ def range_label(ws: Column, we: Column) -> Column:
     return F.format_string("W[%s, %s)", clock_label(ws), clock_label(we))
 
 
-def epoch_start(ws: Column, size_ms: int, rounds: int) -> Column:
+def epoch_start(ws: Column, size_ms: int, rounds: int | Column) -> Column:
+    """Start of the epoch of so many windows; ``rounds`` may differ by row."""
     return window_start(ws, size_ms * rounds)
 
 
-def round_index(ws: Column, size_ms: int, rounds: int) -> Column:
+def round_index(ws: Column, size_ms: int, rounds: int | Column) -> Column:
     return idiv(ws - epoch_start(ws, size_ms, rounds), size_ms)

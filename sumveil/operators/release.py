@@ -22,14 +22,15 @@ def masked_tokens(masks: DataFrame, wkeys: DataFrame, n_lanes: int) -> DataFrame
     return both.select(*WINDOW, combine(n_lanes, [F.col("mask")], [F.col("k")]).alias("token"))
 
 
-def release(ciphers: DataFrame, tokens: DataFrame, n_lanes: int, cipher: str = "c") -> DataFrame:
+def release(ciphers: DataFrame, tokens: DataFrame, n_lanes: int, cipher: str = "c", expected: DataFrame | None = None) -> DataFrame:
     """Population sums of windows for which every expected token arrived.
 
     ``ciphers`` holds one encrypted vector per committed (producer, window).  Vectors
     and tokens of a window go through one sum; a window with a token missing gives
-    no row.
+    no row.  ``expected`` holds the committed (producer, window) pairs where they are
+    at hand, so that the ciphers need not be computed for them once more.
     """
-    got = token_semi(tokens, ciphers)
+    got = token_semi(tokens, ciphers if expected is None else expected)
     parts = ciphers.select("universe_id", "ws", F.col(cipher).alias("_x"), F.lit(1).alias("_c"), F.lit(0).alias("_t")).unionByName(
         got.select("universe_id", "ws", F.col("token").alias("_x"), F.lit(0).alias("_c"), F.lit(1).alias("_t"))
     )

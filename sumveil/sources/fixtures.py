@@ -6,16 +6,20 @@ scales with the table and never gathers a key into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumveil.functions.timewin import DAY_MS, floor_mod, idiv, millis, window_start
+from sumveil.session import spread
 
 W = DAY_MS
 CLIQUE_SIZE = 16
 #: Of a universe's producers: those that make a window full, and the fewest members.
 FULL_PERCENT, LEAST_PERCENT = 89, 73
-GRAPH_SIZE = 64
+#: Universes of the graph masks: of every so many ids the first form a large one, the others a small one.
+GRAPH_BLOCK, GRAPH_LARGE = 1200, 1100
+#: Their windows: 365 days.
+GRAPH_W = 365 * DAY_MS
 
 # Event types in alphabetical order, numbering universes from 1.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -78,6 +82,33 @@ def cohort_std(spark: SparkSession, sf: str, size: int) -> DataFrame:
     return std(spark, sf).withColumn("universe_id", idiv(F.col("producer_id"), size))
 
 
+def _graph_universe(producer: Column) -> Column:
+    return idiv(producer, GRAPH_BLOCK) * 2 + (floor_mod(producer, GRAPH_BLOCK) >= GRAPH_LARGE).cast("bigint")
+
+
+def graph_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as events of customers, in large and small universes."""
+    key, customer = F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint")
+    return table(spark, sf, "orders").select(
+        _graph_universe(customer).alias("universe_id"), customer.alias("producer_id"),
+        (millis(F.col("o_orderdate")) + floor_mod(key * 8, W)).alias("ts_ms"), floor_mod(key * 37 + customer, 491).alias("value"),
+    )
+
+
+def graph_universes(events: DataFrame) -> DataFrame:
+    """Universes of ``graph_events`` with the fewest members they should have, a share of their producers."""
+    sizes = events.groupBy("universe_id").agg(F.countDistinct("producer_id").alias("n"))
+    return sizes.select("universe_id", idiv(F.col("n") * LEAST_PERCENT, 100).alias("min_size"), F.lit(0.5).alias("alpha"), F.lit(1e-5).alias("delta"))
+
+
+def graph_pair_keys(events: DataFrame) -> DataFrame:
+    """Test keys only: one 256-bit key per pair of producers of a graph universe, ``a < b``."""
+    a = F.col("producer_id")
+    last = a - floor_mod(a, GRAPH_BLOCK) + F.when(floor_mod(a, GRAPH_BLOCK) < GRAPH_LARGE, GRAPH_LARGE - 1).otherwise(GRAPH_BLOCK - 1)
+    # Keys cost far more than ids, so the few ids are kept apart.
+    return _pairs(spread(events.select("producer_id").distinct(), "producer_id"), _graph_universe(a), last)
+
+
 def polar(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     a = F.pmod("l_orderkey", F.lit(99).cast("bigint")) - 49
@@ -162,12 +193,15 @@ def pair_keys(events: DataFrame, size: int) -> DataFrame:
     A cohort is ``size`` consecutive ids, so a member meets at most ``size - 1``
     others and the table grows linearly with the number of producers.
     """
-    members = events.select("producer_id").distinct()
     cohort_end = (idiv(F.col("producer_id"), size) + 1) * size - 1
-    pairs = members.filter(F.col("producer_id") < cohort_end).select(
-        idiv(F.col("producer_id"), size).alias("universe_id"),
+    return _pairs(events.select("producer_id").distinct(), idiv(F.col("producer_id"), size), cohort_end)
+
+
+def _pairs(members: DataFrame, universe: Column, last: Column) -> DataFrame:
+    pairs = members.filter(F.col("producer_id") < last).select(
+        universe.alias("universe_id"),
         F.col("producer_id").alias("a"),
-        F.explode(F.sequence(F.col("producer_id") + 1, cohort_end)).alias("b"),
+        F.explode(F.sequence(F.col("producer_id") + 1, last)).alias("b"),
     )
     known = pairs.join(members.select(F.col("producer_id").alias("b")), "b", "left_semi")
     key = F.unhex(F.sha2(F.concat_ws("_", F.col("a").cast("string"), F.col("b").cast("string")), 256))

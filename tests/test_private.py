@@ -100,6 +100,66 @@ def test_graph_masks_cancel_after_drops(spark):
     assert mk.graph_masks(lonely, g, L, W, rounds).first().mask == [0] * L
 
 
+def test_groups_of_bits_equal_cut_strings(spark):
+    from sumveil.functions import prf
+
+    key = F.unhex(F.sha2(F.col("id").cast("string"), 256))
+    rows = spark.range(20).select(prf.block_bits(key, F.col("id"), -1).alias("bits"), prf.block_halves(key, F.col("id"), -1).alias("h"))
+    each = rows.crossJoin(spark.range(1, 32).toDF("k")).withColumn("g", F.explode(F.expr("sequence(0, 128 div k - 1)")))
+    got = each.select("bits", "k", "g", prf.bit_group(F.col("h"), F.col("k"), F.col("g")).alias("v")).collect()
+    assert len(got) > 5000 and all(r.v == int(r.bits[r.g * r.k : (r.g + 1) * r.k], 2) for r in got)
+
+
+def universes_of(spark):
+    """Universes 1 (k = 1), 2 (no k) and 3 (k = 2) of ten producers each, over windows of two epochs of universe 1."""
+    rows = [(u, 10 * u + i, w * W) for u in (1, 2, 3) for i in range(10) for w in (0, 1, 2, 256, 257) if (i + w) % 7]
+    present = spark.createDataFrame(rows, "universe_id bigint, producer_id bigint, ws bigint")
+    pairs = spark.createDataFrame([(u, 10 * u + a, 10 * u + b) for u in (1, 2, 3) for a in range(10) for b in range(a + 1, 10)], "universe_id bigint, a bigint, b bigint")
+    pairs = pairs.withColumn("key", F.unhex(F.sha2(F.concat_ws("_", F.col("a").cast("string"), F.col("b").cast("string")), 256)))
+    return present, pairs, spark.createDataFrame([(1, 1, 256), (2, None, None), (3, 2, 256)], "universe_id bigint, k bigint, rounds bigint")
+
+
+def test_parameters_choose_graph_or_all_pairs(spark):
+    present, pairs, parameters = universes_of(spark)
+    masks = mk.parameter_masks(present, pairs, parameters, L, W)
+    rows = masks.collect()
+    assert len(rows) == present.count() and all(t == [0] * L for t in totals(masks))
+    size = {(r.universe_id, r.ws): r["count"] for r in present.groupBy("universe_id", "ws").count().collect()}
+    near = {u: [r.neighbours / (size[u, r.ws] - 1) for r in rows if r.universe_id == u] for u in (1, 2, 3)}
+    mean = {u: sum(x) / len(x) for u, x in near.items()}
+    assert set(near[2]) == {1.0} and 0.3 < mean[1] < 0.7 and 0.1 < mean[3] < 0.4
+    # The same edges as from whole graphs of fixed k.
+    got = {(r.universe_id, r.ws, r.a, r.b) for r in mk.parameter_edges(present, pairs, parameters, W).collect()}
+    for u, k in ((1, 1), (3, 2)):
+        mine, rounds = present.filter(F.col("universe_id") == u), (128 // k) << k
+        graph = mk.epoch_graph(pairs, mk.with_round(mine, W, rounds), k)
+        edges = mk.only_present(mk.round_edges(graph, mine, W, rounds), mine)
+        assert {x for x in got if x[0] == u} == {(r.universe_id, r.ws, r.a, r.b) for r in edges.collect()}
+
+
+def test_missing_keys_are_errors_only_where_all_pairs_are_used(spark):
+    present, pairs, parameters = universes_of(spark)
+    mk.parameter_masks(present, pairs.filter("not (a = 11 and b = 13)"), parameters, L, W).collect()
+    with pytest.raises(Exception, match="missing pair key"):
+        mk.parameter_masks(present, pairs.filter("not (a = 21 and b = 23)"), parameters, L, W).collect()
+    # A universe that no parameter names uses all pairs too.
+    few = mk.parameter_masks(present, pairs, parameters.filter("universe_id = 1"), L, W)
+    assert {r.neighbours for r in few.filter("universe_id = 3 and ws = 0").collect()} == {7}
+
+
+def test_finished_epochs_are_removed(spark, tmp_path):
+    path = str(tmp_path / "graph")
+    present, pairs, _ = universes_of(spark)
+    epochs = spark.createDataFrame([(1, -10), (1, 0), (1, 10)], "universe_id bigint, epoch bigint")
+    mk.write_graph(mk.epoch_graph(pairs, epochs, 1), path)
+    reader = mk.retained_graph(spark, path, 0)
+    n = reader.count()
+    assert mk.drop_epochs(spark, path, 0) == [-10]
+    assert {r.epoch for r in mk.stored_graph(spark, path).select("epoch").distinct().collect()} == {0, 10}
+    assert reader.count() == n  # a reader of the kept epochs goes on
+    assert mk.drop_epochs(spark, path, 100) == [0, 10] and mk.stored_graph(spark, path).count() == 0
+
+
 def test_sampled_masks_cancel(spark):
     p = present(spark, [(i, w * W) for i in range(10) for w in range(4)])
     masks = mk.sampled_masks(p, pair_keys(spark, 10), L, 2)
