@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sumveil.catalog.registry import query
 from sumveil.catalog.sqlviews import DAY, with_views, ws
+from sumveil.functions import wide
 from sumveil.functions.timewin import idiv
 from sumveil.operators import chain, commits as cm, masks as mk, release as rl, telescoping as tl
 from sumveil.plans import profiles as pf
@@ -63,32 +64,60 @@ def _sql(view: str, rows: str, size: int, private: bool) -> str:
     FROM (WITH src AS ({kept}) {rows}) GROUP BY ALL HAVING sum(v) <> 0""")
 
 
+GROUP_BITS = 32
+_UNIVERSE = F.shiftright("universe_id", GROUP_BITS)
+
+
 def _cohorts(events):
-    """Each cohort of consecutive producers is a population with pair keys of its own."""
-    cohort = F.shiftleft("universe_id", 32) + idiv(F.col("producer_id"), fx.CLIQUE_SIZE)
+    """Each cohort of consecutive producers is a mask group with pair keys of its own."""
+    cohort = F.shiftleft("universe_id", GROUP_BITS) + idiv(F.col("producer_id"), fx.CLIQUE_SIZE)
     return events.withColumn("universe_id", cohort)
 
 
-def _private(events, lanes_of, fields: dict[str, int], size: int):
+def release_vectors(lanes, present, fields: dict[str, int], bits: dict[str, int], size: int, sent=None):
+    """Masked release of vectors per mask group: (universe_id, ws, v, producers), v flat.
+
+    ``lanes`` has (group, producer, ws, pos, v) rows.  Lanes are packed into words, which are
+    encrypted, masked and added as they are.  Where a producer's lane is beyond what the
+    members of a group may add up to, the group's window takes one word a lane.
+    """
+    packing, flat = pf.Packing(fields, bits, fx.CLIQUE_SIZE), pf.Packing(fields, {}, 1)
+    lanes = lanes.join(present, WINDOW, "left_semi")
+    packed = materialize(pf.packed_vectors(lanes, WINDOW, packing), "packed-vectors")
+    beyond = packed.filter("beyond").select(UW).distinct()
+    out = _release(packed.drop("beyond"), present, packing, size, sent)
+    if packed.filter("beyond").limit(1).count():
+        out = _release(packed.drop("beyond").join(beyond, UW, "left_anti"), present.join(beyond, UW, "left_anti"), packing, size, sent)
+        few = lanes.join(beyond, UW, "left_semi")
+        out = out.unionByName(_release(pf.packed_vectors(few, WINDOW, flat).drop("beyond"), present.join(beyond, UW, "left_semi"), flat, size, sent))
+    return out
+
+
+def _release(vectors, present, packing, size: int, sent):
+    wkeys = tl.window_keys(present, fx.stream_keys(present), packing.words, size)
+    pairs = fx.pair_keys(present, fx.CLIQUE_SIZE)
+    pairs = pairs.withColumn("universe_id", F.lit(1 << GROUP_BITS) + F.col("universe_id"))
+    masks = mk.cohort_masks(present, pairs, packing.words).select(*WINDOW, "mask")
+    rows = vectors.join(wkeys, WINDOW).join(masks, WINDOW)
+    released = rl.release_committed(rows, packing.words, sent)
+    return released.select(*UW, wide.unpack(F.col("v"), packing).alias("v"), "producers")
+
+
+def private_lanes(events, lanes_of, fields: dict[str, int], bits: dict[str, int], size: int, sent=None):
     """Masked release of whole vectors: commits, window keys, pairwise masks, tokens, sums.
 
-    Producers with a gap-free window and a commit in time take part.  Every cohort is
-    released by itself, and released cohorts are added up.  Keys, masks and tokens are
-    computed per (producer, window), never per event.
+    Producers with a gap-free window and a commit in time take part.  Masks cancel within
+    cohorts; a universe's window is released only if all its cohorts are, whose sums are then
+    added up.  Keys, masks and tokens are computed per (producer, window), never per event.
     """
-    n, events = pf.n_lanes(fields), _cohorts(events)
+    events = _cohorts(events)
     spans = materialize(chain.window_spans(events, size), "producer-windows")
     in_time = cm.in_time(fx.commits(spans, size), size, DEADLINE)
     present = materialize(cm.committed(chain.complete_windows(spans, size), in_time), "committed")
-    lanes = lanes_of(_windowed(events, size)).join(present, WINDOW, "left_semi")
-    wkeys = tl.window_keys(present, fx.stream_keys(present), n, size)
-    pairs = fx.pair_keys(present, fx.CLIQUE_SIZE)
-    pairs = pairs.withColumn("universe_id", F.lit(1 << 32) + F.col("universe_id"))
-    masks = mk.cohort_masks(present, pairs, n).select(*WINDOW, "mask")
-    rows = pf.dense_vectors(lanes, WINDOW, fields).join(wkeys, WINDOW).join(masks, WINDOW)
-    cohorts = pf.rebuild_lanes(rl.release_committed(rows, n), UW, fields)
-    universe = F.shiftright("universe_id", 32).alias("universe_id")
-    return cohorts.groupBy(universe, "ws", "field", "lane").agg(F.sum("v").alias("v")).filter("v <> 0")
+    groups = materialize(release_vectors(lanes_of(_windowed(events, size)), present, fields, bits, size, sent), "released-groups")
+    whole = rl.whole_universes(groups, present, _UNIVERSE)
+    rows = pf.rebuild_lanes(groups.withColumn("universe_id", _UNIVERSE), UW, fields)
+    return rows.join(whole, UW, "left_semi").groupBy(*UW, "field", "lane").agg(F.sum("v").alias("v")).filter("v <> 0")
 
 
 def _windowed(df, size):
@@ -112,14 +141,14 @@ def plain_web(spark, sf):
 
 @query("P2 J1 K3 K4 K6 A4", _sql("polar", _lane_rows(pf.POLAR), YEAR, True))
 def private_polar(spark, sf):
-    return _private(fx.polar(spark, sf), lambda e: pf.fine_lane_totals(e, WINDOW, pf.POLAR), pf.POLAR.fields, YEAR)
+    return private_lanes(fx.polar(spark, sf), lambda e: pf.fine_lane_totals(e, WINDOW, pf.POLAR), pf.POLAR.fields, pf.POLAR.bits, YEAR)
 
 
 @query("P3 J1 K3 K4 K6 A4", _sql("car", _lane_rows(pf.CAR), YEAR, True))
 def private_car(spark, sf):
-    return _private(fx.car(spark, sf), lambda e: pf.fine_lane_totals(e, WINDOW, pf.CAR), pf.CAR.fields, YEAR)
+    return private_lanes(fx.car(spark, sf), lambda e: pf.fine_lane_totals(e, WINDOW, pf.CAR), pf.CAR.fields, pf.CAR.bits, YEAR)
 
 
 @query("P4 J1 K3 K4 K6 A4", _sql("web", _web_rows(), DAY, True))
 def private_web(spark, sf):
-    return _private(fx.web(spark, sf), lambda e: pf.web_position_totals(e, WINDOW), pf.WEB_FIELDS, DAY)
+    return private_lanes(fx.web(spark, sf), lambda e: pf.web_position_totals(e, WINDOW), pf.WEB_FIELDS, pf.WEB_BITS, DAY)

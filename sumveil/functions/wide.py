@@ -87,28 +87,123 @@ def combine(plus: list[Column], minus: list[Column], n_lanes: int | None = None)
     return kernel(*plus, *minus)
 
 
+def _whole_groups(batches, keys: list[str]):
+    """Tables of whole groups of rows sorted by the keys, each with the number of every row's group.
+
+    The last group of a batch waits for the next batch.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+        same = np.all([c == c[-1] for c in (table.column(k).to_numpy() for k in keys)], axis=0)
+        at = 0 if same.all() else len(same) - int(same[::-1].argmin())
+        if at:
+            yield _numbered(table.slice(0, at).combine_chunks(), keys)
+        held = table.slice(at)
+    if held is not None:
+        yield _numbered(held.combine_chunks(), keys)
+
+
+def _numbered(table: pa.Table, keys: list[str]):
+    columns = [table.column(k).to_numpy() for k in keys]
+    return table, np.concatenate([[0], np.cumsum(np.any([c[1:] != c[:-1] for c in columns], axis=0))]) if table.num_rows > 1 else np.zeros(1, "int64")
+
+
+def _signed(part: pa.Table, group: np.ndarray, keys: list[str]) -> pa.RecordBatch:
+    """Sums per (group, member) of whole groups: both ends of every pair sorted by member, added in one sweep."""
+    lanes = _fold(_blocks(part.column("data").chunk(0)))
+    n = len(lanes)
+    member = np.concatenate([part.column("a").to_numpy(), part.column("b").to_numpy()])
+    order = np.lexsort((member, np.tile(group, 2)))
+    first = np.concatenate([[True], (np.diff(member[order]) != 0) | (np.diff(np.tile(group, 2)[order]) != 0)])
+    starts = np.flatnonzero(first)
+    total = np.empty((len(starts), lanes.shape[1]), "int64")
+    bounds = np.append(starts, 2 * n)
+    for lo in range(0, len(starts), 256):  # a bounded number of members at a time
+        hi = min(lo + 256, len(starts))
+        rows = order[bounds[lo] : bounds[hi]]
+        ends = lanes[rows % n]
+        np.negative(ends, out=ends, where=(rows < n)[:, None])
+        total[lo:hi] = np.add.reduceat(ends, bounds[lo:hi] - bounds[lo], axis=0)
+    at = pa.array(order[starts] % n)
+    same = [part.column(k).chunk(0).take(at) for k in keys]
+    return pa.RecordBatch.from_arrays([*same, pa.array(member[order[starts]]), _lists(total), pa.array(np.diff(bounds))], names=[*keys, "producer_id", "mask", "neighbours"])
+
+
 def pair_sums(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Signed sums per member over the pairs of a group: added for ``b``, subtracted for ``a``.
 
     ``edges`` has the keys, a, b and ``data``, the encrypted blocks of a pair; it is
-    partitioned and sorted by the keys.  A group is a population of bounded size.
+    partitioned and sorted by the keys.  Groups are populations of bounded size.
     """
 
-    def kernel(table: pa.Table) -> pa.Table:
-        a, b = (table.column(c).to_numpy() for c in ("a", "b"))
-        lanes = _fold(_blocks(table.column("data").combine_chunks()))
-        members, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        total = np.zeros((len(members), lanes.shape[1]), "int64")
-        for row, i, j in zip(lanes, at[: len(a)], at[len(a) :]):
-            total[i] -= row
-            total[j] += row
-        same = [pa.array([table.column(k)[0].as_py()] * len(members), table.schema.field(k).type) for k in keys]
-        counts = np.bincount(at, minlength=len(members))
-        return pa.Table.from_arrays([*same, pa.array(members), _lists(total), pa.array(counts)], names=[*keys, "producer_id", "mask", "neighbours"])
+    def kernel(batches):
+        for table, group in _whole_groups(batches, keys):
+            yield _signed(table, group, keys)
 
     types = dict(edges.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in keys)
-    return edges.groupBy(*keys).applyInArrow(kernel, f"{head}, producer_id bigint, mask array<bigint>, neighbours bigint")
+    return edges.select(*keys, "a", "b", "data").mapInArrow(kernel, f"{head}, producer_id bigint, mask array<bigint>, neighbours bigint")
+
+
+class Packing:
+    """Where each lane of a flat vector lies in words of 64 bits: ``bits`` per lane, 64 // bits lanes to a word.
+
+    A packed lane holds 0 to 2^bits - 1; a sum of ``members`` vectors cannot run over if
+    each lane of each is at most ``limit``.  Lanes of 64 bits are taken modulo 2^64 and never run over.
+    """
+
+    def __init__(self, fields: dict[str, int], bits: dict[str, int], members: int):
+        word, shift, width, at = [], [], [], 0
+        for name, n in fields.items():
+            b = bits.get(name, 64)
+            lane = np.arange(n)
+            word.append(at + lane // (64 // b))
+            shift.append(b * (lane % (64 // b)))
+            width.append(np.full(n, b))
+            at += -(-n // (64 // b))
+        self.words, self.n_lanes = at, sum(fields.values())
+        self.word, self.shift, self.width = (np.concatenate(x).astype("int64") for x in (word, shift, width))
+        most = (1 << np.minimum(self.width, 62)) - 1
+        self.limit = np.where(self.width == 64, np.iinfo("int64").max, most // members)
+
+
+def scatter(rows: DataFrame, keys: list[str], packing: Packing) -> DataFrame:
+    """Rows (keys, pos, v), partitioned and sorted by the keys, to one packed vector ``v`` per key.
+
+    Rows of equal position add up.  ``beyond`` says whether a row's value is beyond its lane's limit.
+    """
+
+    def kernel(batches):
+        for table, group in _whole_groups(batches, keys):
+            lane, v = table.column("pos").to_numpy(), table.column("v").to_numpy()
+            out = np.zeros((group[-1] + 1, packing.words), "int64")
+            np.add.at(out.reshape(-1), group * packing.words + packing.word[lane], v << packing.shift[lane])
+            narrow = packing.width[lane] < 64
+            beyond = np.zeros(len(out), bool)
+            beyond[group[narrow & ((v < 0) | (v > packing.limit[lane]))]] = True
+            at = pa.array(np.searchsorted(group, np.arange(len(out))))
+            yield pa.RecordBatch.from_arrays([*(table.column(k).chunk(0).take(at) for k in keys), _lists(out), pa.array(beyond)], names=[*keys, "v", "beyond"])
+
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", v array<bigint>, beyond boolean"
+    return rows.select(*keys, F.col("pos").cast("bigint").alias("pos"), F.col("v").cast("bigint").alias("v")).mapInArrow(kernel, schema)
+
+
+def unpack(vector: Column, packing: Packing) -> Column:
+    """Packed vectors to flat ones."""
+
+    @arrow_udf("array<bigint>")
+    def kernel(column: pa.Array) -> pa.Array:
+        words = _matrix(column, packing.words)
+        lanes = words[:, packing.word].view("uint64") >> packing.shift.astype("uint64") if len(words) else np.zeros((0, packing.n_lanes), "uint64")
+        mask = np.where(packing.width == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(packing.width, 63).astype("uint64")) - np.uint64(1))
+        return _lists(np.ascontiguousarray(lanes & mask).view("int64"))
+
+    return kernel(vector)
 
 
 def batch_sums(df: DataFrame, keys: list[str], vector: str, sign: str | None, n_lanes: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumveil.functions.vectors import WIDE_LANES, combine, vector_sum, zeros
@@ -37,16 +37,33 @@ def release(ciphers: DataFrame, tokens: DataFrame, n_lanes: int, cipher: str = "
     return release_parts(parts, n_lanes)
 
 
-def release_committed(rows: DataFrame, n_lanes: int) -> DataFrame:
+def release_committed(rows: DataFrame, n_lanes: int, sent: Column | None = None) -> DataFrame:
     """The same where each row holds the sum ``v``, the window key ``k`` and the ``mask`` of a committed producer.
 
     Cipher v + k and token mask - k come from one pass, so window keys are computed once.
+    ``sent`` says whether the producer's token arrived (all did without it).
     """
     cipher, token = combine(n_lanes, [F.col("v"), F.col("k")]), combine(n_lanes, [F.col("mask")], [F.col("k")])
-    both = rows.select("universe_id", "ws", cipher.alias("_cipher"), token.alias("_token"))
+    arrived = F.lit(True) if sent is None else F.coalesce(sent, F.lit(False))
+    both = rows.select("universe_id", "ws", cipher.alias("_cipher"), token.alias("_token"), arrived.alias("_sent"))
     part = lambda x, c, t: F.struct(F.col(x).alias("_x"), F.lit(c).alias("_c"), F.lit(t).alias("_t"))
-    sent = F.explode(F.array(part("_cipher", 1, 0), part("_token", 0, 1))).alias("_p")
-    return release_parts(both.select("universe_id", "ws", sent).select("universe_id", "ws", "_p.*"), n_lanes)
+    parts = F.array(part("_cipher", 1, 0), part("_token", 0, 1))
+    parts = F.explode(parts if sent is None else F.when(F.col("_sent"), parts).otherwise(F.slice(parts, 1, 1))).alias("_p")
+    return release_parts(both.select("universe_id", "ws", parts).select("universe_id", "ws", "_p.*"), n_lanes)
+
+
+def whole_universes(groups: DataFrame, present: DataFrame, universe_of: Column) -> DataFrame:
+    """(universe, ws) windows of which every mask group was released.
+
+    Masks cancel within groups (the ``universe_id`` of ``groups`` and ``present``), and a
+    group is released or not by itself; its sum is held back until the groups of its
+    universe (``universe_of`` a group) have released as many producers as committed
+    there.  Only (group, window) rows meet here, not vectors.
+    """
+    committed = present.groupBy("universe_id", "ws").agg(F.count("*").alias("_n"))
+    released = groups.select("universe_id", "ws", (-F.col("producers").cast("bigint")).alias("_n"))
+    both = committed.unionByName(released).withColumn("universe_id", universe_of)
+    return both.groupBy("universe_id", "ws").agg(F.sum("_n").alias("_open")).filter("_open = 0").drop("_open")
 
 
 def release_parts(parts: DataFrame, n_lanes: int) -> DataFrame:

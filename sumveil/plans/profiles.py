@@ -11,8 +11,9 @@ from dataclasses import dataclass, field as dc_field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumveil.functions.arith import let
+from sumveil.functions import wide
 from sumveil.functions.timewin import idiv
+from sumveil.functions.wide import Packing
 from sumveil.session import spread
 
 
@@ -52,6 +53,15 @@ class Profile:
                 return b.n
         return 2
 
+    def bits_of(self, field: str) -> int:
+        """Bits of a packed lane: counts per bin 16, sums per bin 32, totals 64."""
+        kinds = {b.hist: 16 for b in self.bins} | {b.grouped: 32 for b in self.bins}
+        return kinds.get(field, 64)
+
+    @property
+    def bits(self) -> dict[str, int]:
+        return {f: self.bits_of(f) for f in self.order}
+
     @property
     def fields(self) -> dict[str, int]:
         """Fields in vector order with their number of lanes."""
@@ -255,20 +265,18 @@ def name_lanes(rows: DataFrame, fields: dict[str, int]) -> DataFrame:
     )
 
 
-def dense_vectors(rows: DataFrame, keys: list[str], fields: dict[str, int]) -> DataFrame:
-    """Rows (keys, pos, v) to one ``array<bigint>`` per key, zeros filled in.
+def packed_vectors(rows: DataFrame, keys: list[str], packing: Packing) -> DataFrame:
+    """Rows (keys, pos, v) to one packed vector ``v`` per key, zeros filled in, and ``beyond``:
+    whether a lane is beyond its limit, so that sums of such vectors might run over.
 
-    A key has each position at most once, so what is gathered is bounded by the layout.
+    A key has each position at most once, so a key's rows are bounded by the layout.
     """
-    entry = F.struct(F.col("pos").alias("k"), F.col("v").alias("v"))
-    entries = spread(rows, *keys).groupBy(*keys).agg(F.collect_list(entry).alias("_m"))
-    none = lambda n: F.array_repeat(F.lit(0).cast("bigint"), n.cast("int"))
-    before = lambda es, i: F.coalesce(F.when(i > 0, F.get(es, i - 1)["k"]), F.lit(-1).cast("bigint"))
-    filled = lambda es: F.concat(
-        F.flatten(F.transform(es, lambda e, i: F.concat(none(e["k"] - before(es, i) - 1), F.array(e["v"])))),
-        none(F.lit(n_lanes(fields) - 1) - F.element_at(es, -1)["k"]),
-    )
-    return entries.select(*keys, let(F.array_sort("_m"), filled).alias("v"))
+    return wide.scatter(spread(rows, *keys).sortWithinPartitions(*keys), keys, packing)
+
+
+def dense_vectors(rows: DataFrame, keys: list[str], fields: dict[str, int]) -> DataFrame:
+    """Rows (keys, pos, v) to one ``array<bigint>`` per key, one word a lane, zeros filled in."""
+    return packed_vectors(rows, keys, Packing(fields, {}, 1)).drop("beyond")
 
 
 def rebuild_lanes(vectors: DataFrame, keys: list[str], fields: dict[str, int], vector: str = "v") -> DataFrame:
@@ -294,6 +302,8 @@ def _web_fields() -> dict[str, int]:
 
 
 WEB_FIELDS = _web_fields()
+#: Bits of a packed lane: counts 16, sums of timings 32, the count of events 64.
+WEB_BITS = {f: 64 if f == "count" else 32 if f.endswith(("Sum", "SumOfSquares")) else 16 for f in WEB_FIELDS}
 
 
 def _entries(df: DataFrame, keys: list[str], maps: dict[str, str]) -> DataFrame:
