@@ -74,7 +74,7 @@ def _cohorts(events):
     return events.withColumn("universe_id", cohort)
 
 
-def release_vectors(lanes, present, fields: dict[str, int], bits: dict[str, int], size: int, sent=None):
+def release_vectors(lanes, present, fields: dict[str, int], bits: dict[str, int], size: int, sent=None, universe: int = 1):
     """Masked release of vectors per mask group: (universe_id, ws, v, producers), v flat.
 
     ``lanes`` has (group, producer, ws, pos, v) rows.  Lanes are packed into words, which are
@@ -85,36 +85,37 @@ def release_vectors(lanes, present, fields: dict[str, int], bits: dict[str, int]
     lanes = lanes.join(present, WINDOW, "left_semi")
     packed = materialize(pf.packed_vectors(lanes, WINDOW, packing), "packed-vectors")
     beyond = packed.filter("beyond").select(UW).distinct()
-    out = _release(packed.drop("beyond"), present, packing, size, sent)
+    out = _release(packed.drop("beyond"), present, packing, size, sent, universe)
     if packed.filter("beyond").limit(1).count():
-        out = _release(packed.drop("beyond").join(beyond, UW, "left_anti"), present.join(beyond, UW, "left_anti"), packing, size, sent)
+        out = _release(packed.drop("beyond").join(beyond, UW, "left_anti"), present.join(beyond, UW, "left_anti"), packing, size, sent, universe)
         few = lanes.join(beyond, UW, "left_semi")
-        out = out.unionByName(_release(pf.packed_vectors(few, WINDOW, flat).drop("beyond"), present.join(beyond, UW, "left_semi"), flat, size, sent))
+        out = out.unionByName(_release(pf.packed_vectors(few, WINDOW, flat).drop("beyond"), present.join(beyond, UW, "left_semi"), flat, size, sent, universe))
     return out
 
 
-def _release(vectors, present, packing, size: int, sent):
+def _release(vectors, present, packing, size: int, sent, universe: int):
     wkeys = tl.window_keys(present, fx.stream_keys(present), packing.words, size)
     pairs = fx.pair_keys(present, fx.CLIQUE_SIZE)
-    pairs = pairs.withColumn("universe_id", F.lit(1 << GROUP_BITS) + F.col("universe_id"))
+    pairs = pairs.withColumn("universe_id", F.lit(universe << GROUP_BITS) + F.col("universe_id"))
     masks = mk.cohort_masks(present, pairs, packing.words).select(*WINDOW, "mask")
     rows = vectors.join(wkeys, WINDOW).join(masks, WINDOW)
     released = rl.release_committed(rows, packing.words, sent)
     return released.select(*UW, wide.unpack(F.col("v"), packing).alias("v"), "producers")
 
 
-def private_lanes(events, lanes_of, fields: dict[str, int], bits: dict[str, int], size: int, sent=None):
+def private_lanes(events, lanes_of, fields: dict[str, int], bits: dict[str, int], size: int, sent=None, universe: int = 1):
     """Masked release of whole vectors: commits, window keys, pairwise masks, tokens, sums.
 
     Producers with a gap-free window and a commit in time take part.  Masks cancel within
     cohorts; a universe's window is released only if all its cohorts are, whose sums are then
     added up.  Keys, masks and tokens are computed per (producer, window), never per event.
+    ``sent`` says of a (producer, window) whether its token arrived; the test keys are those of one ``universe``.
     """
     events = _cohorts(events)
     spans = materialize(chain.window_spans(events, size), "producer-windows")
     in_time = cm.in_time(fx.commits(spans, size), size, DEADLINE)
     present = materialize(cm.committed(chain.complete_windows(spans, size), in_time), "committed")
-    groups = materialize(release_vectors(lanes_of(_windowed(events, size)), present, fields, bits, size, sent), "released-groups")
+    groups = materialize(release_vectors(lanes_of(_windowed(events, size)), present, fields, bits, size, sent, universe), "released-groups")
     whole = rl.whole_universes(groups, present, _UNIVERSE)
     rows = pf.rebuild_lanes(groups.withColumn("universe_id", _UNIVERSE), UW, fields)
     return rows.join(whole, UW, "left_semi").groupBy(*UW, "field", "lane").agg(F.sum("v").alias("v")).filter("v <> 0")

@@ -1,11 +1,13 @@
-"""Pseudo-random function columns over AES-256 in ECB mode.
-
-One block per lane holds 8 bytes of time and 8 bytes of lane, both big endian and
-0-based; the lane's key is the XOR of the two halves of the encrypted block.  All
-lanes (and both ends of a window) go into ONE ``aes_encrypt`` call, because setting
-up the cipher costs far more than a block.  The encrypted blocks are decoded to
-bigint lanes by an Arrow kernel; the string functions SQL offers for it cost more than
-the cipher.
+"""Pseudo-random function columns over AES-256.
+
+One block per lane holds 8 bytes of time and 8 bytes of lane, both big endian; the lane's
+key is the XOR of the two halves of the encrypted block.  All lanes of a time come from
+one ``aes_encrypt`` call: the cipher stream of GCM under the 12-byte vector (time, 0) is
+the encryption of the blocks (time, 2), (time, 3) and so on, so lane i has the number
+i + 2 and no block is ever put together (which cost more than the cipher when it was).
+Blocks outside the stream (graphs, samples) are encrypted one by one.  Encrypted
+blocks are decoded to bigint lanes by an Arrow kernel; the string functions SQL offers for
+it cost more than the cipher.
 """
 
 from __future__ import annotations
@@ -19,22 +21,14 @@ from sumveil.functions.arith import let
 # Lanes outside 0..n that keep other uses of the same key apart.
 GRAPH_LANE = -1
 SAMPLE_LANE = -2
+#: Number in the block of lane 0, as the stream counts.
+FIRST_NUMBER = 2
 
 
 def _lane_hex(lane: int) -> str:
     return format(lane & ((1 << 64) - 1), "016X")
 
 
-def _blocks(time: Column, lanes: list[int] | range) -> Column:
-    """Hex of one block per lane: the time is filled into a constant template."""
-    template = "".join("t" + _lane_hex(lane) for lane in lanes)
-    return F.replace(F.lit(template), F.lit("t"), F.lpad(F.hex(time.cast("bigint")), 16, "0"))
-
-
-def _encrypt(blocks_hex: Column, key: Column) -> Column:
-    return F.aes_encrypt(F.unhex(blocks_hex), key, F.lit("ECB"), F.lit("PKCS"))
-
-
 def _long(data: Column, start) -> Column:
     """Eight bytes from a 1-based position as a signed bigint."""
     at = F.lit(start) if isinstance(start, int) else start
@@ -42,8 +36,10 @@ def _long(data: Column, start) -> Column:
 
 
 def block(key: Column, time: Column, lane: int) -> Column:
-    """One encrypted block, 16 bytes."""
-    return F.substr(_encrypt(_blocks(time, [lane]), key), F.lit(1), F.lit(16))
+    """One encrypted block, 16 bytes: of a lane from 0 as in :func:`lane_blocks`, or of one below 0 with a number of its own."""
+    number = _lane_hex(lane if lane < 0 else lane + FIRST_NUMBER)
+    plain = F.unhex(F.concat(F.lpad(F.hex(time.cast("bigint")), 16, "0"), F.lit(number)))
+    return F.substr(F.aes_encrypt(plain, key, F.lit("ECB"), F.lit("PKCS")), F.lit(1), F.lit(16))
 
 
 def block_halves(key: Column, time: Column, lane: int) -> Column:
@@ -68,8 +64,16 @@ def block_bits(key: Column, time: Column, lane: int) -> Column:
 
 
 def lane_blocks(key: Column, times: list[Column], n_lanes: int) -> Column:
-    """Encrypted blocks of every (time, lane), times outermost, as one binary."""
-    return _encrypt(F.concat(*[_blocks(t, range(n_lanes)) for t in times]), key)
+    """Encrypted blocks of every (time, lane), times outermost, and a block to be ignored, as one binary."""
+
+    def stream(time: Column) -> Column:
+        vector = F.unhex(F.concat(F.lpad(F.hex(time.cast("bigint")), 16, "0"), F.lit("00000000")))
+        return F.aes_encrypt(F.lit(bytes(16 * n_lanes)), key, F.lit("GCM"), F.lit("NONE"), vector)
+
+    # Before the stream stands the vector, behind it the tag.
+    size = 16 * n_lanes
+    parts = [F.substring(stream(t), 13, size if i + 1 < len(times) else size + 16) for i, t in enumerate(times)]
+    return F.concat(*parts)
 
 
 def parse_lanes(data: Column, n_lanes: int, time_index: int = 0) -> Column:

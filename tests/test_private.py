@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sumveil.functions import wide
 from sumveil.functions.vectors import vector_sum
 from sumveil.operators import chain, masks as mk, release as rl, telescoping as tl
 from sumveil.plans import parameters as pm, profiles as pf
@@ -110,6 +111,91 @@ def test_groups_of_bits_equal_cut_strings(spark):
     assert len(got) > 5000 and all(r.v == int(r.bits[r.g * r.k : (r.g + 1) * r.k], 2) for r in got)
 
 
+@pytest.mark.parametrize("n", [1, 3, 40])
+def test_lanes_are_blocks_of_their_number(spark, n):
+    """The stream of one call is what single blocks give, for times below zero too."""
+    from sumveil.functions import prf
+
+    rows = spark.createDataFrame([(i, t) for i in range(3) for t in (-5, 0, 86_399_999, 1 << 50)], "id long, t long")
+    key = F.unhex(F.sha2(F.col("id").cast("string"), 256))
+    single = F.concat(*[prf.block(key, F.col("t") + d, lane) for d in (0, 7) for lane in range(n)], F.lit(bytes(16)))
+    both = rows.select(wide.decode(prf.lane_blocks(key, [F.col("t"), F.col("t") + 7], n)).alias("a"), wide.decode(single).alias("b")).collect()
+    assert all(r.a == r.b and len(set(r.a)) == 2 * n for r in both) and len({tuple(r.a) for r in both}) == 12
+
+
+def layout_rows(rng, fields, producers, big):
+    """(producer, pos, v) with every lane of some producers, repeats, zeros and, if ``big``, values beyond a lane."""
+    n = sum(fields.values())
+    rows = [(p, lane, rng.randrange(0, 50)) for p in range(producers) for lane in range(n) if p % 2 or rng.random() < 0.3]
+    return rows + [(p, rng.randrange(n), 3) for p in range(producers)] + ([(0, 0, 1 << 40), (1, 1, -1)] if big else [])
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_packing_round_trip(spark, batch):
+    fields, bits = {"a": 7, "b": 5, "c": 3}, {"a": 16, "b": 32}
+    packing = pf.Packing(fields, bits, 4)
+    assert packing.words == 2 + 3 + 3 and packing.limit[0] == 65535 // 4 and packing.limit[7] == (2**32 - 1) // 4
+    rng = random.Random(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for big in (False, True):
+            rows = layout_rows(rng, fields, 9, big)
+            df = spark.createDataFrame(rows, "p long, pos long, v long")
+            out = pf.packed_vectors(df, ["p"], packing)
+            flat = out.withColumn("u", wide.unpack(F.col("v"), packing)).collect()
+            want = {p: [0] * 15 for p in range(9)}
+            for p, lane, v in rows:
+                want[p][lane] += v
+            assert {r.p for r in flat if r.beyond} == ({0, 1} if big else set())
+            assert {r.p: r.u for r in flat if not r.beyond} == {p: v for p, v in want.items() if not (big and p < 2)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_packed_sums_at_the_bound(spark):
+    """As many vectors as members, each lane at its limit, add up without a carry."""
+    fields, bits = {"a": 8, "b": 4, "c": 1}, {"a": 16, "b": 32}
+    packing = pf.Packing(fields, bits, 16)
+    rows = [(p, lane, int(packing.limit[lane]) if lane < 12 else -p) for p in range(16) for lane in range(13)]
+    df = spark.createDataFrame(rows, "p long, pos long, v long")
+    out = pf.packed_vectors(df, ["p"], packing)
+    assert not out.filter("beyond").count()
+    total = vector_sum(out.withColumn("g", F.lit(1)), ["g"], "v", packing.words, out="t").select(wide.unpack(F.col("t"), packing).alias("u")).first().u
+    assert total == [16 * int(x) for x in packing.limit[:12]] + [-120]
+
+
+def test_lengths_of_packed_profiles():
+    sizes = [pf.Packing(p.fields, p.bits, 16).words for p in (pf.POLAR, pf.CAR)] + [pf.Packing(pf.WEB_FIELDS, pf.WEB_BITS, 16).words]
+    assert sizes == [683 - (155 - 78) - (310 - 155), 169, 956]
+
+
+def private_events(spark, hot=0):
+    """Polar events of 40 producers of two universes over three windows; the first producer has ``hot`` more events in one bin."""
+    rows = [(u, 100 * u + p, w * 1000 + 7 * p, 60 + p, 100, 5, 1, 0, 20) for u in (0, 3) for p in range(20) for w in range(4)]
+    rows += [(0, 0, 1000 + 8 + i % 900, 61, 100, 5, 1, 0, 20) for i in range(hot)]
+    cols = "universe_id long, producer_id long, ts_ms long, " + ", ".join(f"{a} long" for a in pf.POLAR.attrs)
+    return spark.createDataFrame(rows, cols)
+
+
+@pytest.mark.parametrize("hot", [0, 5000])
+def test_profiles_are_released_for_whole_universes_only(spark, hot):
+    """One producer without a token shuts its universe's window, also where its mask group is only one of several."""
+    from sumveil.catalog import application_queries as aq
+
+    events = private_events(spark, hot)
+    # All producers lie in universe 0 of the catalogue's keys but for the high bits; commits leave some out.
+    run = lambda sent: {(r.universe_id, r.ws, r.field, r.lane): r.v for r in aq.private_lanes(events.filter("universe_id = 0"), lambda e: pf.fine_lane_totals(e, WINDOW, pf.POLAR), pf.POLAR.fields, pf.POLAR.bits, 1000, sent, universe=0).collect()}
+    whole = run(None)
+    gone = run(~((F.col("producer_id") == 2) & (F.col("ws") == 1000)))
+    assert {k[1] for k in whole} == {0, 1000, 2000} and {k[1] for k in gone} == {0, 2000}
+    assert gone == {k: v for k, v in whole.items() if k[1] != 1000}
+    kept = [p for p in range(20) if p % 8 <= 6]
+    for ws in (0, 1000, 2000):
+        n = len([p for p in kept if not (p % 10 == 7 and (ws // 1000) % 2 == 0)])
+        assert whole[0, ws, "count", 0] == n + (hot if ws == 1000 else 0)
+    assert whole[0, 1000, "heartrateHist", 61] == 1 + hot
+
+
 def universes_of(spark):
     """Universes 1 (k = 1), 2 (no k) and 3 (k = 2) of ten producers each, over windows of two epochs of universe 1."""
     rows = [(u, 10 * u + i, w * W) for u in (1, 2, 3) for i in range(10) for w in (0, 1, 2, 256, 257) if (i + w) % 7]
