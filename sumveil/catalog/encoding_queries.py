@@ -250,11 +250,11 @@ def app_standard(spark, sf):
 
 
 def _bins_sql(profile, view, size, main):
-    parts = []
-    for b in profile.bins:
-        attr = f'"{b.attr}"'
-        idx = f"{attr} // {b.step} - ({b.low})" if b.step > 1 else f"{attr} - ({b.low})"
-        parts.append(f"SELECT universe_id, {ws('ts_ms', size)} AS ws, '{b.attr}' AS axis, ({idx})::BIGINT AS bin, \"{main}\" AS m FROM {view}")
+    index = {b: f'"{b.attr}" // {b.step} - ({b.low})' if b.step > 1 else f'"{b.attr}" - ({b.low})' for b in profile.bins}
+    good = "coalesce(" + " AND ".join(f"({idx}) BETWEEN 0 AND {b.n - 1}" for b, idx in index.items()) + ", false)"
+    head = f"SELECT universe_id, {ws('ts_ms', size)} AS ws"
+    parts = [f"{head}, '{b.attr}' AS axis, ({idx})::BIGINT AS bin, \"{main}\" AS m FROM {view} WHERE {good}" for b, idx in index.items()]
+    parts.append(f"{head}, '{pf.QUARANTINE}', NULL, NULL FROM {view} WHERE NOT {good}")
     return with_views([view], "SELECT universe_id, ws, axis, bin, count(*) AS n, sum(m)::BIGINT AS s FROM (" + " UNION ALL ".join(parts) + ") GROUP BY ALL")
 
 
@@ -271,8 +271,8 @@ def _hist_only(sql):
 
 @query("P2 E6 E14", _hist_only(_bins_sql(pf.POLAR, "polar", MONTH, "heartrate")))
 def app_polar_hist(spark, sf):
-    good, _ = pf.split_invalid(with_window(fx.polar(spark, sf), MONTH), pf.POLAR)
-    return pf.bin_totals(good, UW, pf.POLAR).drop("s")
+    """Events per bin, and those off an axis counted beside them."""
+    return pf.bin_totals(with_window(fx.polar(spark, sf), MONTH), UW, pf.POLAR).drop("s")
 
 
 @query("P2 E13", f"SELECT universe_id, ws, axis, bin, s FROM ({_bins_sql(pf.POLAR, 'polar', MONTH, 'heartrate')}) WHERE axis <> 'heartrate'")
@@ -289,8 +289,7 @@ def app_polar_base(spark, sf):
 
 @query("P3 E6 E14", _hist_only(_bins_sql(pf.CAR, "car", MONTH, "oilTemperature")))
 def app_car_hist(spark, sf):
-    good, _ = pf.split_invalid(with_window(fx.car(spark, sf), MONTH), pf.CAR)
-    return pf.bin_totals(good, UW, pf.CAR).drop("s")
+    return pf.bin_totals(with_window(fx.car(spark, sf), MONTH), UW, pf.CAR).drop("s")
 
 
 @query("P3 E10", _bases_sql(pf.CAR, "car", MONTH))

@@ -19,6 +19,8 @@ HOUR = tw.HOUR_MS
 GRACE = HOUR
 DEADLINE = 6000
 ROUNDS = 8
+#: The five universes of ``std5`` stand for the regions' ones in the table of universes.
+_REGION = 99
 
 
 def _measures():
@@ -289,16 +291,17 @@ def membership_diff(spark, sf):
     return diffs(spark, sf)
 
 
-@query("J9", with_views(["std5"], f"""
-    SELECT n.n_name AS name, {ws('ts_ms')} AS ws, sum(value)::BIGINT AS s, count(*) AS n
-    FROM std5 JOIN nation n ON n.n_nationkey = universe_id GROUP BY ALL"""))
+@query("J9", with_views(["std5", "universes"], f"""
+    SELECT u.universe_id, u.min_size, {W}::BIGINT AS window_ms, {ws('ts_ms')} AS ws, sum(value)::BIGINT AS s, count(*) AS n
+    FROM std5 s JOIN universes u ON u.universe_id = s.universe_id + {_REGION} GROUP BY ALL"""))
 def universe_lookup(spark, sf):
-    """Configuration of each record's universe: summed first, then joined by universe."""
-    sums = fx.std5(spark, sf).groupBy("universe_id", tw.window_start(F.col("ts_ms"), W).alias("ws")).agg(
+    """Configuration of each record's universe: summed first, then joined with the table of universes."""
+    regional = fx.std5(spark, sf).withColumn("universe_id", F.col("universe_id") + _REGION)
+    sums = regional.groupBy("universe_id", tw.window_start(F.col("ts_ms"), W).alias("ws")).agg(
         F.sum("value").alias("s"), F.count("*").alias("n")
     )
-    config = fx.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("universe_id"), F.col("n_name").alias("name"))
-    return sums.join(config, "universe_id").drop("universe_id")
+    config = fx.universes(spark, sf).select("universe_id", "min_size", "window_ms")
+    return sums.join(config, "universe_id")
 
 
 # ----------------------------------------------------------------- membership

@@ -136,15 +136,22 @@ def split_invalid(df: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame
     return df.filter(in_range(profile)), df.filter(~fits)
 
 
-def _bin_sums(df: DataFrame, keys: list[str], profile: Profile, own: bool) -> DataFrame:
+#: Axis under which events with a value off its axis are counted.
+QUARANTINE = "quarantine"
+
+
+def _bin_sums(df: DataFrame, keys: list[str], profile: Profile, own: bool, split: bool = False) -> DataFrame:
     """Per (keys, _axis, _bin): count ``_n``, main sum ``_s``; with ``own`` also ``_x`` and ``_q`` of the axis' attribute.
 
     One row per axis and event is exploded; the axis is a number, which keeps the
-    shuffled keys short.
+    shuffled keys short.  With ``split`` an event off some axis has one row, of axis -1.
     """
     axes = F.array(*[
         F.struct(F.lit(i).alias("axis"), b.index().alias("bin"), F.col(b.attr).alias("x")) for i, b in enumerate(profile.bins)
     ])
+    if split:
+        off = F.array(F.struct(F.lit(-1).alias("axis"), F.lit(None).cast("bigint").alias("bin"), F.lit(None).cast("bigint").alias("x")))
+        axes = F.when(F.coalesce(in_range(profile), F.lit(False)), axes).otherwise(off)
     rows = df.select(*keys, F.col(profile.main).alias("_m"), F.explode(axes).alias("_a"))
     x = F.col("_a.x")
     extra = [F.sum(x).alias("_x"), F.sum(x * x).alias("_q")] if own else []
@@ -154,10 +161,16 @@ def _bin_sums(df: DataFrame, keys: list[str], profile: Profile, own: bool) -> Da
 
 
 def bin_totals(df: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
-    """Per (keys, axis, bin): event count ``n`` and sum ``s`` of the main attribute."""
+    """Per (keys, axis, bin): event count ``n`` and sum ``s`` of the main attribute.
+
+    Events with a missing value or one off its axis are in no bin; they are counted as axis
+    ``quarantine`` (bin and sum null), in the same pass.
+    """
     names = F.array(*[F.lit(b.attr) for b in profile.bins])
-    return _bin_sums(df, keys, profile, False).select(
-        *keys, F.get(names, F.col("_axis")).alias("axis"), F.col("_bin").alias("bin"), F.col("_n").alias("n"), F.col("_s").alias("s")
+    off = F.col("_axis") < 0
+    return _bin_sums(df, keys, profile, False, split=True).select(
+        *keys, F.when(off, QUARANTINE).otherwise(F.get(names, F.col("_axis"))).alias("axis"), F.col("_bin").alias("bin"),
+        F.col("_n").alias("n"), F.when(~off, F.col("_s")).alias("s"),
     )
 
 

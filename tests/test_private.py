@@ -311,6 +311,15 @@ def test_quarantine(spark):
     assert good.count() == 3 and bad.count() == 3
 
 
+def test_bins_count_what_is_off_an_axis(spark):
+    cols = "u bigint, " + ", ".join(f"{a} bigint" for a in pf.POLAR.attrs)
+    ok = (100, 50, 10, 0, 5, 20)
+    rows = [(1, *ok), (1, *ok), (1, 220, *ok[1:]), (1, 100, None, *ok[2:]), (2, *ok[:-1], 41), (2, *ok)]
+    got = {(r.u, r.axis, r.bin): (r.n, r.s) for r in pf.bin_totals(spark.createDataFrame(rows, cols), ["u"], pf.POLAR).collect()}
+    assert got[1, pf.QUARANTINE, None] == (2, None) and got[2, pf.QUARANTINE, None] == (1, None)
+    assert got[1, "altitude", 15] == (2, 200) and got[2, "altitude", 15] == (1, 100) and len(got) == 14
+
+
 def test_value_off_its_axis_is_not_encoded(spark):
     cols = "u bigint, " + ", ".join(f"{a} bigint" for a in pf.POLAR.attrs)
     df = spark.createDataFrame([(1, 220, 50, 10, 0, 5, 20)], cols)
