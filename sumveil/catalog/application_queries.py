@@ -64,8 +64,13 @@ def _sql(view: str, rows: str, size: int, private: bool) -> str:
     FROM (WITH src AS ({kept}) {rows}) GROUP BY ALL HAVING sum(v) <> 0""")
 
 
+#: A mask group's id is its universe's, shifted by so many bits, and the cohort's number.
 GROUP_BITS = 32
-_UNIVERSE = F.shiftright("universe_id", GROUP_BITS)
+
+
+def _universe():
+    """Universe of a mask group."""
+    return F.shiftright("universe_id", GROUP_BITS)
 
 
 def _cohorts(events):
@@ -116,8 +121,8 @@ def private_lanes(events, lanes_of, fields: dict[str, int], bits: dict[str, int]
     in_time = cm.in_time(fx.commits(spans, size), size, DEADLINE)
     present = materialize(cm.committed(chain.complete_windows(spans, size), in_time), "committed")
     groups = materialize(release_vectors(lanes_of(_windowed(events, size)), present, fields, bits, size, sent, universe), "released-groups")
-    whole = rl.whole_universes(groups, present, _UNIVERSE)
-    rows = pf.rebuild_lanes(groups.withColumn("universe_id", _UNIVERSE), UW, fields)
+    whole = rl.whole_universes(groups, present, _universe())
+    rows = pf.rebuild_lanes(groups.withColumn("universe_id", _universe()), UW, fields)
     return rows.join(whole, UW, "left_semi").groupBy(*UW, "field", "lane").agg(F.sum("v").alias("v")).filter("v <> 0")
 
 
