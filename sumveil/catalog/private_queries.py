@@ -77,18 +77,23 @@ def heac_window_sum(spark, sf):
     return lanes_to_columns(v.select(*WINDOW, "v"), "v", LANES)
 
 
-_MISSING = f"NOT (ws = 1704844800000)"
+MISSING = f"NOT (ws = 1704844800000)"
 
 
-@query("A4 A5 K10", with_views(["csum"], f"SELECT universe_id, ws, s, q, n, producers FROM csum WHERE {_MISSING}"))
+def _sent_tokens(wkeys, present):
+    """Tokens of committed producers: one window lacks a token, some producers send twice."""
+    tokens = rl.plain_tokens(wkeys, L)
+    first = present.filter(F.col("ws") == 1704844800000).agg(F.min("producer_id")).scalar()
+    sent = tokens.filter(~((F.col("ws") == 1704844800000) & (F.col("producer_id") == first)))
+    return sent.unionByName(sent.filter(F.col("producer_id") % 50 == 4))
+
+
+@query("A4 A5 K10", with_views(["csum"], f"SELECT universe_id, ws, s, q, n, producers FROM csum WHERE {MISSING}"))
 def release(spark, sf):
     """All-or-nothing: one window lacks a token and stays shut, one producer sends twice."""
     events = fx.std(spark, sf)
     ciphers, wkeys, present, windows = _ciphers(events)
-    tokens = rl.plain_tokens(wkeys, L)
-    first = present.filter(F.col("ws") == 1704844800000).agg(F.min("producer_id")).scalar()
-    sent = tokens.filter(~((F.col("ws") == 1704844800000) & (F.col("producer_id") == first)))
-    sent = sent.unionByName(sent.filter(F.col("producer_id") % 50 == 4))
+    sent = _sent_tokens(wkeys, present)
     return _released(rl.release(ciphers, sent, L, expected=present))
 
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 
 def _matrix(column: pa.Array, width: int | None = None, dtype: str = "int64") -> np.ndarray:
@@ -228,6 +229,6 @@ def batch_sums(df: DataFrame, keys: list[str], vector: str, sign: str | None, n_
             )
 
     picked = df.select(*keys, vector, *([F.col(sign).cast("bigint").alias(sign)] if sign else []))
-    types = dict(df.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", `{vector}` array<bigint>"
-    return picked.mapInArrow(kernel, schema)
+    # Keys keep their fields, so an event time among them keeps its watermark.
+    fields = [df.schema[k] for k in keys]
+    return picked.mapInArrow(kernel, StructType([*fields, StructField(vector, ArrayType(LongType()))]))

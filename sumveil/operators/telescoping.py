@@ -29,6 +29,13 @@ def encrypt_stream(
     return rows.withColumn("c", combine(n_lanes, [F.col("_x"), gap])).drop("_x", "key")
 
 
+def encrypt_chained(rows: DataFrame, keys: DataFrame, n_lanes: int) -> DataFrame:
+    """Encrypt records that carry ``prev_ts`` and their vector ``x``, boundary records included."""
+    gap = key_difference(F.col("key"), F.col("ts_ms"), F.col("prev_ts"), n_lanes)
+    keyed = rows.join(keys, "producer_id").withColumn("c", combine(n_lanes, [F.col("x"), gap]))
+    return keyed.select(*WINDOW, "prev_ts", "ts_ms", "c")
+
+
 def decrypt(df: DataFrame, keys: DataFrame, cipher: str, start: Column, end: Column, n_lanes: int, out: str = "v") -> DataFrame:
     """Subtract F(end) - F(start) from a vector; for one event or a whole window."""
     keyed = df.withColumn("_start", start).withColumn("_end", end).join(keys, "producer_id")
