@@ -36,17 +36,19 @@ from .common import materialize, ship
 
 #: Share of a host's pages that a template class covers, and the fewest pages.
 SHARE, FEWEST = 0.5, 3
+#: A host's pages meet its template in so many parts, so no task reads a whole host.
+PARTS = 32
 #: A class of tags needs so many tokens.
 TOKENS = 3
 #: Share of a slot's characters in links above which it is navigation.
 LINKED = 0.5
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<raw>script|style|template|svg|iframe|noscript|object|canvas|title|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: A tag's rest. Quotes count after "=" only; possessive, so a page is read once from left to right.
+_REST = r"(?P<attrs>(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?|[\"'])*+)>"
+_TAG = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)" + _REST)
+#: Elements whose content is never text of the page.
+_RAW = {t: re.compile(rf"</{t}\s*+>", re.I) for t in "script style template svg iframe noscript object canvas title textarea".split()}
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
@@ -64,43 +66,124 @@ _NOISE_NAMES = frozenset(
     "related recommended share sharing social newsletter subscribe subscription signup login search skip".split()
 )
 _MAIN_NAMES = frozenset("article content entry main post story body text".split())
+#: What follows these in a compound name is a feature of the layout, not what the element holds.
+_MODIFIERS = frozenset("has with without no".split())
+#: Names that mark noise in any compound and however much text they hold.
+_CERTAIN_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr nav navbar navigation menu breadcrumb breadcrumbs footer comment comments disqus replies reply".split()
+)
+#: Share of a page's unlinked text from which an element with the page's headline is a wrapper, whatever its name.
+_WRAPPER = 0.5
 
 
 class _Open:
-    __slots__ = ("tag", "label", "noise", "main")
+    """An open element: ``marked`` by its tag or role; ``named``, the number of the innermost
+    element whose name marks it (-1: none); its path as a digest, so deep pages cost no more."""
+
+    __slots__ = ("tag", "path", "marked", "named", "main")
+
+    def __init__(self, tag, path, marked, named, main):
+        self.tag, self.path, self.marked, self.named, self.main = tag, path, marked, named, main
+
 
-    def __init__(self, tag, label, noise, main):
-        self.tag, self.label, self.noise, self.main = tag, label, noise, main
+def _names_noise(names: str) -> tuple[bool, bool]:
+    """Whether classes and ids mark noise, and whether they do so for certain."""
+    noise = certain = False
+    for name in names.split():
+        pieces = [p.lower() for p in _NAME.findall(name)]
+        pieces = pieces[: next((i for i, p in enumerate(pieces) if p in _MODIFIERS), len(pieces))]
+        sure = not _CERTAIN_NAMES.isdisjoint(pieces)
+        if pieces and pieces[-1] in ("main", "article") and not sure:
+            return False, False
+        noise |= not _NOISE_NAMES.isdisjoint(pieces) or "header" in pieces and _MAIN_NAMES.isdisjoint(_NAME.findall(names.lower()))
+        certain |= sure
+    return noise, certain
 
 
-def _opened(tag: str, attrs: str, above: _Open | None) -> _Open:
-    noise, main, label = above is not None and above.noise, above is not None and above.main, tag
+def _opened(tag: str, attrs: str, above: _Open | None, roots: list) -> _Open:
+    marked, main, label = above is not None and above.marked, above is not None and above.main, tag
+    named = above.named if above is not None else -1
     values = {}
-    if attrs.strip():
+    if attrs and not attrs.isspace():
         for name, value in _ATTR.findall(attrs):
             values.setdefault(name.lower(), value.strip("\"'"))
-    named = f"{values.get('class', '')} {values.get('id', '')}"
-    pieces = {p.lower() for p in _NAME.findall(named)}
+    names = f"{values.get('class', '')} {values.get('id', '')}"
+    pieces = {p.lower() for p in _NAME.findall(names)}
     if pieces:
         label = tag + "." + "-".join(sorted(pieces))
     role = values.get("role", "").lower()
-    if tag in ("article", "main") or role in ("main", "article"):
+    if tag == "main" or role == "main":
+        # The page's own word for its main part outweighs names and tags around it.
+        main, marked, named = True, False, -1
+    elif tag == "article" or role == "article":
         main = True
+    if pieces and tag not in ("html", "body", "article", "main"):
+        noise, certain = _names_noise(names)
+        if noise:
+            roots.append([certain, 0, False, named])
+            named = len(roots) - 1
     hidden = "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", values.get("style", ""), re.I)
-    by_name = bool(pieces & _NOISE_NAMES) and tag not in ("html", "body", "article", "main") or "header" in pieces and not pieces & _MAIN_NAMES and tag != "body"
-    if hidden or tag in _NOISE_TAGS or role in _NOISE_ROLES or by_name or (tag == "header" and not main):
-        noise = True
-    return _Open(tag, label, noise, main)
+    if hidden or tag in _NOISE_TAGS or role in _NOISE_ROLES or (tag == "header" and not main):
+        marked = True
+    path = hashlib.blake2b(f"{above.path if above is not None else ''}/{label}".encode(errors="surrogatepass"), digest_size=12).hexdigest()
+    return _Open(tag, path, marked, named, main)
+
+
+def _pieces(html: str):
+    """(text before, closing, tag, attributes) of every tag, one pass; the last has no tag.
+
+    Comments and raw elements are left out.  What begins like a tag and never ends is no
+    text, as in browsers.
+    """
+    at = start = 0
+    parts: list[str] = []
+    while (at := html.find("<", at)) >= 0:
+        following = html[at + 1 : at + 2]
+        if following in ("!", "?") or following == "/" and not html[at + 2 : at + 3].isalpha():
+            comment = html.startswith("<!--", at)
+            end = html.find("-->" if comment else ">", at + 2)
+            parts.append(html[start:at])
+            at = start = len(html) if end < 0 else end + (3 if comment else 1)
+            continue
+        if not (following.isascii() and following.isalpha() or following == "/"):
+            at += 1
+            continue
+        m = _TAG.match(html, at)
+        parts.append(html[start:at])
+        if m is None:
+            if following != "/" or html[at + 2 : at + 3].isascii():
+                start = len(html)
+                break
+            parts.append("<")  # not a tag name
+            at = start = at + 1
+            continue
+        at = start = m.end()
+        tag = m["tag"].lower()
+        if tag in _RAW and not m["close"]:
+            if not m["attrs"].endswith("/") or tag != "svg":
+                end = _RAW[tag].search(html, at)
+                at = start = len(html) if end is None else end.end()
+            continue
+        yield "".join(parts), m["close"], tag, m["attrs"]
+        parts.clear()
+    parts.append(html[start:])
+    yield "".join(parts), "", "", ""
 
 
 def parse(html: str) -> tuple[list[str], list[tuple[str, str, int, bool, bool]]]:
     """(paths of opening block tags in order, blocks): a block is (path, text, characters in
-    links, marked as noise, inside the main element)."""
+    links, marked as noise, inside the main element).
+
+    Names mark an element as noise, but not one that holds the headline and half of the
+    page's unlinked text, unless the name is certain.
+    """
     stack: list[_Open] = []
+    opened: Counter = Counter()
     tags: list[str] = []
-    blocks: list[tuple[str, str, int, bool, bool]] = []
+    blocks: list[tuple] = []
+    roots: list[list] = []
     parts: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, link, direct = 0, -1, False  # depth of the open link, and whether it holds text of its own
 
     def flush():
         nonlocal linked
@@ -108,47 +191,59 @@ def parse(html: str) -> tuple[list[str], list[tuple[str, str, int, bool, bool]]]
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 top = stack[-1] if stack else None
-                blocks.append(("/".join(x.label for x in stack), text, min(linked, len(text)), top is not None and top.noise, top is not None and top.main))
+                n = min(linked, len(text))
+                if top is None:
+                    blocks.append(("", text, n, False, -1, False))
+                else:
+                    blocks.append((top.path, text, n, top.marked, top.named, top.main))
+                    if top.named >= 0:
+                        roots[top.named][1] += len(text) - n
+                        roots[top.named][2] |= top.tag == "h1"
             parts.clear()
         linked = 0
 
-    def add(text: str):
-        nonlocal linked
+    for text, close, tag, attrs in _pieces(html):
         if text:
             parts.append(text)
-            if in_link:
+            if link >= 0:
                 linked += len(text)
-
-    for m in _MARKUP.finditer(html):
-        add(html[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
+                direct |= link == len(stack) and not text.isspace()
         if tag == "br":
             flush()
         elif tag == "a":
-            in_link = 0 if m["close"] else 1
+            link, direct = -1 if close or "href" not in attrs.lower() else len(stack), False
         elif tag not in _BLOCKS:
             continue
-        elif m["close"]:
+        elif close:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
+            while opened[tag]:
+                last = stack.pop().tag
+                opened[last] -= 1
+                if last == tag:
                     break
         else:
             flush()
+            if link == len(stack) and direct:
+                link = -1  # a link with text of its own was never closed
             if stack and (stack[-1].tag in _CLOSES.get(tag, ()) or stack[-1].tag == "p" and tag in _ENDS_P):
-                stack.pop()
-            now = _opened(tag, m["attrs"], stack[-1] if stack else None)
+                opened[stack.pop().tag] -= 1
+            now = _opened(tag, attrs, stack[-1] if stack else None, roots)
             if tag not in _VOID:
                 stack.append(now)
-                tags.append("/".join(x.label for x in stack))
-    add(html[at:])
+                opened[tag] += 1
+                tags.append(now.path)
+        if link > len(stack):
+            link = -1  # nor does a link outlast the block it is in
     flush()
-    return tags, blocks
+    total = sum(len(text) - n for _, text, n, _, _, _ in blocks)
+    for _, n, headline, above in reversed(roots):  # an element comes after those around it
+        if above >= 0:
+            roots[above][1] += n
+            roots[above][2] |= headline
+    noisy: list[bool] = []
+    for certain, n, headline, above in roots:
+        noisy.append(certain or not headline or n <= _WRAPPER * total or above >= 0 and noisy[above])
+    return tags, [(path, text, n, marked or named >= 0 and noisy[named], main) for path, text, n, marked, named, main in blocks]
 
 
 def _hash(*parts) -> int:
@@ -253,8 +348,10 @@ def text_of(html: str, constants=frozenset(), links=frozenset()) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text (empty if there is none) and n_chars."""
-    model = templates(pages).withColumnRenamed("host", "_host")
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(model, F.col("host") == F.col("_host"), "left")
+    part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    model = templates(pages).select(F.col("host").alias("_host"), "constants", "links", part.alias("_part"))
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).alias("part"))
+    rows = rows.join(model, (F.col("host") == F.col("_host")) & (F.col("part") == F.col("_part")), "left")
 
     def run(batches):
         known: dict = {}

@@ -58,3 +58,83 @@ def test_broken_markup():
     assert te.text_of("a < b <p title='x > y'>c</p></div></p> d & e &amp f") == "a < b\nc\nd & e & f"
     assert te.text_of("<ul><li>one<li>two</ul><table><tr><td>x<td>y</table>") == "one\ntwo\nx\ny"
     assert te.text_of("<script>if (a < b) '<p>'</script><p>x") == "x"
+
+
+def test_names_do_not_drop_the_article():
+    for name in ('class="content-with-comments"', 'class="has-sidebar content"', 'id="search-results-main"', "class=no-header"):
+        assert te.text_of(f"<div {name}><p>x y</p></div>") == "x y"
+    # A wrapper with the headline and most of the text; certain names stay noise.
+    wrapped = '<div class="{}"><h1>H</h1><p>long text here</p><div class="sidebar"><p>no</p></div></div><div class="promo"><p>buy</p></div>'
+    assert te.text_of(wrapped.format("layout-sidebar-right")) == "H\nlong text here"
+    assert te.text_of(wrapped.format("comments")) == te.text_of(wrapped.format("main-nav")) == ""
+    assert te.text_of('<div class="page-header"><h1>Site</h1></div><div><p>a longer text</p></div>') == "a longer text"
+    assert te.text_of("<form class=search><main><p>in</p></main><p>out</p></form>") == "in"
+
+
+def test_links_end_with_their_block():
+    assert te.text_of("<h1>T</h1><p>see <a href=x>here</p><p>Second</p>") == "T\nsee here\nSecond"
+    assert te.text_of("<div><a href=x>top<p>One</p><p>Two</p></div><div>Three</div>") == "One\nTwo\nThree"
+    assert te.text_of("<div><a href=x><h3>t</h3><p>s</p></a></div><p>own</p>") == "own"
+    assert te.text_of("<a name=top><p>one</p>") == "one"
+
+
+def test_quotes_in_tags():
+    assert te.text_of("<p data-x=it's>Hello</p><p>second don't</p>") == "Hello\nsecond don't"
+    assert te.text_of('<p title="5" tall">x</p>') == "x"
+    assert te.text_of('<p x="unclosed>Text</p><p>more</p>') == "Text\nmore"
+    assert te.text_of("<p>a</p><p>b <b") == "a\nb"
+    assert te.text_of("<p>1 <2 and 3> 2 </é> </> x</p><svg/><p>y") == "1 <2 and 3> 2 </é> x\ny"
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for piece in ("<a ", '<x "', "<!", "</", '<a x="', "<a href='", "<script ", "<!--", "<div>", '<div class="sidebar">', "<p><div>", "<div></p>"):
+        te.text_of(piece * (300_000 // len(piece)))
+    assert time.perf_counter() - start < 12
+
+
+def brute_force(rows):
+    """host -> (texts of valid classes, slots of links), from whole occurrence vectors."""
+    hosts = {}
+    for url, html in rows:
+        tags, blocks = te.parse(html)
+        pages = hosts.setdefault(url.split("/")[2], {})
+        pages.setdefault(tuple(b[1] for b in blocks if not b[3]), []).append((url, tags, blocks))
+    out = {}
+    for host, articles in hosts.items():
+        n, vectors, slots = len(articles), {}, {}
+        if n < te.FEWEST:
+            continue
+        for i, copies in enumerate(articles.values()):
+            _, tags, blocks = copies[0]
+            for token in [("tag", t) for t in tags] + [("text", b[0], b[1]) for b in blocks]:
+                vectors.setdefault(token, [0] * n)[i] += 1
+            for path, text, linked, _, _ in blocks:
+                entry = slots.setdefault(path, [set(), 0, 0])
+                entry[0].add(i)
+                entry[1] += len(text)
+                entry[2] += linked
+        wide = lambda pages: pages >= max(te.FEWEST, te.SHARE * n)
+        classes = {}
+        for token, vector in vectors.items():
+            if wide(sum(map(bool, vector))):
+                classes.setdefault(tuple(vector), []).append(token)
+        valid = [c for c in classes.values() if len(c) >= te.TOKENS and sum(t[0] == "tag" for t in c) >= te.TOKENS - 1]
+        constants = {te._hash(*t[1:]) for c in valid for t in c if t[0] == "text"}
+        links = {te._hash("slot", p) for p, (pages, chars, linked) in slots.items() if wide(len(pages)) and linked > te.LINKED * chars}
+        if constants or links:
+            out[host] = constants, links
+    return out
+
+
+def test_templates_equal_brute_force(spark):
+    """Whole vectors gathered in plain Python, on made hosts and on the given pages."""
+    rows = [(f"http://h{i % 3}/p{i}", page(i, f"<h1>Title {i % 7}</h1><p>Body {i % 7}</p>" + "<p>Shared</p>" * (i % 2))) for i in range(40)]
+    # Copies differ in their markup here only where they are equal as articles, so any copy may stand for them.
+    rows = [(u, h) for i, (u, h) in enumerate(rows) if i < 14]
+    rows += [(r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("url", "html").collect()]
+    docs = spark.createDataFrame([(i, u, h, "", 1, "", "") for i, (u, h) in enumerate(rows)], SCHEMA)
+    got = {r.host: (set(r.constants or ()), set(r.links or ())) for r in te.templates(docs).collect()}
+    assert got == brute_force(rows)
