@@ -3,7 +3,10 @@
 State is kept per universe.  Records reach it as summaries: values, commits and
 tokens are first made unique per (universe, producer, window), spread over all
 producers, and then combined inside each task, so a state key receives a few rows
-per task and trigger, however many records its universe has.
+per task and trigger, however many records its universe has.  Windows are state entries
+of their own.  A window changes only when a fact reaches it or stream time passes its
+end, its grace or its retention; times passed between two triggers belong to ranges of
+starts, so a trigger reads the windows it touches and those due, never all open ones.
 """
 
 from __future__ import annotations
@@ -72,6 +75,8 @@ class Lifecycle(StatefulProcessor):
         self.handle = handle
         self.windows = handle.getMapState("windows", "ws bigint", WINDOW_STATE)
         self.clock = handle.getValueState("clock", "stream_time bigint, newest bigint")
+        # Staged windows by the time their commit phase ends: first and last start.
+        self.staged = handle.getMapState("staged", "due bigint", "lo bigint, hi bigint")
 
     def _target(self, start, w, now, wall):
         end = start + self.size_ms
@@ -83,16 +88,34 @@ class Lifecycle(StatefulProcessor):
             return 3 if 0 < commits == expected else 2
         return 5 if 0 < commits == tokens else 4
 
+    def _find(self, windows, start):
+        """The window's entry, read once per trigger; None if it is finished or not there yet."""
+        if start not in windows:
+            windows[start] = list(self.windows.getValue((start,))) if self.windows.containsKey((start,)) else None
+        return windows[start]
+
+    def _due(self, before, now, phase):
+        """Starts of the windows whose end, grace or retention lies in (before, now]."""
+        for offset in (self.size_ms, self.size_ms + self.grace_ms, self.size_ms + self.grace_ms + self.retention_ms):
+            low = before - offset + 1
+            yield from range(low + (phase - low) % self.size_ms, now - offset + 1, self.size_ms)
+
+    def _stage(self, start, wall):
+        due = wall + self.deadline_ms
+        lo, hi = self.staged.getValue((due,)) if self.staged.containsKey((due,)) else (start, start)
+        self.staged.updateValue((due,), (min(lo, start), max(hi, start)))
+        self.handle.registerTimer(due)
+        return due
+
     def _advance(self, key, windows, now, newest, wall):
         out = []
-        for start in sorted(windows):
+        for start in sorted(s for s, w in windows.items() if w is not None):
             w = windows[start]
             if newest is None or start > newest:  # facts came before the window opened
                 self.windows.updateValue((start,), tuple(w))
                 continue
             if self.deadline_ms is not None and now >= start + self.size_ms and w[4] == _NEVER:
-                w[4] = wall + self.deadline_ms
-                self.handle.registerTimer(w[4])
+                w[4] = self._stage(start, wall)
             target = self._target(start, w, now, wall)
             for status in range(w[0] + 1, target + 1):
                 if status != 3 or w[2] > 0:
@@ -105,15 +128,12 @@ class Lifecycle(StatefulProcessor):
                 self.windows.updateValue((start,), tuple(w))
         return out
 
-    def _load(self):
-        now, newest = self.clock.get() if self.clock.exists() else (None, None)
-        return now, newest, {k[0]: list(v) for k, v in self.windows.iterator()}
-
     def _wall(self, timerValues):
         return timerValues.getCurrentProcessingTimeInMs() if self.deadline_ms is not None else 0
 
     def handleInputRows(self, key, rows, timerValues):
-        now, newest, windows = self._load()
+        now, newest = self.clock.get() if self.clock.exists() else (None, None)
+        windows: dict = {}
         seen, lowest, highest, before = newest, None, newest, now
         for pdf in rows:
             for kind, ws, n, max_ts in zip(pdf["kind"], pdf["ws"].tolist(), pdf["n"].tolist(), pdf["max_ts"].tolist()):
@@ -122,27 +142,43 @@ class Lifecycle(StatefulProcessor):
                     lowest = ws if lowest is None else min(lowest, ws)
                     highest = ws if highest is None else max(highest, ws)
                     continue
-                if seen is not None and ws <= seen and ws not in windows:
+                w = self._find(windows, ws)
+                if seen is not None and ws <= seen and w is None:
                     continue  # the window is finished
                 late = before is not None and before >= ws + self.size_ms + self.grace_ms
                 if late and self.deadline_ms is None and kind != "token":
                     continue  # grace was over before this trigger
-                w = windows.setdefault(ws, [0, 0, 0, 0, _NEVER])
+                if w is None:
+                    w = windows[ws] = [0, 0, 0, 0, _NEVER]
                 if kind == "commit" and self.deadline_ms is not None and w[0] >= 3:
                     continue  # the committed sum is frozen
                 w[_SLOT[kind]] += n
         if highest is not None:
-            start = lowest if seen is None else seen + self.size_ms
-            for ws in range(start, highest + 1, self.size_ms):
-                windows.setdefault(ws, [0, 0, 0, 0, _NEVER])
+            for ws in range(lowest if seen is None else seen + self.size_ms, highest + 1, self.size_ms):
+                if self._find(windows, ws) is None:
+                    windows[ws] = [0, 0, 0, 0, _NEVER]
+            if before is None:  # the first clock: facts may have come for any window
+                for (ws,), w in self.windows.iterator():
+                    if windows.get(ws) is None:
+                        windows[ws] = list(w)
+            else:
+                for ws in self._due(before, now, highest % self.size_ms):
+                    self._find(windows, ws)
             self.clock.update((now, highest))
         out = self._advance(key, windows, now, highest, self._wall(timerValues))
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now, newest, windows = self._load()
-        out = self._advance(key, windows, now, newest, max(self._wall(timerValues), expiredTimerInfo.getExpiryTimeInMs()))
+        now, newest = self.clock.get()
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        windows: dict = {}
+        if self.staged.containsKey((due,)):
+            lo, hi = self.staged.getValue((due,))
+            self.staged.removeKey((due,))
+            for start in range(lo, hi + 1, self.size_ms):
+                self._find(windows, start)
+        out = self._advance(key, windows, now, newest, max(self._wall(timerValues), due))
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields])
 

@@ -2,6 +2,7 @@ import os
 import tempfile
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sumveil.functions import encodings as enc
@@ -126,3 +127,67 @@ def test_malformed_lines_are_kept_apart(spark):
     good, bad = rec.read_trace_lines(spark, folder)
     assert {r.timestamp for r in good.collect()} == {1, 4}
     assert {r.line for r in bad.collect()} == {lines[1], lines[2]}
+
+
+class CountedMap:
+    """Map state in memory that counts the entries it hands out."""
+
+    def __init__(self):
+        self.rows, self.reads = {}, 0
+
+    def containsKey(self, key):
+        return key in self.rows
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.rows[key]
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+    def iterator(self):
+        self.reads += len(self.rows)
+        return iter(list(self.rows.items()))
+
+
+class OneValue:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class Handle:
+    def getMapState(self, name, *schema):
+        return CountedMap()
+
+    def getValueState(self, name, *schema):
+        return OneValue()
+
+
+def test_a_trigger_reads_touched_and_due_windows_only():
+    processor = lc.Lifecycle()
+    processor.size_ms, processor.grace_ms, processor.retention_ms = 1000, 500, 10**12
+    processor.init(Handle())
+    send = lambda *rows: [
+        tuple(r) for out in processor.handleInputRows((1,), [pd.DataFrame(rows, columns=["kind", "ws", "n", "max_ts"])], None) for r in out.values.tolist()
+    ]
+    n = 200_000
+    send(("clock", 0, 1, 10))
+    send(("value", 5000, 2, 5000), ("clock", 1000 * n, 1, 1000 * n + 10))  # all windows before stay unfinished: no commits
+    assert len(processor.windows.rows) == n + 1
+    processor.windows.reads = 0
+    # One more window opens, one ends, two pass their grace, and a late token touches one.
+    got = send(("token", 7000, 1, 7000), ("clock", 1000 * (n + 1), 1, 1000 * (n + 1) + 600))
+    assert processor.windows.reads <= 8
+    assert got == [(1, 1000 * (n - 1), 4, 0, 0), (1, 1000 * n, 2, 0, 0), (1, 1000 * n, 4, 0, 0), (1, 1000 * (n + 1), 1, 0, 0)]
+    assert processor.windows.rows[(7000,)][3] == 1
