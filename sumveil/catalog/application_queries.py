@@ -26,7 +26,7 @@ def _lane_rows(profile: pf.Profile) -> str:
     parts = []
     head = "SELECT universe_id, producer_id, ws"
     for b in profile.bins:
-        idx = f'"{b.attr}" // {b.step} - ({b.low})' if b.step > 1 else f'"{b.attr}" - ({b.low})'
+        idx = _index(b)
         for field, v in ((b.hist, "1"), (b.grouped, f'"{profile.main}"')):
             if field:
                 parts.append(f"{head}, '{field}' AS field, {idx} AS lane, {v} AS v FROM src")
@@ -37,6 +37,17 @@ def _lane_rows(profile: pf.Profile) -> str:
     return " UNION ALL ".join(parts)
 
 
+def _index(b: pf.Bins) -> str:
+    return f'"{b.attr}" // {b.step} - ({b.low})' if b.step > 1 else f'"{b.attr}" - ({b.low})'
+
+
+def _on_axes(profile: pf.Profile) -> str:
+    return "coalesce(" + " AND ".join(f"{_index(b)} BETWEEN 0 AND {b.n - 1}" for b in profile.bins) + ", false)"
+
+
+_WEB_ON_AXES = "coalesce(start BETWEEN 0 AND 2 AND page BETWEEN 0 AND 99 AND x BETWEEN 0 AND 19 AND gy BETWEEN 0 AND 10, false)"
+
+
 def _web_rows() -> str:
     head = "SELECT universe_id, producer_id, ws"
     parts = [
@@ -52,16 +63,17 @@ def _web_rows() -> str:
     return " UNION ALL ".join(parts)
 
 
-def _sql(view: str, rows: str, size: int, private: bool) -> str:
+def _sql(view: str, rows: str, good: str, size: int, private: bool) -> str:
     kept = f"SELECT *, {ws('ts_ms', size)} AS ws FROM {view}"
     if private:
         kept = f"""SELECT * FROM (SELECT *, max(ws) OVER (PARTITION BY universe_id, producer_id) AS last_ws,
                           max(ts_ms) OVER (PARTITION BY universe_id, producer_id, ws) AS last_ts FROM ({kept}))
                    WHERE (ws < last_ws OR last_ts = ws + {size} - 1)
                      AND NOT (producer_id % 10 = 7 AND (ws // {size}) % 2 = 0) AND 1000 * (producer_id % 8) <= {DEADLINE}"""
+    off = "" if private else f" UNION ALL SELECT universe_id, producer_id, ws, '{pf.QUARANTINE}', 0, 1 FROM kept WHERE NOT {good}"
     return with_views([view], f"""
     SELECT universe_id, ws, field, lane::BIGINT AS lane, sum(v)::BIGINT AS v
-    FROM (WITH src AS ({kept}) {rows}) GROUP BY ALL HAVING sum(v) <> 0""")
+    FROM (WITH kept AS ({kept}), src AS (SELECT * FROM kept WHERE {good}) {rows}{off}) GROUP BY ALL HAVING sum(v) <> 0""")
 
 
 #: A mask group's id is its universe's, shifted by so many bits, and the cohort's number.
@@ -130,31 +142,31 @@ def _windowed(df, size):
     return chain.with_window(df, size)
 
 
-@query("P2 A2 E15", _sql("polar", _lane_rows(pf.POLAR), YEAR, False))
+@query("P2 A2 E15", _sql("polar", _lane_rows(pf.POLAR), _on_axes(pf.POLAR), YEAR, False))
 def plain_polar(spark, sf):
     return pf.lane_totals(_windowed(fx.polar(spark, sf), YEAR), UW, pf.POLAR)
 
 
-@query("P3 A2 E15", _sql("car", _lane_rows(pf.CAR), YEAR, False))
+@query("P3 A2 E15", _sql("car", _lane_rows(pf.CAR), _on_axes(pf.CAR), YEAR, False))
 def plain_car(spark, sf):
     return pf.lane_totals(_windowed(fx.car(spark, sf), YEAR), UW, pf.CAR).filter("v <> 0")
 
 
-@query("P4 A2 E15", _sql("web", _web_rows(), DAY, False))
+@query("P4 A2 E15", _sql("web", _web_rows(), _WEB_ON_AXES, DAY, False))
 def plain_web(spark, sf):
     return pf.web_lane_totals(_windowed(fx.web(spark, sf), DAY), UW)
 
 
-@query("P2 J1 K3 K4 K6 A4", _sql("polar", _lane_rows(pf.POLAR), YEAR, True))
+@query("P2 J1 K3 K4 K6 A4", _sql("polar", _lane_rows(pf.POLAR), _on_axes(pf.POLAR), YEAR, True))
 def private_polar(spark, sf):
     return private_lanes(fx.polar(spark, sf), lambda e: pf.fine_lane_totals(e, WINDOW, pf.POLAR), pf.POLAR.fields, pf.POLAR.bits, YEAR)
 
 
-@query("P3 J1 K3 K4 K6 A4", _sql("car", _lane_rows(pf.CAR), YEAR, True))
+@query("P3 J1 K3 K4 K6 A4", _sql("car", _lane_rows(pf.CAR), _on_axes(pf.CAR), YEAR, True))
 def private_car(spark, sf):
     return private_lanes(fx.car(spark, sf), lambda e: pf.fine_lane_totals(e, WINDOW, pf.CAR), pf.CAR.fields, pf.CAR.bits, YEAR)
 
 
-@query("P4 J1 K3 K4 K6 A4", _sql("web", _web_rows(), DAY, True))
+@query("P4 J1 K3 K4 K6 A4", _sql("web", _web_rows(), _WEB_ON_AXES, DAY, True))
 def private_web(spark, sf):
-    return private_lanes(fx.web(spark, sf), lambda e: pf.web_position_totals(e, WINDOW), pf.WEB_FIELDS, pf.WEB_BITS, DAY)
+    return private_lanes(fx.web(spark, sf), lambda e: pf.in_vector(pf.web_position_totals(e, WINDOW), pf.WEB_FIELDS), pf.WEB_FIELDS, pf.WEB_BITS, DAY)

@@ -171,7 +171,7 @@ _YEAR = 360 * DAY_MS
 def digest_flatten(spark, sf):
     """Polar sums as a dense flat vector and back to lanes."""
     lanes = pf.lane_totals(with_window(fx.polar(spark, sf), _YEAR), UW, pf.POLAR)
-    flat = pf.flatten_lanes(lanes, pf.POLAR.fields)
+    flat = pf.flatten_lanes(lanes.filter(F.col("field") != pf.QUARANTINE), pf.POLAR.fields)
     back = pf.rebuild_lanes(pf.dense_vectors(flat, UW, pf.POLAR.fields), UW, pf.POLAR.fields)
     return pf.flatten_lanes(back, pf.POLAR.fields)
 

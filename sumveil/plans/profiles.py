@@ -200,7 +200,7 @@ def _slot(offset: int, lane, v: Column) -> Column:
 def _bin_slots(profile: Profile, own: bool) -> Column:
     """What a row of :func:`_bin_sums` adds to the flat vector."""
     at = offsets(profile.fields)
-    slots = F.lit(None)
+    slots = F.array(_slot(n_lanes(profile.fields), 0, F.col("_n")))
     for i, b in enumerate(profile.bins):
         out = [_slot(at[f], _lane(F.col("_bin"), b.n), F.col(v)) for f, v in ((b.hist, "_n"), (b.grouped, "_s")) if f]
         if own:
@@ -217,13 +217,14 @@ def lane_totals(df: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
 
     One pass over the events: per (keys, axis, bin) it sums the count, the main
     attribute, the axis' own attribute and its square.  All fields follow from that
-    reduced table; base fields by adding up the bins of their axis.
+    reduced table; base fields by adding up the bins of their axis.  Events off an axis
+    are in none of them but in the field ``quarantine``, which counts them.
     """
     if not profile.bins:
-        return name_lanes(fine_lane_totals(df, keys, profile), profile.fields)
-    slots = _bin_sums(df, keys, profile, True).select(*keys, _bin_slots(profile, True).alias("_l"))
+        return name_lanes(fine_lane_totals(df, keys, profile).filter("v <> 0"), profile.fields)
+    slots = _bin_sums(df, keys, profile, True, split=True).select(*keys, _bin_slots(profile, True).alias("_l"))
     sums = slots.groupBy(*keys, "_l.pos").agg(F.sum("_l.v").alias("v")).filter("v <> 0")
-    return name_lanes(sums, profile.fields)
+    return name_lanes(sums, profile.fields | {QUARANTINE: 1})
 
 
 def fine_lane_totals(df: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
@@ -231,17 +232,24 @@ def fine_lane_totals(df: DataFrame, keys: list[str], profile: Profile) -> DataFr
 
     There a bin rarely holds more than one event, so adding up bins would shuffle
     about as much as the events; base fields come from a second, unexploded pass.
+    Events off an axis are left out; a key that has no others keeps its count of 0, so
+    that its producer still sends a vector.
     """
     at = offsets(profile.fields)
-    wide = [F.count("*").alias("_n")]
+    if profile.bins:
+        df = df.withColumn("_fits", F.coalesce(in_range(profile), F.lit(False)))
+        total = lambda v: F.coalesce(F.sum(F.when(F.col("_fits"), v)), F.lit(0).cast("bigint"))
+    else:
+        total = F.sum
+    wide = [total(F.lit(1).cast("bigint")).alias("_n")]
     slots = [_slot(at["count"], 0, F.col("_n"))]
     for a in profile.attrs:
-        wide += [F.sum(a).alias(f"_s_{a}"), F.sum(F.col(a) * F.col(a)).alias(f"_q_{a}")]
+        wide += [total(F.col(a)).alias(f"_s_{a}"), total(F.col(a) * F.col(a)).alias(f"_q_{a}")]
         slots += [_slot(at[f"{a}Base"], 0, F.col(f"_s_{a}")), _slot(at[f"{a}Base"], 1, F.col(f"_q_{a}"))]
     both = df.groupBy(*keys).agg(*wide).select(*keys, F.explode(F.array(*slots)).alias("_l"))
     if profile.bins:
-        both = both.unionByName(_bin_sums(df, keys, profile, False).select(*keys, _bin_slots(profile, False).alias("_l")))
-    return both.select(*keys, "_l.pos", "_l.v").filter("v <> 0")
+        both = both.unionByName(_bin_sums(df.filter("_fits"), keys, profile, False).select(*keys, _bin_slots(profile, False).alias("_l")))
+    return both.select(*keys, "_l.pos", "_l.v").filter((F.col("v") != 0) | (F.col("pos") == at["count"]))
 
 
 # A layout is the ordered fields of a vector with their numbers of lanes.
@@ -365,7 +373,9 @@ def web_position_totals(df: DataFrame, keys: list[str]) -> DataFrame:
     """All sums of web events as (keys, pos, v), in one pass.
 
     Every map entry of an event adds to positions of the flat vector, and all go
-    through one partially aggregated sum with a number as its key.
+    through one partially aggregated sum with a number as its key.  An event with a key
+    off its axis adds to one position behind the vector, and 0 to the count, so that
+    its producer still sends a vector.
     """
     at = offsets(WEB_FIELDS)
     slot = lambda pos, v: F.struct(pos.cast("bigint").alias("pos"), v.cast("bigint").alias("v"))
@@ -389,13 +399,20 @@ def web_position_totals(df: DataFrame, keys: list[str]) -> DataFrame:
     lists += [each(t, by_page(t + suffix, v)) for t in WEB_TIMINGS for suffix, v in amount.items()]
     lists += [each("pageUserFlow", flow), each("clickGrid", by_cell("ClickGrid")), each("hoverGrid", by_cell("HoverGrid"))]
     lists.append(F.array(slot(F.lit(at["count"]), F.lit(1))))
-    rows = df.select(*keys, F.explode(F.concat(*lists)).alias("_l"))
-    return rows.groupBy(*keys, "_l.pos").agg(F.sum("_l.v").alias("v")).filter("v <> 0")
+    off = F.array(slot(F.lit(n_lanes(WEB_FIELDS)), F.lit(1)), slot(F.lit(at["count"]), F.lit(0)))
+    rows = df.select(*keys, F.explode(F.when(web_in_range(), F.concat(*lists)).otherwise(off)).alias("_l"))
+    sums = rows.groupBy(*keys, "_l.pos").agg(F.sum("_l.v").alias("v"))
+    return sums.filter((F.col("v") != 0) | (F.col("pos") == at["count"]))
 
 
 def web_lane_totals(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Long lane table (keys, field, lane, v) of all sums of web events."""
-    return name_lanes(web_position_totals(df, keys), WEB_FIELDS)
+    """Long lane table (keys, field, lane, v) of all sums of web events, with the field ``quarantine``."""
+    return name_lanes(web_position_totals(df, keys).filter("v <> 0"), WEB_FIELDS | {QUARANTINE: 1})
+
+
+def in_vector(rows: DataFrame, fields: dict[str, int]) -> DataFrame:
+    """Rows (keys, pos, v) without those behind the vector."""
+    return rows.filter(F.col("pos") < n_lanes(fields))
 
 
 def web_in_range() -> Column:

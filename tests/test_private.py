@@ -320,8 +320,32 @@ def test_bins_count_what_is_off_an_axis(spark):
     assert got[1, "altitude", 15] == (2, 200) and got[2, "altitude", 15] == (1, 100) and len(got) == 14
 
 
-def test_value_off_its_axis_is_not_encoded(spark):
-    cols = "u bigint, " + ", ".join(f"{a} bigint" for a in pf.POLAR.attrs)
-    df = spark.createDataFrame([(1, 220, 50, 10, 0, 5, 20)], cols)
-    with pytest.raises(Exception, match="off its axis"):
-        pf.lane_totals(df, ["u"], pf.POLAR).collect()
+def test_value_off_its_axis_is_counted_not_encoded(spark):
+    from sumveil.catalog import application_queries as aq
+
+    cols = "universe_id bigint, producer_id bigint, ts_ms bigint, ws bigint, " + ", ".join(f"{a} bigint" for a in pf.POLAR.attrs)
+    ok, off, lacking = (100, 50, 10, 0, 5, 20), (220, 50, 10, 0, 5, 20), (100, None, 10, 0, 5, 20)
+    rows = [(0, 1, 5, 0, *ok), (0, 1, 6, 0, *off), (0, 2, 5, 0, *lacking), (0, 1, 1005, 1000, *ok), (0, 2, 1006, 1000, *ok)]
+    events = spark.createDataFrame(rows, cols)
+    named = lambda df: {(r.ws, r.field, r.lane): r.v for r in df.collect()}
+    got = named(pf.lane_totals(events, ["ws"], pf.POLAR))
+    good = named(pf.lane_totals(events.filter("ts_ms <> 6 and altitude is not null"), ["ws"], pf.POLAR))
+    assert got == good | {(0, pf.QUARANTINE, 0): 2}
+    # Producer 2 has nothing to encode in window 0 and still sends zeros, so the window is released.
+    lanes = lambda e: pf.fine_lane_totals(e, ["universe_id", "producer_id", "ws"], pf.POLAR)
+    private = named(aq.private_lanes(events.drop("ws"), lanes, pf.POLAR.fields, pf.POLAR.bits, 1000, universe=0))
+    assert private == {k: v for k, v in good.items() if k[0] == 0}
+
+
+def test_web_key_off_its_axis_is_counted_not_encoded(spark):
+    one = "map({}, 1)"
+    names = ["pageExit", "pageView", *pf.WEB_TIMINGS]
+    event = lambda ts, page, cell: ", ".join([str(ts)] + [one.format(f"'{page}'")] * len(names) + [one.format(f"'0_{page}'")] + [one.format(f"'{cell}'")] * 2)
+    cols = ", ".join(["u", *names, "pageUserFlow", "clickGrid", "hoverGrid"])
+    frame = lambda *events: spark.sql(f"SELECT * FROM VALUES {', '.join(f'({e})' for e in events)} AS t({cols})")
+    named = lambda df: {(r.u, r.field, r.lane): r.v for r in df.collect()}
+    fine = event(1, 99, "0_19_10")
+    got = named(pf.web_lane_totals(frame(fine, event(1, 100, "0_19_10"), event(2, 5, "0_20_1"), event(2, 5, "x")), ["u"]))
+    assert got == named(pf.web_lane_totals(frame(fine), ["u"])) | {(1, pf.QUARANTINE, 0): 1, (2, pf.QUARANTINE, 0): 2}
+    left = pf.in_vector(pf.web_position_totals(frame(event(2, 5, "x")), ["u"]), pf.WEB_FIELDS).collect()
+    assert [(r.pos, r.v) for r in left] == [(pf.offsets(pf.WEB_FIELDS)["count"], 0)]
