@@ -20,6 +20,8 @@ Null labels, null, empty or zero vectors and vectors with null, infinite or unde
 parts link with nothing: 0 links, their own component.  Vectors of different lengths are
 not compared.  Rows with equal ids and null ids are rows like any other; a component's
 id is its smallest id that is not null.  An empty table gives no row.
+Only vec_id,
+label and embedding are read; other columns may have any names.
 """
 
 from __future__ import annotations

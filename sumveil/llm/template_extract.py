@@ -13,12 +13,15 @@ template.  What a page has beside it fills the template's slots.  Text that belo
 a class of tags is boilerplate; slots are dropped if the markup names them as
 navigation, header, footer, sidebar, notice, advert, form or comments, or if on the
 host most of their characters are links; the other slots are the article.
+Pages and templates are joined by host and one of ``PARTS`` parts, so a hot host is split.
 
 A template has at most twice as many tokens as an average page of its host, however
 many pages there are.  Hosts with few different pages are judged by markup alone.
 
 Null or empty html gives an empty text, a null url the host ''.  Equal rows give equal
 results.  An empty table gives no row.  Whole pages are read, however long.
+Only page_id, url and html are read; other columns
+may have any names.
 """
 
 from __future__ import annotations

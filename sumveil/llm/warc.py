@@ -12,6 +12,8 @@ Archives are read back record by record.
 Null html is an empty payload.  Rows that repeat the smallest page id of a digest are
 all responses.  A null page id counts as larger than all others; its records carry no
 page id.  An empty table gives no file and no row.
+Only page_id, url and html are read; other
+columns may have any names.
 """
 
 from __future__ import annotations
