@@ -9,6 +9,7 @@ from sumveil.catalog.sqlviews import DAY, with_views
 from sumveil.catalog.window_queries import committed, committed_sum, diffs
 from sumveil.operators import chain, membership as mb
 from sumveil.plans import parameters as pm, reports as rp
+from sumveil.session import materialize
 from sumveil.sources import fixtures as fx
 
 W = fx.W
@@ -43,18 +44,18 @@ def bench_compare(spark, sf):
     return c.withColumns(rounded).orderBy("run")
 
 
-@query("R2 J8 O4", with_views(["std"], """
-    SELECT producer_id, round(1e6 / a.tp, 4) AS rt_encode_us, round(1e6 / b.tp - 1e6 / a.tp, 4) AS rt_encrypt_us,
-           round(b.tp::DOUBLE / a.tp, 2) AS encode_share, round(1 - b.tp::DOUBLE / a.tp, 2) AS encrypt_share
-    FROM (SELECT producer_id, (1000 + 3 * sum(value))::BIGINT AS tp FROM std WHERE event_type = 'click' GROUP BY ALL) a
-    FULL OUTER JOIN (SELECT producer_id, (1000 + sum(value))::BIGINT AS tp FROM std WHERE event_type = 'view' GROUP BY ALL) b
-    USING (producer_id)"""))
+_RATE = "SELECT run, CASE WHEN sum(latency_ms) > 0 THEN sum(n)::DOUBLE / (sum(latency_ms)::DOUBLE / 1000.0::DOUBLE) END AS tp FROM runs WHERE kind = '{}' GROUP BY run"
+
+
+@query("R2 J8 O4", with_views(["runs"], f"""
+    SELECT run, round(1e6 / a.tp, 4) AS rt_encode_us, round(1e6 / b.tp - 1e6 / a.tp, 4) AS rt_encrypt_us,
+           round((1e6 / a.tp) / (1e6 / b.tp), 2) AS encode_share, round(1 - (1e6 / a.tp) / (1e6 / b.tp), 2) AS encrypt_share
+    FROM ({_RATE.format('plain')}) a FULL OUTER JOIN ({_RATE.format('private')}) b USING (run)"""))
 def rate_report(spark, sf):
-    e = fx.std_events(spark, sf)
-    rate = lambda kind, factor, name: e.filter(F.col("event_type") == kind).groupBy("producer_id").agg(
-        (F.sum("value") * factor + 1000).alias(name)
-    )
-    r = rp.rate_report(rate("click", 3, "tp_encode"), rate("view", 1, "tp_encode_encrypt"), ["producer_id"])
+    """Plain runs encode, private ones encode and encrypt."""
+    runs = materialize(fx.runs(spark, sf), "runs")
+    rates = lambda kind, name: rp.throughputs(runs.filter(F.col("kind") == kind), ["run"], name)
+    r = rp.rate_report(rates("plain", "tp_encode"), rates("private", "tp_encode_encrypt"), ["run"])
     return r.withColumns({c: F.round(c, 4) for c in ("rt_encode_us", "rt_encrypt_us")})
 
 

@@ -37,15 +37,19 @@ def latency_comparison(runs: DataFrame, grace_ms: int) -> DataFrame:
     """Private against plain latency per run: trimmed, less grace, with difference and factor."""
     trimmed = trim_runs(materialize(runs, "runs"), ["run", "kind"]).withColumn("latency_ms", F.col("latency_ms") - grace_ms)
     stats = latency_stats(trimmed, ["run", "kind"])
-    side = lambda kind: stats.filter(F.col("kind") == kind).select(
-        "run", F.col("mean_ms").alias(f"mean_{kind}"), F.col("median_ms").alias(f"median_{kind}")
-    )
-    both = side("private").join(side("plain"), "run", "full_outer")
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(f"{c}_ms"))).alias(f"{c}_{kind}")
+    both = stats.groupBy("run").agg(*[of(kind, c) for kind in ("private", "plain") for c in ("mean", "median")])
     return both.withColumn("difference", F.col("median_private") - F.col("median_plain")).withColumn(
         "factor", F.when(F.col("median_plain") != 0, F.col("median_private") / F.col("median_plain"))
     )
 
 
+def throughputs(runs: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Operations a second per key: records over the time they took, null where that is none."""
+    seconds = F.sum("latency_ms") / 1000.0
+    return runs.groupBy(*keys).agg(F.when(seconds > 0, F.sum("n") / seconds).alias(name))
+
+
 def rate_report(encode: DataFrame, both: DataFrame, keys: list[str]) -> DataFrame:
     """Throughputs (ops/s) of encode and encode+encrypt to run times and shares."""
     j = encode.join(both, keys, "full_outer")
