@@ -4,7 +4,8 @@ Vectors are compared within a label.  Equal vectors become one class with a coun
 so copies cost nothing later.  Every tree splits its points by random directions near
 the median projection; points close to the split go to both sides (spill).  Nodes that
 are still too large are split again, round by round: a round fits small subtrees on a
-bounded sample of each large node, in parallel, and moves all points down.  In a leaf all
+bounded sample of each large node, in parallel, and moves that node's points down; finished
+leaves stay where they were written.  In a leaf all
 pairs are compared in double precision.  A pair that meets in several leaves counts in
 the first that both share, so no pair is ever written: a leaf gives each of its classes
 a number of links and the smallest class of the group it is part of within the leaf, and
@@ -26,6 +27,7 @@ label and embedding are read; other columns may have any names.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import erfc, exp, pi, sqrt
 
 import numpy as np
@@ -46,6 +48,8 @@ LOSS = 0.02
 STUCK = 0.7
 #: Vectors in a block of a leaf that could not be split.
 BLOCK = 2048
+#: Rows of a frame of moved points.
+MOVED = 20_000
 
 
 def _direction(node: int, k: int, dim: int) -> np.ndarray:
@@ -120,11 +124,11 @@ def forest(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, cosine: flo
     """``classes(cid, weight, space, vector)`` dealt to leaves: node, cid, weight, vector."""
     roots = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
     points = classes.select("space", "cid", "weight", "vector", roots).select(F.xxhash64("tree", "space").alias("node"), F.lit(False).alias("shut"), "cid", "weight", "vector")
-    points = materialize(points, "forest")
+    points, done = materialize(points, "forest"), []
     while True:
         sizes = materialize(points.filter("not shut").groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > leaf), "forest-sizes")
         if sizes.isEmpty():
-            return points
+            return reduce(DataFrame.unionByName, done, points)
         share = F.pmod(F.xxhash64("cid", "node"), F.lit(1 << 30)) / float(1 << 30)
         sample = points.filter("not shut").join(sizes, "node").filter(share < SAMPLE / F.col("n")).select("node", "n", "vector")
 
@@ -138,16 +142,24 @@ def forest(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, cosine: flo
 
         def move(frames):
             for frame in frames:
-                keep = frame["splits"].isna()
-                yield frame.loc[keep, ["node", "shut", "cid", "weight", "vector"]]
-                for node, part in frame[~keep].groupby("node", sort=False):
-                    x = _unit(np.stack(part["vector"]))
-                    for place, at, ended in descend(int(node), x, list(part["splits"].iloc[0]), list(part["margins"].iloc[0])):
-                        rows = part.iloc[at]
-                        stuck = ended and place == 0
-                        yield pd.DataFrame({"node": _child(int(node), place), "shut": stuck, "cid": rows["cid"], "weight": rows["weight"], "vector": rows["vector"]})
-
-        points = materialize(points.join(models, "node", "left").mapInPandas(move, _POINTS), "forest")
+                vectors, splits, margins = (frame[c].to_numpy() for c in ("vector", "splits", "margins"))
+                picked, nodes, shut = [], [], []
+                for node, rows in frame.groupby("node", sort=False).indices.items():
+                    x = _unit(np.stack(vectors[rows]))
+                    for place, at, ended in descend(int(node), x, list(splits[rows[0]]), list(margins[rows[0]])):
+                        picked.append(rows[at])
+                        nodes.append(np.full(len(at), _child(int(node), place), np.int64))
+                        shut.append(np.full(len(at), ended and place == 0))
+                picked, nodes, shut = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (picked, nodes, shut))
+                for k in range(0, len(picked), MOVED):
+                    rows = frame.iloc[picked[k : k + MOVED]]
+                    yield pd.DataFrame(
+                        {"node": nodes[k : k + MOVED], "shut": shut[k : k + MOVED], "cid": rows["cid"].to_numpy(), "weight": rows["weight"].to_numpy(), "vector": rows["vector"].to_numpy()}
+                    )
+
+        # Leaves are done where they were written; only points of nodes with a model move on.
+        done.append(points.join(models.select("node"), "node", "left_anti"))
+        points = materialize(points.join(models, "node").mapInPandas(move, _POINTS), "forest")
 
 
 def _join(group: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
