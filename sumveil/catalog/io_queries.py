@@ -11,7 +11,7 @@ from sumveil.operators import chain
 from sumveil.operators.aggregate import population_sums
 from sumveil.catalog.window_queries import _producer_sums
 from sumveil.plans import profiles as pf
-from sumveil.session import scratch_dir
+from sumveil.session import scratch_dir, spread_files
 from sumveil.sources import fixtures as fx, records as rec
 from sumveil.streaming import windows as st
 
@@ -82,7 +82,7 @@ def csv_polar_roundtrip(spark, sf):
     path = scratch_dir(spark, "trace")
     rec.write_trace(df, path, ["trace"])
     back = rec.within_time(rec.read_trace(spark, path, "trace bigint"), "timestamp", 180 * DAY, ["trace"])
-    per_time = back.groupBy("trace", "timestamp").agg(F.count("*").alias("n"), *[F.sum(a).alias(a) for a in _TRACE])
+    per_time = spread_files(back, path, "trace", "timestamp").groupBy("trace", "timestamp").agg(F.count("*").alias("n"), *[F.sum(a).alias(a) for a in _TRACE])
     return per_time.groupBy("trace").agg(
         F.sum("n").alias("n"), F.count("*").alias("times"), *[F.sum(a).alias(a) for a in _TRACE]
     )
