@@ -129,7 +129,7 @@ def release_graph(spark, sf):
     universes too small for a graph use all pairs."""
     ciphers, wkeys, present, windows = _ciphers(fx.graph_events(spark, sf), GW)
     parameters = graph_parameters_of(windows)
-    masks = mk.parameter_masks(present, fx.graph_pair_keys(windows), parameters, L, GW)
+    masks = mk.parameter_masks(present, fx.graph_pairs(windows), parameters, L, GW)
     out = _released(rl.release(ciphers, rl.masked_tokens(masks, wkeys, L), L, expected=present))
     return out.join(parameters.select("universe_id", "k"), "universe_id")
 
