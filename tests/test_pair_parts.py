@@ -25,13 +25,10 @@ def ids(spark):
 def test_ciphers_of_many_keys_equal_those_of_the_engine(spark):
     rows = spark.range(50).select("id", (F.col("id") * 977 - 20_000).alias("t"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("key"))
     key, t = F.col("key"), F.col("t")
-    got = rows.select(
-        wide.short_lanes(key, t, L, prf.FIRST_NUMBER).alias("lanes"), prf.prf_lanes(key, t, L).alias("want_lanes"),
-        wide.graph_rounds(key, t, F.lit(5), prf.GRAPH_LANE).alias("rounds"), wide.bit_groups(prf.block(key, t, prf.GRAPH_LANE), F.lit(5)).alias("want_rounds"),
-    ).collect()
-    assert all(r.lanes == r.want_lanes and r.rounds == r.want_rounds for r in got)
+    got = rows.select(wide.graph_rounds(key, t, F.lit(5), prf.GRAPH_LANE).alias("rounds"), wide.bit_groups(prf.block(key, t, prf.GRAPH_LANE), F.lit(5)).alias("want")).collect()
+    assert all(r.rounds == r.want for r in got)
     with pytest.raises(Exception, match="256 bits"):
-        rows.select(wide.short_lanes(F.substr(key, F.lit(1), F.lit(16)), t, L, 2)).collect()
+        rows.select(wide.graph_rounds(F.substr(key, F.lit(1), F.lit(16)), t, F.lit(5), -1)).collect()
 
 
 @pytest.mark.parametrize("k", [1, 3, 31])
@@ -87,3 +84,39 @@ def test_segments_are_counted_where_rounds_are_made(spark):
     n = {u: ids(spark).filter(f"(producer_id >= 1100) = ({u} = 1)").count() for u in (0, 1)}
     want = sorted((u, e, g, n[u] * (n[u] - 1) // 2) for u, e, parts in ((0, 0, 42), (1, 0, 6), (1, 5, 6)) for g in range(parts))
     assert add(mk.pair_segments(pairs, epochs)) == want == add(mk.stored_segments(lists, epochs.select("universe_id", "k").distinct()))
+
+
+def test_profiles_are_released_without_shuffling_vectors(spark, monkeypatch):
+    """Events are shuffled once, by group and window; lanes and vectors stay there, also for both passes of a profile."""
+    from sumveil.catalog import application_queries as aq
+    from sumveil.plans import profiles as pf
+
+    rows = [(1, p, w * W + t, *(100, 50, 10, 0, 5, 20)) for p in range(40) for w in range(3) for t in (p, W - 1)]
+    events = spark.createDataFrame(rows, "universe_id bigint, producer_id bigint, ts_ms bigint, " + ", ".join(f"{a} bigint" for a in pf.POLAR.attrs))
+    plans, write = {}, aq.materialize
+    monkeypatch.setattr(aq, "materialize", lambda df, name: plans.setdefault(name, plan(df)) and write(df, name))
+    run = lambda sent=None: {(r.ws, r.field, r.lane): r.v for r in aq.private_lanes(events, lambda e: pf.fine_lane_totals(e, ["universe_id", "producer_id", "ws"], pf.POLAR), pf.POLAR.fields, pf.POLAR.bits, W, sent).collect()}
+    got = run()
+    kept = {w: [p for p in range(40) if p % 8 <= 6 and not (p % 10 == 7 and w % 2 == 0)] for w in range(3)}
+    assert {w * W: 2 * len(p) for w, p in kept.items()} == {w: v for (w, f, _), v in got.items() if f == "count"}
+    assert {w * W: 200 * len(p) for w, p in kept.items()} == {w: v for (w, f, i), v in got.items() if f == "heartrateBase" and i == 0}
+    assert {k: v for k, v in got.items() if k[0] != W} == run(~((F.col("producer_id") == 20) & (F.col("ws") == W)))
+    # Twice the events, which are read once by exchange reuse, and once the keys.
+    above = plans["released-groups"].split("Union")[1]
+    assert above.count("Exchange") == above.count("REPARTITION_BY_NUM") == 3 and "Exchange" not in plans["released-groups"].split("Union")[0]
+
+
+def test_a_missing_pair_key_of_a_group_is_an_error(spark):
+    from sumveil.functions import wide
+    from sumveil.operators import release as rl, telescoping as tl
+
+    present = spark.range(4).select(F.lit(0).cast("bigint").alias("universe_id"), F.col("id").alias("producer_id"), F.lit(0).cast("bigint").alias("ws"))
+    keys = present.select("producer_id", F.unhex(F.sha2(F.col("producer_id").cast("string"), 256)).alias("key"))
+    pairs = fx.pair_keys(present, 16)
+    lanes = present.withColumn("pos", F.col("producer_id") % 2).withColumn("v", F.col("producer_id") + 1)
+    packing = wide.Packing({"x": 2}, {"x": 16}, 16)
+    out = lambda some, v=lanes: rl.release_committed(v, tl.outer_times(present, keys, W), mk.cohort_masks(present, some), packing).collect()
+    assert [tuple(r) for r in out(pairs)] == [(0, 0, [4, 6], 4, False)]
+    assert [tuple(r) for r in out(pairs, lanes.withColumn("v", F.col("v") * 2000))] == [(0, 0, None, 4, True)]
+    with pytest.raises(Exception, match="missing pair key"):
+        out(pairs.filter("not (a = 1 and b = 2)"))
